@@ -104,20 +104,21 @@ def cluster_agreement(df: DataFrame, label: str, cluster: str = "cluster", by=()
 
 def clustering_report(
     df: DataFrame, category: str = "main_category", sentiment: str = "sentiment",
-    cluster: str = "cluster",
+    cluster: str = "cluster", by=(),
 ) -> DataFrame:
-    """nmi and ari against both label sets, one row."""
+    """nmi and ari against both label sets, one row per group."""
+    by = list(by)
     pairs = F.array(
         F.struct(F.lit("category").alias("target"), F.col(category).cast("string").alias("label")),
         F.struct(F.lit("sentiment").alias("target"), F.col(sentiment).cast("string").alias("label")),
     )
-    both = df.select(cluster, F.inline(pairs))
-    scores = cluster_agreement(both, "label", cluster, ["target"])
+    both = df.select(*by, cluster, F.inline(pairs))
+    scores = cluster_agreement(both, "label", cluster, [*by, "target"])
 
     def pick(value: str, target: str):
         return F.max(F.when(F.col("target") == target, F.col(value))).alias(f"{value}_{target}")
 
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         pick("nmi", "category"), pick("ari", "category"),
         pick("nmi", "sentiment"), pick("ari", "sentiment"),
     )

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from lexiloom import schema as sc
 from lexiloom.config import EmbeddingConfig
 from lexiloom.functions import hashing, mlvectors
-from lexiloom.functions import text as tx
 from lexiloom.functions import vectors as vec
 from lexiloom.operators import (
     cases, evaluation, latent_semantic, latent_space, models, neighbours, outliers, pooling,
@@ -63,10 +62,8 @@ class HashSample:
 
 
 def record_hash_key() -> Column:
-    """What identifies a review for sampling; the text counts with its first 200 characters."""
-    return hashing.record_key(
-        "user_id", "parent_asin", "timestamp", "rating", tx.preview("text", 200)
-    )
+    """What identifies a review for sampling."""
+    return hashing.record_key("user_id", "parent_asin", "timestamp", "rating", "text")
 
 
 def hash_sample(
@@ -87,7 +84,7 @@ def hash_sample(
     log = sampling.sampling_log(marked, category, "_kept", "keep_prob")
     accepted = marked.filter("_kept").drop("_kept", "keep_prob")
     subset = ["user_id", "parent_asin", "timestamp", "text"]
-    whole = hashing.record_key(*subset)
+    whole = hashing.record_key(category, *subset)
     rest = [F.col(c) for c in ("rating", "title", "helpful_vote", "verified_purchase")]
     unique = reports.drop_duplicates(accepted, [category, *subset], rest)
     keyed = unique.withColumn("_key", whole)
