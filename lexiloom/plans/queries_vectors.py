@@ -1,0 +1,380 @@
+"""Queries over vectors: norms, pooling, neighbours, purity, centroids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiloom.functions import vectors as vec
+from lexiloom.operators import (
+    cases, evaluation, latent_space, models, neighbours, outliers, pooling, reports, sampling,
+    shaping, splits, word_vectors,
+)
+from lexiloom.plans.registry import query
+from lexiloom.plans.tables import (
+    LABELLED_SQL, VECTORS_SQL, hash_sql, labelled_vectors, split_sql, table, vectors,
+)
+from lexiloom.session import ship_package
+
+
+# ---------------------------------------------------------------- vector expressions
+@query(f"""WITH {VECTORS_SQL}, u AS (SELECT row_id, sqrt(list_sum(list_transform(vector, lambda x: x * x)))
+AS n, vector FROM vectors)
+SELECT row_id, round(n, 9) AS norm, round(vector[1] / n, 9) AS first,
+       round(list_sum(vector) / n, 9) AS total FROM u""")
+def unit_vectors(spark, sf):
+    df = vectors(spark, sf).select(
+        "row_id", F.round(vec.norm("vector"), 9).alias("norm"), vec.normalize("vector").alias("u")
+    )
+    total = F.aggregate("u", F.lit(0.0), lambda a, x: a + x)
+    return df.select(
+        "row_id", "norm", F.round(F.col("u")[0], 9).alias("first"), F.round(total, 9).alias("total")
+    )
+
+
+@query(f"""WITH {VECTORS_SQL} SELECT a.row_id,
+round(list_cosine_similarity(a.vector, b.vector), 9) AS cosine
+FROM vectors a JOIN vectors b ON b.row_id = a.row_id + 1""")
+def cosine_of_pairs(spark, sf):
+    a, b = vectors(spark, sf), vectors(spark, sf)
+    following = b.select((F.col("row_id") - 1).alias("row_id"), F.col("vector").alias("other"))
+    return a.join(following, "row_id").select(
+        "row_id", F.round(vec.cosine("vector", "other"), 9).alias("cosine")
+    )
+
+
+def _some_zero(df):
+    """Zero vectors where the label is 0."""
+    return df.withColumn(
+        "vector", F.when(F.col("label") == 0, F.transform("vector", lambda x: x * 0)).otherwise(
+            F.col("vector"))
+    )
+
+
+@query("SELECT label, count(*) AS n FROM embeddings WHERE label <> 0 GROUP BY 1")
+def nonzero_vectors(spark, sf):
+    df = shaping.drop_zero_vectors(_some_zero(vectors(spark, sf)))
+    return df.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS (SELECT label, {split_sql('vec_id')} AS split FROM embeddings)
+SELECT split, count(*) AS rows, count(*) FILTER (label <> 0) AS nonzero_rows,
+       count(*) FILTER (label <> 0)::DOUBLE / count(*) AS coverage FROM s GROUP BY 1""")
+def vector_coverage(spark, sf):
+    df = splits.by_group(_some_zero(vectors(spark, sf)), "row_id")
+    return pooling.coverage(df, by=["split"])
+
+
+# ---------------------------------------------------------------- pooling
+_POOL_SQL = """WITH item AS (SELECT l_orderkey AS row_id, l_partkey::VARCHAR AS word FROM lineitem),
+known AS (SELECT i.row_id, e.embedding::DOUBLE[] AS v FROM item i JOIN embeddings e
+          ON i.word = e.vec_id::VARCHAR),
+parts AS (SELECT row_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM known),
+means AS (SELECT row_id, pos, (sum(x) / count(*)) AS m FROM parts GROUP BY 1, 2),
+docs AS (SELECT DISTINCT row_id FROM item)
+SELECT d.row_id, round(coalesce(sum(m::FLOAT::DOUBLE), 0), 6) AS total,
+       round(coalesce(sum(m::FLOAT::DOUBLE) FILTER (pos = 7), 0), 6) AS seventh
+FROM docs d LEFT JOIN means USING (row_id) GROUP BY 1"""
+
+
+def _orders_as_documents(spark, sf):
+    """An order is a document, its parts are tokens; some parts have a vector."""
+    ship_package(spark)
+    docs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(
+        F.collect_list(F.col("l_partkey").cast("string")).alias("tokens")
+    )
+    words = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector")
+    )
+    return docs, words
+
+
+def _pool_report(df):
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return df.select(
+        "row_id", F.round(total, 6).alias("total"),
+        F.round(F.col("vector")[6].cast("double"), 6).alias("seventh"),
+    )
+
+
+@query(_POOL_SQL)
+def mean_pooled_documents(spark, sf):
+    docs, words = _orders_as_documents(spark, sf)
+    return _pool_report(pooling.mean_pool(docs, words, 64))
+
+
+@query(_POOL_SQL)
+def mean_pooled_documents_by_join(spark, sf):
+    """The form for vocabularies too large to broadcast."""
+    docs, words = _orders_as_documents(spark, sf)
+    return _pool_report(pooling.mean_pool_by_join(docs, words, 64))
+
+
+# ---------------------------------------------------------------- neighbours
+def _nearest_sql(k: int, queries: str = "vectors", corpus: str = "vectors", extra: str = "") -> str:
+    s = "round(list_cosine_similarity(q.vector, c.vector), 9)"
+    return f"""
+nearest AS (
+  SELECT q.row_id AS query_id, c.row_id AS neighbor_id, {s} AS score{extra},
+         row_number() OVER (PARTITION BY q.row_id ORDER BY {s} DESC, c.row_id) AS neighbor_rank
+  FROM {queries} q, {corpus} c WHERE q.row_id <> c.row_id QUALIFY neighbor_rank <= {k})"""
+
+
+@query(f"""WITH {VECTORS_SQL}, {_nearest_sql(10)}
+SELECT query_id, neighbor_rank, neighbor_id, score FROM nearest""")
+def nearest_vectors(spark, sf):
+    v = vectors(spark, sf)
+    return neighbours.nearest(v, v, 10)
+
+
+@query(f"""WITH {VECTORS_SQL}, {_nearest_sql(10)}
+SELECT query_id, neighbor_rank, neighbor_id, score FROM nearest""")
+def nearest_vectors_partitioned(spark, sf):
+    """The form for any number of queries."""
+    v = vectors(spark, sf)
+    return neighbours.nearest(v, v, 10, broadcast_queries=0, block_rows=200)
+
+
+@query(f"""WITH {LABELLED_SQL}, {_nearest_sql(5, 'labelled', 'labelled',
+', c.main_category AS neighbor_category, q.main_category AS query_category, '
+'c.sentiment AS neighbor_sentiment, q.sentiment AS query_sentiment, '
+'substr(q.cleaned_text, 1, 220) AS query_text, substr(c.cleaned_text, 1, 220) AS neighbor_text')}
+SELECT *, query_category = neighbor_category AS same_category,
+       query_sentiment = neighbor_sentiment AS same_sentiment,
+       query_category = neighbor_category AND query_sentiment = neighbor_sentiment AS joint_match
+FROM nearest""")
+def neighbour_table(spark, sf):
+    rows = labelled_vectors(spark, sf)
+    v = vectors(spark, sf)
+    return cases.neighbour_table(neighbours.nearest(v, v, 5), rows)
+
+
+_CASES_SQL = f"""{LABELLED_SQL}, {_nearest_sql(5, 'labelled', 'labelled',
+', q.main_category AS query_category, q.sentiment AS query_sentiment, '
+'q.main_category = c.main_category AND q.sentiment = c.sentiment AS joint_match')},
+summary AS (
+  SELECT query_id, bool_or(joint_match AND neighbor_rank = 1) AS top1_joint_match,
+         count(*) FILTER (joint_match) AS joint_matches, min(query_category) AS query_category,
+         min(query_sentiment) AS query_sentiment FROM nearest GROUP BY 1),
+typed AS (
+  SELECT *, CASE WHEN top1_joint_match AND joint_matches >= 3 THEN 'success'
+                 WHEN joint_matches = 0 THEN 'failure' ELSE 'mixed' END AS case_type FROM summary)"""
+
+
+def _summary(spark, sf):
+    v = vectors(spark, sf)
+    table_ = cases.neighbour_table(neighbours.nearest(v, v, 5), labelled_vectors(spark, sf))
+    return cases.case_summary(table_).drop("query_text")
+
+
+@query(f"WITH {_CASES_SQL} SELECT * FROM typed")
+def case_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@query(f"""WITH {_CASES_SQL} SELECT * FROM typed
+QUALIFY row_number() OVER (PARTITION BY case_type ORDER BY query_id) = 1""")
+def representative_cases(spark, sf):
+    return cases.representative_cases(_summary(spark, sf))
+
+
+@query(f"""WITH {LABELLED_SQL},
+pool AS (SELECT * FROM labelled ORDER BY {hash_sql('row_id')}, row_id LIMIT 5000),
+asked AS (SELECT * FROM pool ORDER BY row_id LIMIT 3), {_nearest_sql(5, 'asked', 'pool',
+', q.main_category AS query_main_category, c.main_category AS neighbor_main_category, '
+'substr(c.cleaned_text, 1, 180) AS neighbor_text_preview')}
+SELECT query_id, neighbor_rank, neighbor_id, score, query_main_category, neighbor_main_category,
+       neighbor_text_preview FROM nearest""")
+def document_sanity(spark, sf):
+    df = word_vectors.document_neighbours(labelled_vectors(spark, sf))
+    return df.select(
+        "query_id", "neighbor_rank", "neighbor_id", "score", "query_main_category",
+        "neighbor_main_category", "neighbor_text_preview",
+    )
+
+
+@query(f"""WITH words AS (SELECT vec_id::VARCHAR AS row_id, embedding::DOUBLE[] AS vector FROM embeddings),
+asked AS (SELECT DISTINCT l_linenumber::VARCHAR AS word FROM lineitem UNION ALL SELECT 'unknown'),
+present AS (SELECT w.* FROM words w JOIN asked a ON w.row_id = a.word),
+{_nearest_sql(5, 'present', 'words')}
+SELECT a.word, p.row_id IS NOT NULL AS found,
+       coalesce(string_agg(n.neighbor_id, ' ' ORDER BY n.neighbor_rank), '') AS tokens,
+       coalesce(max(n.score), 0) AS best
+FROM asked a LEFT JOIN present p ON a.word = p.row_id LEFT JOIN nearest n ON n.query_id = a.word
+GROUP BY 1, 2""")
+def word_sanity(spark, sf):
+    """Vectors as words; the probe words are the line numbers and one unknown word."""
+    _, words = _orders_as_documents(spark, sf)
+    probes = [r[0] for r in table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("string")).distinct().collect()]  # seven values
+    df = word_vectors.word_neighbours(words, [*probes, "unknown"])
+    return df.select(
+        "word", "found",
+        F.array_join(F.transform("neighbors", lambda n: n["token"]), " ").alias("tokens"),
+        F.coalesce(F.array_max(F.transform("neighbors", lambda n: n["score"])), F.lit(0.0)).alias("best"),
+    )
+
+
+@query(f"""WITH {LABELLED_SQL}, {_nearest_sql(6, 'labelled', 'labelled')} SELECT n.query_id, n.neighbor_rank,
+n.neighbor_id, n.score, l.main_category FROM nearest n JOIN labelled l ON n.neighbor_id = l.row_id
+WHERE n.query_id IN (SELECT row_id FROM labelled QUALIFY row_number() OVER (
+  PARTITION BY main_category ORDER BY {hash_sql('row_id')}, row_id) = 1) AND n.neighbor_rank <= 5""")
+def neighbours_of_examples(spark, sf):
+    """One example row per category with its five neighbours."""
+    rows = labelled_vectors(spark, sf)
+    shown = sampling.exact_per_group(
+        rows.select("row_id", "main_category", "vector"), 1, "row_id", ["main_category"]
+    )
+    return neighbours.nearest(shown, rows, 5, payload=["main_category"])
+
+
+# ---------------------------------------------------------------- retrieval
+@query(f"""WITH {LABELLED_SQL}, parts AS (SELECT *, {split_sql('row_id')} AS split FROM labelled),
+asked AS (SELECT * FROM parts WHERE split = 'val' ORDER BY row_id LIMIT 1000),
+db AS (SELECT * FROM parts WHERE split = 'train'), {_nearest_sql(10, 'asked', 'db',
+', q.main_category = c.main_category AND q.sentiment = c.sentiment AS relevant')},
+firsts AS (SELECT query_id, min(neighbor_rank) FILTER (relevant) AS r FROM nearest GROUP BY 1)
+SELECT round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall_at_10,
+       round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr_at_10, count(*) AS queries FROM firsts""")
+def retrieval_scores(spark, sf):
+    parts = splits.by_group(labelled_vectors(spark, sf), "row_id")
+    names = {"main_category": "db_category", "sentiment": "db_sentiment"}
+    asked = parts.filter("split = 'val'").orderBy("row_id").limit(1000)
+    db = parts.filter("split = 'train'").withColumnsRenamed(names)
+    found = neighbours.nearest(asked, db, 10, payload=list(names.values()), exclude_self=False)
+    own = asked.select(F.col("row_id").alias("query_id"), "main_category", "sentiment")
+    flagged = found.join(own, "query_id").withColumn(
+        "relevant", (F.col("main_category") == F.col("db_category"))
+        & (F.col("sentiment") == F.col("db_sentiment")),
+    )
+    df = evaluation.retrieval_scores(flagged, 10)
+    return reports.rounded(df, ["recall_at_10", "mrr_at_10"], 9)
+
+
+# ---------------------------------------------------------------- purity
+@query(f"""WITH {VECTORS_SQL},
+asked AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY label
+          ORDER BY {hash_sql('row_id')}, row_id) <= 30),
+{_nearest_sql(10, 'asked', 'vectors', ', q.label, c.label = q.label AS hit')},
+p AS (SELECT query_id, label, avg(hit::INT::DOUBLE) AS purity FROM nearest GROUP BY 1, 2)
+SELECT label AS class, round(avg(purity), 12) AS mean, round(stddev_pop(purity), 12) AS std, count(*) AS n
+FROM p GROUP BY 1""")
+def sampled_neighbourhood_purity(spark, sf):
+    df = latent_space.neighbourhood_purity(vectors(spark, sf), "row_id", "label", 10, 30)
+    return reports.rounded(df, ["mean", "std"], 12)
+
+
+@query(f"""WITH {VECTORS_SQL},
+asked AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY label
+          ORDER BY {hash_sql('row_id')}, row_id) <= 30),
+{_nearest_sql(10, 'asked', 'vectors', ', c.label = q.label AS hit')}
+SELECT round(sum(hit::INT) / 10.0 / count(DISTINCT query_id), 12)::DOUBLE AS mean_purity,
+       count(DISTINCT query_id) AS queries FROM nearest""")
+def mean_purity(spark, sf):
+    per = latent_space.neighbourhood_purity(vectors(spark, sf), "row_id", "label", 10, 30)
+    return reports.rounded(latent_space.mean_purity(per), ["mean_purity"], 12)
+
+
+_ROW_PURITY_SQL = f"""{LABELLED_SQL}, {_nearest_sql(10, 'labelled', 'labelled',
+', q.main_category, q.sentiment, c.main_category = q.main_category AS hit_c, '
+'c.sentiment = q.sentiment AS hit_s')},
+purity AS (
+  SELECT query_id AS row_id, main_category, sentiment, round(avg(hit_c::INT::DOUBLE), 9) AS purity_main_category,
+         round(avg(hit_s::INT::DOUBLE), 9) AS purity_sentiment FROM nearest GROUP BY 1, 2, 3)"""
+
+
+def _row_purity(spark, sf, **options):
+    df = latent_space.row_purity(
+        labelled_vectors(spark, sf), "row_id", ["main_category", "sentiment"], 10, **options
+    )
+    return reports.rounded(df, ["purity_main_category", "purity_sentiment"], 9)
+
+
+@query(f"WITH {_ROW_PURITY_SQL} SELECT * FROM purity")
+def purity_of_all_rows(spark, sf):
+    return _row_purity(spark, sf)
+
+
+@query(f"WITH {_ROW_PURITY_SQL} SELECT * FROM purity")
+def purity_of_all_rows_partitioned(spark, sf):
+    return _row_purity(spark, sf, broadcast_queries=0, block_rows=500)
+
+
+@query(f"""WITH {_ROW_PURITY_SQL} SELECT main_category, round(avg(purity_main_category), 12) AS mean,
+round(stddev_samp(purity_main_category), 12) AS std,
+round(stddev_pop(purity_main_category), 12) AS std_pop, count(*) AS count FROM purity GROUP BY 1""")
+def purity_by_category(spark, sf):
+    df = reports.group_stats(_row_purity(spark, sf), "main_category", "purity_main_category")
+    return reports.rounded(df, ["mean", "std", "std_pop"], 12)
+
+
+# ---------------------------------------------------------------- centroids
+def _centroid_sql(normalize: bool) -> str:
+    value = "x / n" if normalize else "x"
+    return f"""{VECTORS_SQL},
+long AS (SELECT label, generate_subscripts(vector, 1) AS pos, unnest(vector) AS x,
+                sqrt(list_sum(list_transform(vector, lambda y: y * y))) AS n FROM vectors),
+means AS (SELECT label, pos, avg({value}) AS m FROM long GROUP BY 1, 2),
+norms AS (SELECT label, sqrt(sum(m * m)) AS n FROM means GROUP BY 1),
+similarity AS (
+  SELECT a.label AS label_a, b.label AS label_b, sum(a.m * b.m) / max(na.n) / max(nb.n) AS c
+  FROM means a JOIN means b ON a.pos = b.pos JOIN norms na ON na.label = a.label
+  JOIN norms nb ON nb.label = b.label GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_centroid_sql(False)} SELECT label_a, label_b, round(c, 9) AS cosine FROM similarity")
+def centroid_similarity(spark, sf):
+    df = latent_space.centroid_similarity(vectors(spark, sf), "label")
+    return reports.rounded(df, ["cosine"], 9)
+
+
+@query(f"WITH {_centroid_sql(True)} SELECT label_a, label_b, round(c, 9) AS cosine FROM similarity")
+def centroid_similarity_of_unit_vectors(spark, sf):
+    df = latent_space.centroid_similarity(vectors(spark, sf), "label", normalize=True)
+    return reports.rounded(df, ["cosine"], 9)
+
+
+@query(f"""WITH {_centroid_sql(True)}, r AS (SELECT label_a, label_b, round(c, 9) AS c FROM similarity)
+SELECT label_a AS class_a, label_b AS class_b, c AS cosine FROM r WHERE label_a < label_b
+ORDER BY c DESC, label_a, label_b LIMIT 1""")
+def most_similar_classes(spark, sf):
+    df = latent_space.centroid_similarity(vectors(spark, sf), "label", normalize=True)
+    return latent_space.most_similar_pair(reports.rounded(df, ["cosine"], 9), "label")
+
+
+@query(f"""WITH {_centroid_sql(False)} SELECT label, count(*) AS dims, round(sum(m), 9) AS total
+FROM means GROUP BY 1""")
+def class_centroids(spark, sf):
+    df = latent_space.centroids(vectors(spark, sf), "label")
+    total = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)
+    return df.select(
+        "label", F.size("centroid").cast("long").alias("dims"), F.round(total, 9).alias("total")
+    )
+
+
+# ---------------------------------------------------------------- models on vectors
+@query()
+def plane_projection(spark, sf):
+    return latent_space.plane_projection(labelled_vectors(spark, sf), "row_id", "label", carry=["sentiment"])
+
+
+@query()
+def kmeans_on_vectors(spark, sf):
+    df = models.kmeans_clusters(vectors(spark, sf), 10)
+    return df.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def clustering_scores(spark, sf):
+    return models.clustering_scores(labelled_vectors(spark, sf), 4)
+
+
+@query()
+def isolation_outliers(spark, sf):
+    df = outliers.top_outliers(vectors(spark, sf), "row_id")
+    return df.select("row_id", "label", "anomaly_score")
+
+
+@query()
+def isolation_decision_scores(spark, sf):
+    df = outliers.anomaly_scores(vectors(spark, sf), "row_id", trees=200)
+    return outliers.decision_score(df).select("row_id", "outlier_score")
