@@ -1,0 +1,226 @@
+"""Whole jobs over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiloom.config import EmbeddingConfig
+from lexiloom.functions import mlvectors
+from lexiloom.operators import (
+    evaluation, models, shaping, splits,
+)
+from lexiloom.operators import vocabulary as vb
+from lexiloom.plans import jobs
+from lexiloom.plans.queries_data import _SHAPED_SQL, _raw_events
+from lexiloom.plans.registry import query
+from lexiloom.plans.tables import (
+    REVIEWS_SQL, clean_sql, hash_sql, reviews, sentiment_sql, split_sql, unit_sql, vectors,
+)
+from lexiloom.session import shared_dir
+from lexiloom.sources import readers, writers
+
+
+# ---------------------------------------------------------------- sampling
+_JOB_KEY = "concat_ws('||', coalesce(text, ''), coalesce(parent_asin, ''))"
+
+
+@query(f"""WITH {REVIEWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY main_category
+ORDER BY {hash_sql(_JOB_KEY)}, {_JOB_KEY}) AS n FROM reviews WHERE main_category IN ('en', 'fr'))
+SELECT main_category, parent_asin, rating, {sentiment_sql('rating')} AS sentiment,
+       md5(text) AS digest FROM r WHERE n <= 100""")
+def sampled_reviews_job(spark, sf):
+    """Two categories from their own gzip JSON-lines folders, 100 rows each, combined."""
+    out = shared_dir(spark, "sample")
+    rows = reviews(spark, sf).select("main_category", "text", "parent_asin", "rating")
+    sources = {}
+    for name in ("en", "fr"):
+        part = rows.filter(F.col("main_category") == name).drop("main_category")
+        sources[name] = writers.write_jsonl(part, f"{out}/raw/{name}", gzip=True)
+    df = jobs.sample_reviews(spark, sources, 100, out, key=("text", "parent_asin"))
+    return df.select(
+        "main_category", "parent_asin", "rating", "sentiment", F.md5("text").alias("digest")
+    )
+
+
+_RECORD = "concat_ws('||', coalesce(user_id, ''), coalesce(parent_asin, ''), coalesce(timestamp::VARCHAR, ''), {r}coalesce(text, ''))"
+_HASHED_SQL = f"""{_SHAPED_SQL},
+probs AS (SELECT category, least(1.0::DOUBLE, 625.0::DOUBLE / count(*)) AS keep_prob FROM shaped GROUP BY 1),
+marked AS (
+  SELECT s.*, p.keep_prob, text_len > 0 AND {unit_sql('md5(' + _RECORD.format(r="coalesce(rating::VARCHAR, ''), ") + ')')} < p.keep_prob AS kept
+  FROM shaped s JOIN probs p USING (category)),
+uniq AS (SELECT *, concat_ws('||', category, user_id, parent_asin, timestamp::VARCHAR, text) AS k FROM marked WHERE kept
+  QUALIFY row_number() OVER (PARTITION BY category, user_id, parent_asin, timestamp, text
+                             ORDER BY rating, title, helpful_vote, verified_purchase) = 1)"""
+
+
+def _hash_sample(spark, sf):
+    return jobs.hash_sample(_raw_events(spark, sf), target=500, strict=False)
+
+
+@query(f"""WITH {_HASHED_SQL} SELECT row_id, category, rating, text FROM uniq
+QUALIFY row_number() OVER (PARTITION BY category ORDER BY {hash_sql('k')}, k) <= 500""")
+def hash_sample_job(spark, sf):
+    return _hash_sample(spark, sf).final.select("row_id", "category", "rating", "text")
+
+
+@query(f"""WITH {_HASHED_SQL} SELECT category, count(*) AS seen, count(*) FILTER (kept) AS kept,
+max(keep_prob) AS keep_prob FROM marked GROUP BY 1""")
+def hash_sample_log(spark, sf):
+    return _hash_sample(spark, sf).log
+
+
+@query(f"""WITH {_SHAPED_SQL} SELECT row_id, text FROM shaped WHERE text_len > 0 AND
+{unit_sql('md5(' + _RECORD.format(r="coalesce(rating::VARCHAR, ''), ") + ')')} < 0.4""")
+def streamed_acceptance(spark, sf):
+    """The acceptance step as a file stream that stops when all files are read."""
+    from lexiloom.streaming import ingest
+
+    base = shared_dir(spark, "stream")
+    typed = shaping.shape_review(_raw_events(spark, sf)).select(
+        "row_id", "rating", "title", "text", "parent_asin", "user_id", "timestamp",
+        "helpful_vote", "verified_purchase",
+    )
+    writers.write_jsonl(typed, f"{base}/in")
+    rows = ingest.read_stream(spark, f"{base}/in", typed.schema)
+    run = ingest.write_stream(
+        ingest.accept(rows, "events", 0.4), f"{base}/out", f"{base}/checkpoint"
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("row_id", "text")
+
+
+# ---------------------------------------------------------------- preparation
+_PREPARED_SQL = f"""{REVIEWS_SQL}, c AS (
+  SELECT row_id, rating, text, parent_asin, main_category, {sentiment_sql('rating')} AS sentiment,
+         {clean_sql('text')} AS cleaned_text, {split_sql('parent_asin')} AS split FROM reviews),
+prepared AS (SELECT * FROM c WHERE length(cleaned_text) > 0)"""
+
+
+@query(f"WITH {_PREPARED_SQL} SELECT * FROM prepared")
+def prepared_dataset(spark, sf):
+    return jobs.prepare(reviews(spark, sf), keep=["row_id"])
+
+
+@query(f"WITH {_PREPARED_SQL} SELECT split, count(*) AS rows, count(DISTINCT parent_asin) AS products "
+       "FROM prepared GROUP BY 1")
+def written_dataset(spark, sf):
+    df = jobs.write_prepared(reviews(spark, sf), shared_dir(spark, "prepared"), keep=["row_id"])
+    return df.groupBy("split").agg(
+        F.count("*").alias("rows"), F.count_distinct("parent_asin").alias("products")
+    )
+
+
+@query(f"""WITH {REVIEWS_SQL}, a AS (SELECT *, {sentiment_sql('rating')} AS sentiment FROM reviews)
+SELECT 'category' AS what, main_category AS value, count(*)::DOUBLE AS amount FROM a GROUP BY 1, 2
+UNION ALL SELECT 'sentiment', sentiment, count(*)::DOUBLE / (SELECT count(*) FROM a) FROM a GROUP BY 1, 2
+UNION ALL SELECT 'missing', 'rating', count(*) FILTER (rating IS NULL)::DOUBLE FROM a
+UNION ALL SELECT 'missing', 'text', count(*) FILTER (text IS NULL)::DOUBLE FROM a""")
+def dataset_audit(spark, sf):
+    parts = jobs.audit(shaping.with_sentiment(reviews(spark, sf)))
+
+    def flat(df, what, value, amount):
+        return df.select(F.lit(what).alias("what"), F.col(value).alias("value"),
+                         F.col(amount).cast("double").alias("amount"))
+
+    missing = parts["missing"].filter(F.col("column").isin("rating", "text"))
+    return (
+        flat(parts["categories"], "category", "main_category", "count")
+        .unionByName(flat(parts["sentiments"], "sentiment", "sentiment", "share"))
+        .unionByName(flat(missing, "missing", "column", "missing"))
+    )
+
+
+# ---------------------------------------------------------------- learned representations
+_TERMS = vb.TermSettings(max_features=5_000)
+_W2V = EmbeddingConfig(
+    vector_size=32, min_count=10, epochs=1, min_review_tokens=5, categories=("en", "fr", "de", "es"),
+    sanity_words=("the", "der", "les", "zzzz"),
+)
+
+
+def _prepared(spark, sf):
+    """Prepared rows, written once: several steps of the learned jobs read them."""
+    out = shared_dir(spark, "rows")
+    writers.write_table(jobs.prepare(reviews(spark, sf), keep=["row_id"]), out)
+    return readers.read_table(spark, out)
+
+
+@query()
+def baseline_features_job(spark, sf):
+    base = jobs.build_baselines(
+        _prepared(spark, sf), shared_dir(spark, "baselines"), settings=_TERMS, n_components=20
+    )
+    return base.summary
+
+
+@query()
+def baseline_probes_job(spark, sf):
+    scores, _ = jobs.baseline_probes(
+        _prepared(spark, sf), shared_dir(spark, "probes"), settings=_TERMS, n_components=20,
+        max_iter=50,
+    )
+    return scores
+
+
+@query()
+def word_vectors_job(spark, sf):
+    made = jobs.train_word_vectors(
+        _prepared(spark, sf), _W2V, shared_dir(spark, "words"),
+        partitions=spark.sparkContext.defaultParallelism,
+    )
+    return made["exports"]
+
+
+@query()
+def svm_probe(spark, sf):
+    rows = splits.by_group(vectors(spark, sf), "row_id").withColumn(
+        "features", mlvectors.dense("vector")
+    )
+    model = models.fit_svm_probe(rows.filter("split = 'train'"), "label", max_iter=50)
+    scored = models.predict(model, rows.filter("split <> 'train'"), "label")
+    return evaluation.classification_scores(scored, by=["split"])
+
+
+@query()
+def logistic_probe(spark, sf):
+    rows = splits.by_group(vectors(spark, sf), "row_id").withColumn(
+        "features", mlvectors.dense("vector")
+    )
+    model = models.fit_logistic_probe(rows.filter("split = 'train'"), "label", max_iter=100)
+    scored = models.predict(model, rows.filter("split <> 'train'"), "label")
+    return evaluation.classification_scores(scored, by=["split"])
+
+
+def _evaluated(spark, sf):
+    rows = _prepared(spark, sf)
+    base = jobs.build_baselines(rows, shared_dir(spark, "baselines"), settings=_TERMS, n_components=20)
+    words = jobs.train_word_vectors(
+        rows, _W2V, shared_dir(spark, "words"), partitions=spark.sparkContext.defaultParallelism
+    )
+    tables = jobs.evaluate(
+        rows, {"lsa": base.lsa, "word2vec": words["vectors"]}, {"tfidf": (base.tfidf, base.terms)},
+        max_iter=50,
+    )
+    return rows, words, jobs.write_evaluation(tables, shared_dir(spark, "evaluation"))
+
+
+@query()
+def evaluation_job(spark, sf):
+    return _evaluated(spark, sf)[2]["unified"]
+
+
+@query()
+def retrieval_report_job(spark, sf):
+    _, words, tables = _evaluated(spark, sf)
+    report = jobs.retrieval_report(
+        tables["unified"], tables["retrieval"], tables["clustering"],
+        words["document_checks"], words["vectors"].filter("split = 'val'"),
+    )
+    return report["clusters"]
+
+
+@query()
+def latent_report_job(spark, sf):
+    _, words, tables = _evaluated(spark, sf)
+    report = jobs.latent_report(words["vectors"].filter("split = 'val'"), tables["unified"])
+    return report["insights"]

@@ -142,11 +142,11 @@ ha AS (SELECT representation, task, -sum(a / t * ln(a / t)) AS h, sum(a * (a - 1
        FROM la GROUP BY 1, 2),
 hb AS (SELECT representation, task, -sum(b / t * ln(b / t)) AS h, sum(b * (b - 1) / 2) AS c
        FROM lb GROUP BY 1, 2),
-mi AS (SELECT representation, task, sum(n / t * ln(t * n / (a * b))) AS mi, sum(n * (n - 1) / 2) AS both,
+mi AS (SELECT representation, task, sum(n / t * ln(t * n / (a * b))) AS mi, sum(n * (n - 1) / 2) AS same_cell,
               max(t * (t - 1) / 2) AS pairs FROM m GROUP BY 1, 2),
 agreement AS (
   SELECT mi.representation, mi.task, round(mi / ((ha.h + hb.h) / 2), 9) AS nmi,
-         round((both - ha.c * hb.c / pairs) / ((ha.c + hb.c) / 2 - ha.c * hb.c / pairs), 9) AS ari
+         round((same_cell - ha.c * hb.c / pairs) / ((ha.c + hb.c) / 2 - ha.c * hb.c / pairs), 9) AS ari
   FROM mi JOIN ha USING (representation, task) JOIN hb USING (representation, task)),
 clustering AS (
   SELECT representation, max(nmi) FILTER (task = 'category') AS nmi_category,
