@@ -110,13 +110,18 @@ def audit(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def prepare(df: DataFrame, test: float = 0.15, val: float = 0.15, seed=42, keep=()) -> DataFrame:
+def prepare(
+    df: DataFrame, test: float = 0.15, val: float = 0.15, seed=42, keep=(),
+    exact_groups: bool = False,
+) -> DataFrame:
     """Label, clean, drop empty text, split by group, keep the output columns.
 
-    One chain of row-local steps without a shuffle.
+    One chain of row-local steps without a shuffle; ``exact_groups`` fixes the
+    number of groups per split instead, at the price of a join on the group.
     """
     rows = shaping.with_cleaned_text(shaping.with_sentiment(shaping.rename_category(df)))
-    rows = splits.by_group(shaping.drop_empty_text(rows), test=test, val=val, seed=seed)
+    split = splits.by_group_exact if exact_groups else splits.by_group
+    rows = split(shaping.drop_empty_text(rows), test=test, val=val, seed=seed)
     return shaping.keep_available(rows, [*keep, *sc.SPLIT_COLUMNS, "split"])
 
 

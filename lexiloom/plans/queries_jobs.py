@@ -141,7 +141,8 @@ _W2V = EmbeddingConfig(
 def _prepared(spark, sf):
     """Prepared rows, written once: several steps of the learned jobs read them."""
     out = shared_dir(spark, "rows")
-    writers.write_table(jobs.prepare(reviews(spark, sf), keep=["row_id"]), out)
+    rows = jobs.prepare(reviews(spark, sf), keep=["row_id"], exact_groups=True)
+    writers.write_table(rows, out)
     return readers.read_table(spark, out)
 
 
