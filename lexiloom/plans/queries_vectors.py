@@ -144,8 +144,7 @@ SELECT *, query_category = neighbor_category AS same_category,
 FROM nearest""")
 def neighbour_table(spark, sf):
     rows = labelled_vectors(spark, sf)
-    v = vectors(spark, sf)
-    return cases.neighbour_table(neighbours.nearest(v, v, 5), rows)
+    return cases.neighbour_table(neighbours.nearest(rows, rows, 5), rows)
 
 
 _CASES_SQL = f"""{LABELLED_SQL}, {_nearest_sql(5, 'labelled', 'labelled',
@@ -161,9 +160,9 @@ typed AS (
 
 
 def _summary(spark, sf):
-    v = vectors(spark, sf)
-    table_ = cases.neighbour_table(neighbours.nearest(v, v, 5), labelled_vectors(spark, sf))
-    return cases.case_summary(table_).drop("query_text")
+    rows = labelled_vectors(spark, sf)
+    found = cases.neighbour_table(neighbours.nearest(rows, rows, 5), rows)
+    return cases.case_summary(found).drop("query_text")
 
 
 @query(f"WITH {_CASES_SQL} SELECT * FROM typed")
