@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from lexiloom.functions import vectors as vec
 from lexiloom.operators import sampling
+from lexiloom.session import cut_lineage
 
 BROADCAST_QUERIES = 20_000
 BLOCK_ROWS = 50_000
@@ -341,8 +342,9 @@ def _by_blocks(q: DataFrame, c: DataFrame, opts, block_rows: int) -> DataFrame:
     found = []
     if len(unit):
         pivots = spark.sparkContext.broadcast(unit)
-        q_cells = _with_cells(q.filter(vec.is_nonzero("vector")), pivots)
-        c_cells = _with_cells(reduced, pivots)
+        # Used by the cell statistics and by the join: computed once, reliably.
+        q_cells = cut_lineage(_with_cells(q.filter(vec.is_nonzero("vector")), pivots))
+        c_cells = cut_lineage(_with_cells(reduced, pivots))
 
         def stats(df: DataFrame) -> dict:  # at most MAX_PIVOTS rows
             rows = df.groupBy("cell").agg(

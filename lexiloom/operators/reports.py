@@ -29,35 +29,67 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     return counts.select(column, (F.col("count") / present.agg(F.count("*")).scalar()).alias("share"))
 
 
+def exact_percentiles(df: DataFrame, column: str, shares, cells: int = 200) -> DataFrame:
+    """(share, value): exact percentiles with linear interpolation.
+
+    Approximate percentiles cut the range into cells; counting per cell shows
+    which few cells hold the wanted ranks, and only the distinct values of those
+    are sorted. No task sees more than one cell.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    marks = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    bounds = x.agg(F.percentile_approx("x", marks, F.lit(50 * cells))).scalar()
+    values = (
+        x.groupBy("x").agg(F.count("*").alias("n"))
+        .withColumn("b", bounds)
+        .withColumn("cell", F.size(F.filter("b", lambda m: m < F.col("x"))))
+        .drop("b")
+    )
+    sizes = values.groupBy("cell").agg(F.sum("n").alias("cell_n"))  # at most ``cells`` rows
+    earlier = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("cell_n").over(earlier), F.lit(0)))
+    total = sizes.agg(F.sum("cell_n")).scalar()
+    listed = F.array(*[F.lit(float(p)) for p in shares])
+    wanted = sizes.select(
+        "cell", "before", "cell_n", F.explode(listed).alias("share"), (total - 1).alias("last")
+    ).withColumn("at", F.col("share") * F.col("last")).withColumn(
+        "rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
+    ).filter("rank >= before AND rank < before + cell_n")
+    inside = W.partitionBy("cell").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    needed = F.broadcast(wanted.select("cell", "before").distinct())  # at most ``cells`` rows
+    placed = values.join(needed, "cell").withColumn(
+        "start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    )
+    hit = placed.join(F.broadcast(wanted.select("cell", "share", "at", "rank")), "cell").filter(
+        "rank >= start AND rank < start + n"
+    )
+    low, high = F.min("x"), F.max("x")
+    return hit.groupBy("share", "at").agg(
+        (low + (high - low) * (F.col("at") - F.floor("at"))).alias("value")
+    ).select("share", "value")
+
+
 def describe(df: DataFrame, columns) -> DataFrame:
-    """count, mean, std, min, quartiles and max; one row per column, one pass over the data.
+    """count, mean, std, min, exact quartiles and max; one row per column.
 
-    Quartiles are exact with linear interpolation. ``percentile`` keeps a count per
-    distinct value, combined before the shuffle.
+    NaN counts as missing.
     """
-    def name(c: str, what: str) -> str:
-        return f"{c}|{what}"
-
-    whats = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "p25": lambda c: F.percentile(c, 0.25),
-        "p50": lambda c: F.percentile(c, 0.50),
-        "p75": lambda c: F.percentile(c, 0.75),
-        "max": F.max,
-    }
-    wide = df.agg(*[f(c).alias(name(c, w)) for c in columns for w, f in whats.items()])
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            *[F.col(f"`{name(c, w)}`").cast("long" if w == "count" else "double").alias(w)
-              for w in whats],
+    out = None
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
+    for c in columns:
+        quartiles = exact_percentiles(df, c, (0.25, 0.5, 0.75)).agg(*[
+            F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{int(p * 100)}")
+            for p in (0.25, 0.5, 0.75)
+        ]).withColumn("column", F.lit(c))
+        basic = df.agg(
+            F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
+        ).withColumn("column", F.lit(c))
+        row = basic.join(quartiles, "column").select(
+            "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
         )
-        for c in columns
-    ])
-    return wide.select(F.inline(rows))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def missing_values(df: DataFrame, columns=None) -> DataFrame:

@@ -6,9 +6,10 @@ sorting the table or putting a stratum into one task:
 1. every row falls into one of 16**digits equal-sized hash buckets,
 2. a counting aggregation (partial counts before the shuffle) tells for each
    bucket how many rows precede it,
-3. buckets that start at or after the n-th row are dropped in the scan's own
-   stage, and only the survivors (n rows plus part of one bucket per stratum)
-   are ranked, bucket by bucket.
+3. that bucket table is broadcast (its size is bounded by the number of buckets,
+   or checked when there are strata), so buckets that start at or after the n-th
+   row are dropped in the scan's own stage, and only the survivors (n rows plus
+   part of one bucket per stratum) are shuffled and ranked, bucket by bucket.
 
 A stratum holding a third of the table is spread over all its buckets.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import hashing
+from lexiloom.operators.lookups import small_side
 
-TOP_N_LIMIT = 10_000
+# Up to this many rows, the best rows of every partition may meet in one task.
+TOP_N_LIMIT = 200
 
 
 def _bucketed(df: DataFrame, key, seed, digits: int) -> DataFrame:
@@ -41,6 +44,8 @@ def _offsets(bucketed: DataFrame, by: list[str]) -> DataFrame:
 
 def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
     on = F.lit(True)
+    # Without strata there are at most 16**digits offsets; otherwise their number is checked.
+    offsets = small_side(offsets) if by else F.broadcast(offsets)
     b, o = bucketed.alias("b"), offsets.alias("o")
     for c in (*by, "_bucket"):
         on = on & F.col(f"b.{c}").eqNullSafe(F.col(f"o.{c}"))

@@ -41,24 +41,28 @@ def by_group_exact(
     """Add a split column with an exact number of groups per split.
 
     ceil(test * groups) groups go to test, then ceil(val / (1 - test) * rest) to
-    val. Groups are ranked in hash order bucket by bucket, without a global sort;
-    the ranked groups are joined back on the key. Each key occurs once on that
-    side, so AQE can split a hot group of the rows.
+    val. The distinct groups are ranked in hash order, bucket by bucket; what the
+    rows need from that are the two cut points, so labelling them is row-local:
+    no join, however large a group is.
     """
     groups = df.select(group).distinct()
     total = groups.agg(F.count("*")).scalar()
     n_test = F.ceil(F.lit(test) * total)
     n_val = F.ceil(F.lit(val / (1.0 - test)) * (total - n_test))
+
+    def place(c):
+        return F.struct(hashing.seeded_hash(c, seed).alias("h"), F.col(group).alias("k"))
+
     ranked = hash_rank(groups, group, seed, name="_rank")
-    named = ranked.select(
-        F.col(group).alias("_group"),
-        F.when(F.col("_rank") <= n_test, "test")
-        .when(F.col("_rank") <= n_test + n_val, "val")
-        .otherwise("train")
-        .alias(name),
+
+    def cut(n):
+        return ranked.filter(F.col("_rank") == n).select(place(group)).scalar()
+
+    at = place(group)
+    return df.withColumn(
+        name,
+        F.when(at <= cut(n_test), "test").when(at <= cut(n_test + n_val), "val").otherwise("train"),
     )
-    joined = df.join(named, F.col(group).eqNullSafe(F.col("_group")))
-    return joined.drop("_group")
 
 
 def leaked_groups(df: DataFrame, group: str = "parent_asin", split: str = "split") -> DataFrame:

@@ -22,6 +22,7 @@ from lexiloom.operators import (
     reports, sampling, shaping, splits, word_vectors,
 )
 from lexiloom.operators import vocabulary as vb
+from lexiloom.operators.lookups import small_side
 from lexiloom.sources import readers, writers
 
 
@@ -78,7 +79,7 @@ def hash_sample(
     sizes = sampling.keep_probability(rows, category, target, oversample)
     kept = hashing.keep_with_probability(record_hash_key(), F.col("keep_prob"))
     marked = (
-        rows.join(sizes.select(category, "keep_prob"), category)
+        rows.join(small_side(sizes.select(category, "keep_prob")), category)
         .withColumn("_kept", (F.col("text_len") > 0) & kept)
     )
     log = sampling.sampling_log(marked, category, "_kept", "keep_prob")

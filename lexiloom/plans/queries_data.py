@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from lexiloom.functions import casts, hashing, labels
 from lexiloom.functions import text as tx
 from lexiloom.operators import reports, rows, sampling, shaping, splits
+from lexiloom.operators.lookups import small_side
 from lexiloom.plans.registry import query
 from lexiloom.plans.tables import (
     DOCUMENTS_SQL, REVIEWS_SQL, clean_sql, documents, hash_sql, reviews, sentiment_sql, split_sql,
@@ -428,7 +429,7 @@ def sampling_log(spark, sf):
     df = table(spark, sf, "events")
     probs = sampling.keep_probability(df, "event_type", 1000).select("event_type", "keep_prob")
     key = hashing.record_key("event_id", "user_id", "event_type", "props")
-    marked = df.join(probs, "event_type").withColumn(
+    marked = df.join(small_side(probs), "event_type").withColumn(
         "kept", hashing.keep_with_probability(key, F.col("keep_prob"))
     )
     return sampling.sampling_log(marked, "event_type", "kept", "keep_prob")
