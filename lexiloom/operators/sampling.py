@@ -69,6 +69,27 @@ def hash_rank(
     )
 
 
+def hash_cuts(df: DataFrame, key: str, ranks, seed=42, digits: int = 4) -> Column:
+    """Struct (c0, c1, …) of the (hash, key) found at the given ranks in hash order.
+
+    Only the buckets holding one of the ranks are sorted. A rank of 0 gives null.
+    """
+    b = _bucketed(df.select(key), key, seed, digits)
+    before, last = F.col("_before"), F.col("_before") + F.col("_rows")
+    holds = F.lit(False)
+    for r in ranks:
+        holds = holds | ((before < r) & (last >= r))
+    in_bucket = W.partitionBy("_bucket").orderBy("_hash", key)
+    ranked = _join_offsets(b, _offsets(b, []).filter(holds), []).withColumn(
+        "_rank", F.row_number().over(in_bucket) + F.col("_before")
+    )
+    place = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
+    found = ranked.agg(*[
+        F.max(F.when(F.col("_rank") == r, place)).alias(f"c{i}") for i, r in enumerate(ranks)
+    ])
+    return found.select(F.struct(*found.columns)).scalar()
+
+
 def exact_per_group(
     df: DataFrame, n: int | Column, key, by=(), seed=42, digits: int = 4
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import hashing
-from lexiloom.operators.sampling import hash_rank
+from lexiloom.operators.sampling import hash_cuts
 
 
 def by_group(
@@ -41,27 +41,19 @@ def by_group_exact(
     """Add a split column with an exact number of groups per split.
 
     ceil(test * groups) groups go to test, then ceil(val / (1 - test) * rest) to
-    val. The distinct groups are ranked in hash order, bucket by bucket; what the
-    rows need from that are the two cut points, so labelling them is row-local:
-    no join, however large a group is.
+    val. In hash order of the distinct groups that makes two cut points, and with
+    those labelling a row is row-local: no join, however large a group is.
     """
     groups = df.select(group).distinct()
     total = groups.agg(F.count("*")).scalar()
     n_test = F.ceil(F.lit(test) * total)
     n_val = F.ceil(F.lit(val / (1.0 - test)) * (total - n_test))
 
-    def place(c):
-        return F.struct(hashing.seeded_hash(c, seed).alias("h"), F.col(group).alias("k"))
-
-    ranked = hash_rank(groups, group, seed, name="_rank")
-
-    def cut(n):
-        return ranked.filter(F.col("_rank") == n).select(place(group)).scalar()
-
-    at = place(group)
+    cuts = hash_cuts(groups, group, [n_test, n_test + n_val], seed)
+    at = F.struct(hashing.seeded_hash(group, seed).alias("h"), F.col(group).alias("k"))
     return df.withColumn(
         name,
-        F.when(at <= cut(n_test), "test").when(at <= cut(n_test + n_val), "val").otherwise("train"),
+        F.when(at <= cuts["c0"], "test").when(at <= cuts["c1"], "val").otherwise("train"),
     )
 
 
