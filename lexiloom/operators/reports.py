@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,43 +31,45 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     return counts.select(column, (F.col("count") / present.agg(F.count("*")).scalar()).alias("share"))
 
 
-def exact_percentiles(df: DataFrame, column: str, shares, cells: int = 200) -> DataFrame:
+def exact_percentiles(df: DataFrame, column: str, shares, cells: int = 100) -> DataFrame:
     """(share, value): exact percentiles with linear interpolation.
 
     Approximate percentiles cut the range into cells; counting per cell shows
     which few cells hold the wanted ranks, and only the distinct values of those
-    are sorted. No task sees more than one cell.
+    are sorted. No task sees more than one cell. The cut points and cell counts
+    (at most ``cells`` numbers each) are fetched while the plan is built.
     """
     x = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
     marks = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    bounds = x.agg(F.percentile_approx("x", marks, F.lit(50 * cells))).scalar()
-    values = (
-        x.groupBy("x").agg(F.count("*").alias("n"))
-        .withColumn("b", bounds)
-        .withColumn("cell", F.size(F.filter("b", lambda m: m < F.col("x"))))
-        .drop("b")
+    bounds = sorted(set(x.agg(F.percentile_approx("x", marks, F.lit(50 * cells))).first()[0] or ()))
+    cut = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    values = x.groupBy("x").agg(F.count("*").alias("n")).withColumn(
+        "cell", F.size(F.filter(cut, lambda m: m < F.col("x")))
+    )
+    sizes = values.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
+    last = sum(r["n"] for r in sizes) - 1
+    wanted, before = [], 0
+    for r in sizes:
+        for p in shares:
+            at = float(p) * last
+            for rank in {math.floor(at), math.ceil(at)}:
+                if before <= rank < before + r["n"]:
+                    wanted.append((r["cell"], before, float(p), at - math.floor(at), rank))
+        before += r["n"]
+    ranks = df.sparkSession.createDataFrame(
+        wanted, "cell int, before long, share double, part double, rank long"
     )
-    sizes = values.groupBy("cell").agg(F.sum("n").alias("cell_n"))  # at most ``cells`` rows
-    earlier = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("cell_n").over(earlier), F.lit(0)))
-    total = sizes.agg(F.sum("cell_n")).scalar()
-    listed = F.array(*[F.lit(float(p)) for p in shares])
-    wanted = sizes.select(
-        "cell", "before", "cell_n", F.explode(listed).alias("share"), (total - 1).alias("last")
-    ).withColumn("at", F.col("share") * F.col("last")).withColumn(
-        "rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
-    ).filter("rank >= before AND rank < before + cell_n")
     inside = W.partitionBy("cell").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    needed = F.broadcast(wanted.select("cell", "before").distinct())  # at most ``cells`` rows
-    placed = values.join(needed, "cell").withColumn(
-        "start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    placed = values.filter(F.col("cell").isin(sorted({w[0] for w in wanted}))).withColumn(
+        "earlier", F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
-    hit = placed.join(F.broadcast(wanted.select("cell", "share", "at", "rank")), "cell").filter(
-        "rank >= start AND rank < start + n"
+    start = F.col("before") + F.col("earlier")
+    hit = placed.join(F.broadcast(ranks), "cell").filter(
+        (F.col("rank") >= start) & (F.col("rank") < start + F.col("n"))
     )
     low, high = F.min("x"), F.max("x")
-    return hit.groupBy("share", "at").agg(
-        (low + (high - low) * (F.col("at") - F.floor("at"))).alias("value")
+    return hit.groupBy("share", "part").agg(
+        (low + (high - low) * F.col("part")).alias("value")
     ).select("share", "value")
 
 
@@ -74,22 +78,24 @@ def describe(df: DataFrame, columns) -> DataFrame:
 
     NaN counts as missing.
     """
-    out = None
     df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[f(c).alias(f"{c}|{m}") for c in columns for m, f in measures.items()])
+    basic = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{m}`").alias(m) for m in measures])
+        for c in columns
+    ])))
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    quartiles = None
     for c in columns:
-        quartiles = exact_percentiles(df, c, (0.25, 0.5, 0.75)).agg(*[
-            F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{int(p * 100)}")
-            for p in (0.25, 0.5, 0.75)
-        ]).withColumn("column", F.lit(c))
-        basic = df.agg(
-            F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-        ).withColumn("column", F.lit(c))
-        row = basic.join(quartiles, "column").select(
-            "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+        one = exact_percentiles(df, c, list(shares.values())).withColumn("column", F.lit(c))
+        quartiles = one if quartiles is None else quartiles.unionByName(one)
+    quartiles = quartiles.groupBy("column").agg(*[
+        F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in shares.items()
+    ])
+    return basic.join(quartiles, "column", "left").select(
+        "column", "count", "mean", "std", "min", *shares, "max"
+    )
 
 
 def missing_values(df: DataFrame, columns=None) -> DataFrame:

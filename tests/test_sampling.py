@@ -123,3 +123,18 @@ def test_describe(spark):
     r = reports.describe(df, ["x"]).collect()[0].asDict()
     assert (r["count"], r["min"], r["p50"], r["max"]) == (3, 1.0, 2.0, 4.0)
     assert r["p25"] == 1.5 and r["mean"] == pytest.approx(7 / 3)
+
+
+def test_exact_percentiles_with_a_hot_value(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.full(3000, 7.0), rng.normal(0, 100, 4000), rng.integers(0, 50, 2001)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(6)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for cells in (3, 200):
+        got = {r["share"]: r["value"] for r in reports.exact_percentiles(df, "x", shares, cells).collect()}
+        assert [got[p] for p in shares] == pytest.approx(list(np.quantile(x, shares)), abs=1e-12)
+    assert reports.exact_percentiles(df.limit(0), "x", shares).count() == 0
+    empty = reports.describe(df.limit(0), ["x"]).collect()[0]
+    assert empty["count"] == 0 and empty["p50"] is None
