@@ -202,8 +202,8 @@ def fit_languages(docs: DataFrame, *, where: Column | None = None, key: str = "d
     rank = F.row_number().over(W.partitionBy("_label").orderBy("_h", F.xxhash64("_text")))
     sample = some.withColumn("_r", rank).where(F.col("_r") <= s.per_label).drop("_r")
     fitted = sample.repartition(1).mapInArrow(
-        _train(s, sorted(name for name, _ in per_label), idf), "model binary").first()
-    return pickle.loads(bytes(fitted[0]))
+        _train(s, sorted(name for name, _ in per_label), idf), "model binary").collect()
+    return pickle.loads(bytes(fitted[0][0]))
 
 
 def predict_languages(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:

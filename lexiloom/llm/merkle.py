@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import ship_package
 
-SHORT = 400  # bytes; a shorter text is cut finer
+FINER = ((120, 0), (400, 1))  # texts of fewer bytes are cut after more words: every one, every second
 LONGEST = 1024  # bytes of a piece at most
 LEAF = 8  # hex digits of a piece in the fingerprint
 
@@ -52,7 +52,7 @@ def fingerprint(text: str | None) -> str:
     sections; so roots are equal for equal texts only, but for collisions of 128 bits. Null reads as ''.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
-    mask = 1 if len(raw) < SHORT else 7
+    mask = next((m for size, m in FINER if len(raw) < size), 7)
     sections, own, own_hex, shown = [], [], [], []
     for line in raw.split(b"\n"):
         leaves = [_hash(p) for p in _pieces(line, mask)]
