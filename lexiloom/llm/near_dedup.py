@@ -48,6 +48,11 @@ class Sketch:
             n += 1
         return n
 
+    def least_estimate(self) -> float:
+        """Pairs estimated below this are not verified."""
+        j = self.percent / 100
+        return j - self.slack * (j * (1 - j) / self.size) ** 0.5
+
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -157,7 +162,7 @@ def _bands(s: Sketch):
 
 
 def _plausible(s: Sketch):
-    least = s.percent / 100 - s.slack * (s.percent / 100 * (1 - s.percent / 100) / s.size) ** 0.5
+    least = s.least_estimate()
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,39 +190,101 @@ def _sets(s: Sketch):
 def _linked(s: Sketch):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                keep.append(100 * both >= s.percent * (len(a) + len(b) - both))
+            keep = [_link(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), s)
+                    for pair in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return f
 
 
-def _candidates(live: DataFrame, how: str, s: Sketch) -> DataFrame:
-    """Distinct (a, b) of different components that share a band and fit in size."""
-    if how == "all":
-        left = live.select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        right = live.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = left.join(right, "key").where("ra <> rb and a < b")
+def _against_pivots(live: DataFrame, how: str, s: Sketch) -> DataFrame:
+    """Distinct (a, b): members of a band and its pivot, of different components, that fit in size.
+
+    ``central`` takes the member whose bands are fullest: of copies with edits of their own that is the original,
+    which resembles each of them more than they do each other. ``hashed`` takes one by hash, another in each band.
+    """
+    if how == "central":
+        crowd = live.groupBy("key").agg(F.count("*").alias("m"))
+        score = live.join(crowd, "key").groupBy("c").agg(F.sum("m").alias("mark"))
+        live = live.join(score, "c")
     else:
-        mark = F.xxhash64("key", "c", F.lit(how)) if how != "least" else F.lit(0).cast("long")
-        pivots = live.groupBy("key").agg(F.min(F.struct(
-            mark.alias("m"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))).alias("p"))
-        pairs = (live.join(pivots.select("key", "p.b", "p.nb", "p.rb"), "key")
-                 .where("root <> rb").withColumnsRenamed({"c": "a", "n": "na"}))
-    fits = 100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb")
-    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        live = live.withColumn("mark", F.xxhash64("key", "c"))
+    pivots = live.groupBy("key").agg(F.max(F.struct(
+        "mark", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))).alias("p"))
+    pairs = live.join(pivots.select("key", "p.b", "p.nb", "p.rb"), "key").where("root <> rb")
+    fits = 100 * F.least("n", "nb") >= s.percent * F.greatest("n", "nb")
+    return pairs.where(fits).select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+
+
+def _link(a: np.ndarray, b: np.ndarray, s: Sketch) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < s.percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= s.percent * (len(a) + len(b) - both)
+
+
+def _within_block(s: Sketch):
+    """Links of different components in one block of a band; of those that close a circle only the first.
+
+    Counts what each set shares with all others at once. Members of the most common component are not asked:
+    the others are held against them.
+    """
+    def f(block: pa.Table) -> pa.Table:
+        names = block["c"].to_pylist()
+        group = np.unique(block["root"].to_pylist(), return_inverse=True)[1]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["shingles"]]
+        # Blocks i < j hold both sides; pairs within a side are seen where i = j.
+        side = block["own"].to_numpy()
+        one = block["low"][0].as_py() == block["high"][0].as_py()
+        n = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        member = np.repeat(np.arange(len(sets)), n)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        held = np.zeros(number.max() + 1, bool)
+        parent = list(range(group.max() + 1))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i in np.flatnonzero(group != np.bincount(group).argmax()):
+            own = number[starts[i]:starts[i + 1]]
+            held[own] = True
+            both = np.bincount(member[held[number]], minlength=len(sets))
+            held[own] = False
+            linked = 100 * both >= s.percent * (n[i] + n - both)
+            for j in np.flatnonzero(linked & (group != group[i]) & (True if one else side != side[i])):
+                x, y = find(int(group[i])), find(int(group[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((names[i], names[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+    return f
+
+
+def _in_blocks(live: DataFrame, sets: DataFrame, s: Sketch, block: int = 600) -> DataFrame:
+    """(a, b): links between components that still share a band, all of its members compared.
+
+    A large band is cut into blocks by hash, and each pair of blocks is one small group, so no task holds a band
+    and no pair leaves its group unless it is a link that joins two components.
+    """
+    crowd = live.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    placed = live.join(crowd, "key").withColumn("own", own).join(sets, "c").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                          "own", "c", "root", "shingles")
+    return pairs.groupBy("key", "low", "high").applyInArrow(_within_block(s), "a binary, b binary")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, s: Sketch, text: str, key: str) -> DataFrame:
     """(node, component) over classes of equal sets that are joined by links.
 
-    Members of a band are first held against one pivot, then, where a band still joins several components,
-    against pivots by hash, and only what is left after that against every member of another
+    Members of a band are first held against a central pivot, then, where a band still holds several components,
+    against one by hash, and only what is left after that, in blocks, against every member of another
     component that shares the band. Members already in one component are never compared again, so a large group of
     copies costs about one comparison for each, and no candidate of different components stays unseen.
     """
@@ -236,28 +303,25 @@ def link_classes(docs: DataFrame, classes: DataFrame, s: Sketch, text: str, key:
     # Rows that repeat an id with another text give sets nobody asked for.
     sets = written(sets.join(needed.select(F.col("_c").alias("c")), "c", "left_semi").dropDuplicates(["c"]), "sets")
 
-    links = tried = None
+    links = None
     component = buckets.sparkSession.createDataFrame([], "node binary, component binary")
-    for how in ("least", "second", "third", "all"):
+    regs = lambda x: classes.select(F.col("c").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    members = lambda x: sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}"))
+    for how in ("central", "hashed", "blocks"):
         rooted = buckets.join(component, F.col("c") == F.col("node"), "left").select(
             "key", "c", "n", F.coalesce("component", "c").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
         live = written(rooted.join(mixed.select("key"), "key", "left_semi"), "live")
-        pairs = _candidates(live, how, s)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if how == "all" or live.isEmpty():
-                break
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        regs = lambda x: classes.select(F.col("c").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-        plausible = (pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "ra", "na", "rb", "nb")
-                     .mapInArrow(_plausible(s), "a binary, b binary"))
-        members = lambda x: sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s{x}"))
-        found = (plausible.join(members("a"), "a").join(members("b"), "b").select("a", "b", "sa", "sb")
-                 .mapInArrow(_linked(s), "a binary, b binary"))
+        if live.isEmpty():
+            break
+        if how == "blocks":
+            found = _in_blocks(live, sets, s)
+        else:
+            pairs = written(_against_pivots(live, how, s), "pairs")
+            plausible = (pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "ra", "na", "rb", "nb")
+                         .mapInArrow(_plausible(s), "a binary, b binary"))
+            found = (plausible.join(members("a"), "a").join(members("b"), "b").select("a", "b", "sa", "sb")
+                     .mapInArrow(_linked(s), "a binary, b binary"))
         found = written(found, "links")
         links = found if links is None else links.union(found)
         component = connected_components(links, "a", "b")
