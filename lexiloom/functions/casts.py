@@ -14,8 +14,11 @@ def to_number(c: Column | str) -> Column:
 
 
 def to_whole(c: Column | str) -> Column:
-    """Long, through double so that '3.0' is accepted; null when not a number."""
-    return to_number(c).try_cast("long")
+    """Long; '3.0' is accepted through double. Null when not a number.
+
+    Whole numbers are cast as they are, because a double holds them only up to 2**53.
+    """
+    return F.coalesce(_col(c).try_cast("long"), to_number(c).try_cast("long"))
 
 
 def epoch_ms_to_time(c: Column | str) -> Column:

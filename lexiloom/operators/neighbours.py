@@ -297,11 +297,14 @@ def _with_cells(df: DataFrame, pivots) -> DataFrame:
     return df.mapInArrow(assign, schema)
 
 
-def _cell_pairs(q_stats, c_stats, pivots: np.ndarray, k: int, block_rows: int) -> list[tuple]:
+def _cell_pairs(
+    q_stats, c_stats, pivots: np.ndarray, k: int, block_rows: int, drop_exact: bool = False
+) -> list[tuple]:
     """Which candidate cells can hold a neighbour of which query cell.
 
     ``limit`` bounds the distance to the (k+1)-th neighbour for every query in
-    the cell: query to pivot, pivot to pivot, pivot to candidate.
+    the cell: query to pivot, pivot to pivot, pivot to candidate. With ``drop_exact`` any number of
+    the candidates may be copies of the query, so nothing is bounded and every cell is compared.
     """
     between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
     pairs = []
@@ -312,7 +315,7 @@ def _cell_pairs(q_stats, c_stats, pivots: np.ndarray, k: int, block_rows: int) -
         limit, seen = math.inf, 0
         for way, rows in ways:
             seen += rows
-            if seen >= k + 1:
+            if seen >= k + 1 and not drop_exact:
                 limit = way
                 break
         for j, c in c_stats.items():
@@ -352,7 +355,7 @@ def _by_blocks(q: DataFrame, c: DataFrame, opts, block_rows: int) -> DataFrame:
             )
             return {r["cell"]: r.asDict() for r in rows.collect()}
 
-        pairs = _cell_pairs(stats(q_cells), stats(c_cells), unit, k, block_rows)
+        pairs = _cell_pairs(stats(q_cells), stats(c_cells), unit, k, block_rows, opts["drop_exact"])
         if pairs:
             found.append(_join_blocks(spark, q, q_cells, c_cells, pairs, opts))
     # Zero vectors score 0 with everything: of those, only the k+1 lowest ids matter.

@@ -41,10 +41,12 @@ def with_sentiment(df: DataFrame) -> DataFrame:
 
 
 def with_cleaned_text(df: DataFrame, source: str = "text") -> DataFrame:
-    """Add ``cleaned_text`` unless it exists."""
+    """Add ``cleaned_text`` unless it exists; an error if there is no text to clean."""
     if "cleaned_text" in df.columns:
         return df
-    return df.withColumn("cleaned_text", tx.clean_text(source if source in df.columns else df.columns[0]))
+    if source not in df.columns:
+        raise ValueError(f"no column '{source}' to clean; there are {', '.join(df.columns)}")
+    return df.withColumn("cleaned_text", tx.clean_text(source))
 
 
 def drop_empty_text(df: DataFrame, column: str = "cleaned_text") -> DataFrame:

@@ -29,10 +29,13 @@ from lexiloom.sources import readers, writers
 # ---------------------------------------------------------------- sampling
 def sample_reviews(
     spark: SparkSession, sources: Mapping[str, str], n: int, out: str, seed=42,
-    key: tuple[str, ...] = ("user_id", "parent_asin", "timestamp", "text"),
+    key: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Per source file an exact sample with labels, all sources combined.
 
+    Rows are drawn by a hash of ``key``, by default of all their columns, so that records differing in
+    any column are drawn apart, whatever the order of the file.
+
     ``sources`` maps a category to its JSON-lines path. A finished combined table
     is reused, and so is each finished source sample.
     """
@@ -41,7 +44,7 @@ def sample_reviews(
             rows = readers.read_jsonl_lenient(
                 spark, path, partitions=spark.sparkContext.defaultParallelism
             )
-            keyed = rows.withColumn("_key", hashing.record_key(*key))
+            keyed = rows.withColumn("_key", hashing.record_key(*(key or rows.columns)))
             kept = shaping.keep_available(sampling.exact(keyed, n, "_key", seed), sc.SAMPLE_COLUMNS)
             return shaping.with_sentiment(shaping.with_category(kept, category))
 
@@ -205,7 +208,7 @@ def tfidf_features(tfidf: DataFrame, docs: DataFrame, terms: int, key: str = "ro
 
 def baseline_probes(
     df: DataFrame, out: str, key: str = "row_id", train_rows: int = 250_000,
-    val_rows: int = 50_000, n_components: int = 100,
+    val_rows: int | None = None, n_components: int = 100,
     settings: vb.TermSettings = vb.TermSettings(max_features=25_000), seed=42,
     task: str = "main_category", examples: int = 5, **fit_options,
 ) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +216,8 @@ def baseline_probes(
     rows = shaping.drop_missing(df, ["cleaned_text", "sentiment", "main_category"])
     parts = {"train": train_rows, "val": val_rows}
     sampled = shaping.union_tables(*[
-        sampling.exact(rows.filter(F.col("split") == s), n, key, seed) for s, n in parts.items()
+        rows.filter(F.col("split") == s) if n is None
+        else sampling.exact(rows.filter(F.col("split") == s), n, key, seed) for s, n in parts.items()
     ])
     writers.write_table(sampled, f"{out}/sample")
     sampled = readers.read_table(df.sparkSession, f"{out}/sample")
@@ -273,9 +277,16 @@ def train_word_vectors(
 
 
 # ---------------------------------------------------------------- evaluation
+def _with_sparse(info: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Every row of ``info`` with its sparse vector; a text without a known term has an empty one."""
+    return info.join(rows, key, "left").withColumns({
+        f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in rows.schema if f.name != key
+    })
+
+
 def evaluate(
     labels: DataFrame, dense: Mapping[str, DataFrame], sparse: Mapping[str, tuple[DataFrame, int]],
-    key: str = "row_id", k: int = 10, query_limit: int = 1000, n_clusters: int = 4,
+    key: str = "row_id", k: int = 10, query_limit: int | None = None, n_clusters: int = 4,
     seed: int = 42, **fit_options,
 ) -> dict[str, DataFrame]:
     """Classification, retrieval and clustering of every representation, and the joint table.
@@ -288,7 +299,9 @@ def evaluate(
     frames, ranked, clustered = {}, {}, {}
     payload = ["db_category", "db_sentiment"]
     named = info.withColumnsRenamed({"main_category": "db_category", "sentiment": "db_sentiment"})
-    queries = info.filter("split = 'val'").orderBy(key).limit(query_limit)
+    queries = info.filter("split = 'val'")
+    if query_limit is not None:
+        queries = queries.orderBy(key).limit(query_limit)
     database = named.filter("split = 'train'")
     for name, vectors in dense.items():
         rows = info.join(vectors.select(key, "vector"), key)
@@ -305,7 +318,7 @@ def evaluate(
         rows = vb.sparse_rows(weights, key)
         frames[name] = tfidf_features(weights, info, terms, key)
         ranked[name] = neighbours.nearest_sparse(
-            queries.join(rows, key), database.join(rows, key), k, key, key,
+            _with_sparse(queries, rows, key), _with_sparse(database, rows, key), k, key, key,
             payload=payload, exclude_self=False,
         )
         # TF-IDF rows already have unit length.

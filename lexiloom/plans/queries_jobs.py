@@ -25,15 +25,15 @@ _JOB_KEY = "concat_ws('||', coalesce(text, ''), coalesce(parent_asin, ''))"
 
 
 @query(f"""WITH {REVIEWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY main_category
-ORDER BY {hash_sql(_JOB_KEY)}, {_JOB_KEY}) AS n FROM reviews WHERE main_category IN ('en', 'fr'))
+ORDER BY {hash_sql(_JOB_KEY)}, {_JOB_KEY}) AS n FROM reviews)
 SELECT main_category, parent_asin, rating, {sentiment_sql('rating')} AS sentiment,
        md5(text) AS digest FROM r WHERE n <= 100""")
 def sampled_reviews_job(spark, sf):
-    """Two categories from their own gzip JSON-lines folders, 100 rows each, combined."""
+    """All categories from their own gzip JSON-lines folders, 100 rows each, combined."""
     out = shared_dir(spark, "sample")
     rows = reviews(spark, sf).select("main_category", "text", "parent_asin", "rating")
     sources = {}
-    for name in ("en", "fr"):
+    for name in ("de", "en", "es", "fr"):
         part = rows.filter(F.col("main_category") == name).drop("main_category")
         sources[name] = writers.write_jsonl(part, f"{out}/raw/{name}", gzip=True)
     df = jobs.sample_reviews(spark, sources, 100, out, key=("text", "parent_asin"))

@@ -228,7 +228,7 @@ def neighbours_of_examples(spark, sf):
 
 # ---------------------------------------------------------------- retrieval
 @query(f"""WITH {LABELLED_SQL}, parts AS (SELECT *, {split_sql('row_id')} AS split FROM labelled),
-asked AS (SELECT * FROM parts WHERE split = 'val' ORDER BY row_id LIMIT 1000),
+asked AS (SELECT * FROM parts WHERE split = 'val'),
 db AS (SELECT * FROM parts WHERE split = 'train'), {_nearest_sql(10, 'asked', 'db',
 ', q.main_category = c.main_category AND q.sentiment = c.sentiment AS relevant')},
 firsts AS (SELECT query_id, min(neighbor_rank) FILTER (relevant) AS r FROM nearest GROUP BY 1)
@@ -237,7 +237,7 @@ SELECT round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall_at_10,
 def retrieval_scores(spark, sf):
     parts = splits.by_group(labelled_vectors(spark, sf), "row_id")
     names = {"main_category": "db_category", "sentiment": "db_sentiment"}
-    asked = parts.filter("split = 'val'").orderBy("row_id").limit(1000)
+    asked = parts.filter("split = 'val'")
     db = parts.filter("split = 'train'").withColumnsRenamed(names)
     found = neighbours.nearest(asked, db, 10, payload=list(names.values()), exclude_self=False)
     own = asked.select(F.col("row_id").alias("query_id"), "main_category", "sentiment")
