@@ -13,7 +13,7 @@ from lexiloom.llm import decontamination, language_id, line_dedup, mixing, near_
 from lexiloom.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.5  # a document whose language is less likely than that goes
+LEAST_SCORE = 0.3  # a document whose language is less likely than that goes; short clean texts are often near 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
