@@ -87,19 +87,17 @@ def pairwise_cosine(
 ) -> DataFrame:
     """Full cosine matrix of a small set as (key_a, key_b, cosine), both triangles.
 
-    A matrix product written as a join on the dimension. The result has rows^2
-    entries, so the set must be small: the size is checked. For larger sets ask
-    for the k nearest instead.
+    The set is small, which is checked, so it reaches every row as one list and nothing is
+    joined on the dimension. For larger sets ask for the k nearest instead.
     """
     if df.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows; use neighbours.nearest")
-    unit = df.select(key, F.posexplode(vec.normalize(vector)).alias("_pos", "_x"))
-    a = unit.select(F.col(key).alias(f"{key}_a"), "_pos", F.col("_x").alias("_xa"))
-    b = unit.select(F.col(key).alias(f"{key}_b"), "_pos", F.col("_x").alias("_xb"))
-    return (
-        a.join(b, "_pos")
-        .groupBy(f"{key}_a", f"{key}_b")
-        .agg(F.round(F.sum(F.col("_xa") * F.col("_xb")), digits).alias("cosine"))
+    unit = df.select(F.col(key).alias("k"), vec.normalize(vector).alias("v"))
+    listed = unit.agg(F.collect_list(F.struct("k", "v")))
+    pairs = unit.select("k", "v", F.explode(listed.scalar()).alias("o"))
+    return pairs.select(
+        F.col("k").alias(f"{key}_a"), F.col("o.k").alias(f"{key}_b"),
+        F.round(vec.dot("v", F.col("o.v")), digits).alias("cosine"),
     )
 
 
@@ -129,15 +127,16 @@ def plane_projection(
     df: DataFrame, key: str, label: str, cap: int = 2500, vector: str = "vector", seed=42,
     carry=(),
 ) -> DataFrame:
-    """Two principal coordinates of a balanced sample of unit-length vectors."""
+    """Two principal coordinates, with mean 0, of a balanced sample of unit-length vectors."""
     sample = sampling.smallest_class_sample(
         df.select(key, label, *carry, vector), cap, key, label, seed
     ).withColumn("_v", mlvectors.dense(vec.normalize(vector)))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(sample)
     at = vector_to_array("_p")
-    return model.transform(sample).select(
+    placed = model.transform(sample).select(
         key, label, *carry, at[0].alias("x"), at[1].alias("y")
     )
+    return placed.withColumns({c: F.col(c) - placed.agg(F.avg(c)).scalar() for c in ("x", "y")})
 
 
 # ---------------------------------------------------------------- clusters

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions import mlvectors
 from lexiloom.functions import vectors as vec
 from lexiloom.operators import (
     cases, evaluation, latent_space, models, neighbours, outliers, pooling, reports, sampling,
@@ -340,13 +341,16 @@ def most_similar_classes(spark, sf):
     return latent_space.most_similar_pair(reports.rounded(df, ["cosine"], 9), "label")
 
 
-@query(f"""WITH {_centroid_sql(False)} SELECT label, count(*) AS dims, round(sum(m), 9) AS total
+@query(f"""WITH {_centroid_sql(False)} SELECT label, count(*) AS dims, round(sum(m), 9) AS total,
+round(sum(m * m), 9) AS energy, round(max(m), 9) AS most, round(min(m) FILTER (pos = 1), 9) AS first
 FROM means GROUP BY 1""")
 def class_centroids(spark, sf):
     df = latent_space.centroids(vectors(spark, sf), "label")
     total = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)
     return df.select(
-        "label", F.size("centroid").cast("long").alias("dims"), F.round(total, 9).alias("total")
+        "label", F.size("centroid").cast("long").alias("dims"), F.round(total, 9).alias("total"),
+        F.round(vec.dot("centroid", "centroid"), 9).alias("energy"),
+        F.round(F.array_max("centroid"), 9).alias("most"), F.round(F.col("centroid")[0], 9).alias("first"),
     )
 
 
@@ -377,3 +381,79 @@ def isolation_outliers(spark, sf):
 def isolation_decision_scores(spark, sf):
     df = outliers.anomaly_scores(vectors(spark, sf), "row_id", trees=200)
     return outliers.decision_score(df).select("row_id", "outlier_score")
+
+
+# ---------------------------------------------------------------- facts that learned results must satisfy
+@query(f"""WITH {LABELLED_SQL}, sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY 1),
+shown AS (SELECT least(min(n), 2500) * count(*) AS n FROM sizes)
+SELECT n::BIGINT AS rows, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y, 0.0::DOUBLE AS covariance,
+       true AS widest_first FROM shown""")
+def plane_axes(spark, sf):
+    """Principal coordinates have mean 0, no covariance, and the wider axis first."""
+    df = plane_projection(spark, sf)
+    near = lambda c: F.round(c, 9) + F.lit(0.0)
+    return df.agg(
+        F.count("*").alias("rows"), near(F.avg("x")).alias("mean_x"), near(F.avg("y")).alias("mean_y"),
+        near(F.covar_pop("x", "y")).alias("covariance"),
+        (F.var_pop("x") >= F.var_pop("y")).alias("widest_first"),
+    )
+
+
+@query("SELECT count(*) AS rows, count(*) AS nearest_to_own FROM embeddings")
+def kmeans_facts(spark, sf):
+    """No row is nearer to the mean of another cluster than to that of its own (within the stopping tolerance)."""
+    df = models.kmeans_clusters(vectors(spark, sf), 10).select("cluster", "vector")
+    means = latent_space.centroids(df, "cluster", normalize=True)
+    listed = means.agg(F.collect_list(F.struct("cluster", "centroid"))).scalar()
+    rows = df.select("cluster", vec.normalize("vector").alias("u"), listed.alias("means"))
+    away = lambda m: vec.dot(m["centroid"], m["centroid"]) - 2 * vec.dot("u", m["centroid"])
+    own = F.filter("means", lambda m: m["cluster"] == F.col("cluster"))[0]
+    best = F.array_min(F.transform("means", away))
+    return rows.agg(
+        F.count("*").alias("rows"), F.count_if(away(own) <= best + 1e-3).alias("nearest_to_own")
+    )
+
+
+@query("""SELECT count(*) + 1 AS rows, count(*) + 1 AS in_range, count(*) + 1 AS same_when_dealt_anew,
+(-1)::BIGINT AS most_anomalous FROM embeddings""")
+def isolation_of_planted_row(spark, sf):
+    """A row far from all others comes first; scores stay in range and do not depend on the layout."""
+    rows = vectors(spark, sf).select(F.col("row_id").cast("long").alias("row_id"), vec.as_double("vector").alias("vector"))
+    far = rows.limit(1).select(
+        F.lit(-1).cast("long").alias("row_id"), F.transform("vector", lambda x: x * 0 + 1000.0).alias("vector")
+    )
+    planted = rows.union(far)
+    scored = outliers.anomaly_scores(planted, "row_id").select("row_id", "anomaly_score")
+    again = outliers.anomaly_scores(planted.repartition(7, "vector"), "row_id").select(
+        "row_id", F.col("anomaly_score").alias("again")
+    )
+    score = F.col("anomaly_score")
+    return scored.join(again, "row_id").agg(
+        F.count("*").alias("rows"), F.count_if((score >= -1) & (score < 0)).alias("in_range"),
+        F.count_if(F.abs(score - F.col("again")) < 1e-12).alias("same_when_dealt_anew"),
+        F.min_by("row_id", "anomaly_score").alias("most_anomalous"),
+    )
+
+
+@query(f"""WITH {VECTORS_SQL}, kinds AS (SELECT {split_sql('row_id')} AS split,
+  'kind ' || ((vector[1] > 0)::INT + (vector[2] > 0)::INT) AS kind FROM vectors),
+counted AS (SELECT split, kind AS y_true, kind AS y_pred, count(*) AS n FROM kinds WHERE split <> 'train' GROUP BY 1, 2)
+SELECT 'logistic' AS probe, * FROM counted UNION ALL SELECT 'svm', * FROM counted""")
+def separable_probes(spark, sf):
+    """Labels a rule reads off the vector, made linearly separable by three more coordinates: all are found."""
+    kind = (F.col("vector")[0] > 0).cast("int") + (F.col("vector")[1] > 0).cast("int")
+    rows = splits.by_group(vectors(spark, sf), "row_id").withColumn("k", kind)
+    marks = F.array(*[F.when(F.col("k") == i, 20.0).otherwise(0.0) for i in range(3)])
+    rows = rows.select(
+        "split", F.concat(F.lit("kind "), F.col("k").cast("string")).alias("kind"),
+        mlvectors.dense(F.concat(vec.as_double("vector"), marks)).alias("features"),
+    )
+    train, asked = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    out = []
+    for name, model in (
+        ("logistic", models.fit_logistic_probe(train, "kind", max_iter=100)),
+        ("svm", models.fit_svm_probe(train, "kind", max_iter=50)),
+    ):
+        found = models.predict(model, asked, "kind").groupBy("split", "y_true", "y_pred")
+        out.append(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("probe"), "*"))
+    return out[0].unionByName(out[1])
