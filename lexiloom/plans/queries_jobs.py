@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from lexiloom.config import EmbeddingConfig
 from lexiloom.functions import mlvectors
+from lexiloom.functions import vectors as vec
 from lexiloom.operators import (
-    evaluation, models, shaping, splits,
+    evaluation, latent_semantic, models, shaping, splits,
 )
 from lexiloom.operators import vocabulary as vb
 from lexiloom.plans import jobs
 from lexiloom.plans.queries_data import _SHAPED_SQL, _raw_events
 from lexiloom.plans.registry import query
 from lexiloom.plans.tables import (
-    REVIEWS_SQL, clean_sql, hash_sql, reviews, sentiment_sql, split_sql, unit_sql, vectors,
+    REVIEWS_SQL, VECTORS_SQL, clean_sql, hash_sql, reviews, sentiment_sql, split_sql, terms_sql, unit_sql,
+    vectors,
 )
 from lexiloom.session import shared_dir
 from lexiloom.sources import readers, writers
@@ -154,6 +156,52 @@ def baseline_features_job(spark, sf):
     return base.summary
 
 
+_PARTS_SQL = f"""{_PREPARED_SQL},
+g AS (SELECT parent_asin, row_number() OVER (ORDER BY {hash_sql('parent_asin')}, parent_asin) AS r, count(*) OVER () AS n
+      FROM (SELECT DISTINCT parent_asin FROM prepared)),
+t AS (SELECT *, ceil(0.15::DOUBLE * n) AS nt FROM g),
+v AS (SELECT *, ceil((0.15::DOUBLE / (1.0::DOUBLE - 0.15::DOUBLE)) * (n - nt)) AS nv FROM t),
+parts AS (SELECT p.row_id, p.main_category, p.cleaned_text,
+    CASE WHEN r <= nt THEN 'test' WHEN r <= nt + nv THEN 'val' ELSE 'train' END AS split
+  FROM prepared p JOIN v ON p.parent_asin IS NOT DISTINCT FROM v.parent_asin)"""
+
+
+@query(f"""WITH {_PARTS_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
+{terms_sql('train', 'row_id', 'cleaned_text')},
+vocabulary AS (SELECT term FROM terms GROUP BY 1 HAVING count(DISTINCT row_id) >= 5
+  AND count(DISTINCT row_id) <= 0.95 * (SELECT count(*) FROM train))
+SELECT split, count(*) AS rows, (SELECT least(count(*), {_TERMS.max_features}) FROM vocabulary) AS features,
+       20 AS components, true AS explains_a_share FROM parts GROUP BY 1""")
+def baseline_features_facts(spark, sf):
+    """Rows of every split, vocabulary size and rank of the features job; the explained share is one."""
+    base = jobs.build_baselines(
+        _prepared(spark, sf), shared_dir(spark, "baselines"), settings=_TERMS, n_components=20
+    )
+    return base.summary.select(
+        "split", "rows", "features", "components",
+        F.col("explained_variance_ratio_sum").between(0.0, 1.0).alias("explains_a_share"),
+    )
+
+
+@query(f"""WITH {VECTORS_SQL}, squares AS (
+  SELECT len(vector) AS d, list_sum(list_transform(vector, lambda x: x * x)) AS q FROM vectors)
+SELECT max(d) AS values, round(sum(q), 6) AS energy, count(*) AS rows, count(*) AS lengths_kept FROM squares""")
+def singular_value_facts(spark, sf):
+    """At full rank the squared singular values add up to the table's, and the basis keeps every row's length."""
+    rows = vectors(spark, sf)
+    dims = rows.select(F.max(F.size("vector"))).first()[0]
+    long = rows.select("row_id", F.posexplode(vec.as_double("vector")).alias("term_id", "weight"))
+    model = latent_semantic.fit(long, "row_id", dims, dims)
+    turned = latent_semantic.project(long, model, "row_id", "turned")
+    length = vec.norm("vector")
+    return rows.join(turned, "row_id").agg(
+        F.lit(model.size).cast("long").alias("values"),
+        F.round(F.lit(sum(x * x for x in model.singular_values)), 6).alias("energy"),
+        F.count("*").alias("rows"),
+        F.count_if(F.abs(vec.norm("turned") - length) <= 1e-5 * length).alias("lengths_kept"),
+    )
+
+
 @query()
 def baseline_probes_job(spark, sf):
     scores, _ = jobs.baseline_probes(
@@ -163,7 +211,18 @@ def baseline_probes_job(spark, sf):
     return scores
 
 
-@query()
+_CATEGORIES = ", ".join(f"'{c}'" for c in _W2V.categories)
+
+
+@query(f"""WITH {_PARTS_SQL}, cut AS (
+  SELECT split, list_filter(string_split(cleaned_text, ' '), lambda x: x <> '') AS w FROM parts
+  WHERE main_category IN ({_CATEGORIES})),
+words AS (SELECT split, CASE WHEN len(w) >= {_W2V.min_review_tokens} THEN w ELSE [] END AS w FROM cut),
+known AS (SELECT term FROM (SELECT unnest(w) AS term FROM words WHERE split = 'train') GROUP BY 1
+  HAVING count(*) >= {_W2V.min_count}),
+hits AS (SELECT split, list_has_any(w, (SELECT list(term) FROM known)) AS hit FROM words)
+SELECT split, count(*) AS rows, count(*) FILTER (hit) AS nonzero_rows,
+       count(*) FILTER (hit)::DOUBLE / count(*) AS coverage FROM hits GROUP BY 1""")
 def word_vectors_job(spark, sf):
     made = jobs.train_word_vectors(
         _prepared(spark, sf), _W2V, shared_dir(spark, "words"),
