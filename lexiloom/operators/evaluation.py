@@ -129,17 +129,17 @@ def unified_table(
     classification: DataFrame, retrieval: DataFrame, clustering: DataFrame, k: int = 10
 ) -> DataFrame:
     """Test scores of both tasks next to retrieval and clustering, best category F1 first."""
-    def task(name: str) -> DataFrame:
-        rows = classification.filter((F.col("split") == "test") & (F.col("task") == name))
-        return rows.select(
-            "representation",
-            F.col("macro_f1").alias(f"{name}_test_macro_f1"),
-            F.col("accuracy").alias(f"{name}_test_accuracy"),
-        )
+    def pick(value: str, name: str):
+        return F.max(F.when(F.col("task") == name, F.col(value))).alias(f"{name}_test_{value}")
 
+    # One pass over the classification scores; a representation needs both tasks.
+    tasks = ("sentiment", "category")
+    scores = classification.filter(F.col("split") == "test").groupBy("representation").agg(
+        *[pick(v, t) for t in tasks for v in ("macro_f1", "accuracy")],
+        *[F.count_if(F.col("task") == t).alias(f"_{t}") for t in tasks],
+    )
     return (
-        task("sentiment")
-        .join(task("category"), "representation")
+        scores.filter("_sentiment > 0 AND _category > 0").drop("_sentiment", "_category")
         .join(retrieval.select("representation", f"recall_at_{k}", f"mrr_at_{k}"),
               "representation", "left")
         .join(clustering, "representation", "left")

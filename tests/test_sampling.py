@@ -138,3 +138,17 @@ def test_exact_percentiles_with_a_hot_value(spark):
     assert reports.exact_percentiles(df.limit(0), "x", shares).count() == 0
     empty = reports.describe(df.limit(0), ["x"]).collect()[0]
     assert empty["count"] == 0 and empty["p50"] is None
+
+def test_percentiles_of_several_columns_cut_again_until_cells_are_small(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(0, 1, 3000), np.concatenate([np.full(2990, 5.0), rng.normal(5, 1e-9, 10)])
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)],
+                               "a double, b double, c double").repartition(4)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    out = reports.exact_percentiles(df, ["a", "b", "c"], shares, cells=4, most=20).collect()
+    got = {(r["column"], r["share"]): r["value"] for r in out}
+    assert len(out) == len(got) == 10
+    for name, x in (("a", a), ("b", b)):
+        assert [got[name, p] for p in shares] == pytest.approx(list(np.quantile(x, shares)), abs=1e-12)
