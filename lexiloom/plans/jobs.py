@@ -121,7 +121,7 @@ def prepare(
     """Label, clean, drop empty text, split by group, keep the output columns.
 
     One chain of row-local steps without a shuffle; ``exact_groups`` fixes the
-    number of groups per split instead, at the price of a join on the group.
+    number of groups per split, for which two cut points are found first.
     """
     rows = shaping.with_cleaned_text(shaping.with_sentiment(shaping.rename_category(df)))
     split = splits.by_group_exact if exact_groups else splits.by_group
@@ -235,10 +235,14 @@ def baseline_probes(
 
 # ---------------------------------------------------------------- word vectors
 def train_word_vectors(
-    df: DataFrame, cfg: EmbeddingConfig, out: str, key: str = "row_id", partitions: int = 1
+    df: DataFrame, cfg: EmbeddingConfig, out: str, key: str = "row_id", partitions: int | None = None
 ) -> dict[str, DataFrame]:
-    """Scope, cap, fit, export vectors of all splits, sanity tables, summary."""
+    """Scope, cap, fit, export vectors of all splits, sanity tables, summary.
+
+    Training uses as many partitions as the session has cores unless told otherwise.
+    """
     spark = df.sparkSession
+    partitions = partitions or spark.sparkContext.defaultParallelism
     parts = []
     for split, cap in (("train", cfg.max_train_rows), ("val", cfg.max_vector_rows),
                        ("test", cfg.max_vector_rows)):
@@ -366,14 +370,30 @@ def write_evaluation(tables: Mapping[str, DataFrame], out: str) -> dict[str, Dat
 # ---------------------------------------------------------------- reports
 def retrieval_report(
     unified: DataFrame, retrieval: DataFrame, clustering: DataFrame, document_checks: DataFrame,
-    rows: DataFrame, key: str = "row_id", n_clusters: int = 4, sample: int = 12_000,
-    settings: vb.TermSettings = vb.TermSettings(**vb.KEYWORD_SETTINGS), seed: int = 42,
+    rows: DataFrame | Mapping[str, DataFrame], key: str = "row_id", n_clusters: int = 4,
+    sample: int | None = None, settings: vb.TermSettings = vb.TermSettings(**vb.KEYWORD_SETTINGS),
+    seed: int = 42,
 ) -> dict[str, DataFrame]:
-    """Comparison, case studies and cluster summaries. ``rows``: labelled text with vectors."""
-    table = cases.neighbour_table(document_checks, rows, key)
+    """Comparison, case studies and cluster summaries.
+
+    ``rows`` is labelled text with vectors, or one such table for each representation; the
+    cluster tables then cover all of them, named in ``representation``, and the first one supplies
+    the texts of the cases. ``sample`` bounds the rows that are clustered; by default all are.
+    """
+    spaces = rows if isinstance(rows, Mapping) else {"word2vec": rows}
+    table = cases.neighbour_table(document_checks, next(iter(spaces.values())), key)
     summary = cases.case_summary(table)
-    pool = shaping.drop_zero_vectors(sampling.exact(rows, sample, key, seed))
-    clustered = models.kmeans_clusters(pool, n_clusters, seed=seed)
+    found = {"clusters": [], "composition": [], "sentiment_composition": []}
+    for name, vectors in spaces.items():
+        pool = vectors if sample is None else sampling.exact(vectors, sample, key, seed)
+        clustered = models.kmeans_clusters(shaping.drop_zero_vectors(pool), n_clusters, seed=seed)
+        tables = {
+            "clusters": latent_space.cluster_summary(clustered, key, settings=settings),
+            "composition": reports.crosstab_shares(clustered, "cluster", "main_category"),
+            "sentiment_composition": reports.crosstab_shares(clustered, "cluster", "sentiment"),
+        }
+        for report, made in tables.items():
+            found[report].append(made.withColumn("representation", F.lit(name)))
     return {
         "comparison": evaluation.side_by_side(retrieval, clustering),
         "winners": evaluation.winners(
@@ -381,12 +401,19 @@ def retrieval_report(
         ),
         "cases": summary,
         "examples": cases.case_rows(table, cases.representative_cases(summary)),
-        "clusters": latent_space.cluster_summary(clustered, key, settings=settings),
-        "composition": reports.crosstab_shares(clustered, "cluster", "main_category"),
-        "sentiment_composition": reports.crosstab_shares(clustered, "cluster", "sentiment"),
+        **{report: shaping.union_tables(*made) for report, made in found.items()},
     }
 
 
+def long_form(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All tables of a report in one: (report, row as JSON)."""
+    out = None
+    for name, table in tables.items():
+        one = table.select(F.lit(name).alias("report"), F.to_json(F.struct("*")).alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def latent_report(
     rows: DataFrame, unified: DataFrame, key: str = "row_id", k: int = 10, top_outliers: int = 20,
     trees: int = 200, cap: int = 2500, seed: int = 42, text: str = "cleaned_text",

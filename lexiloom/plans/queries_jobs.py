@@ -224,10 +224,7 @@ hits AS (SELECT split, list_has_any(w, (SELECT list(term) FROM known)) AS hit FR
 SELECT split, count(*) AS rows, count(*) FILTER (hit) AS nonzero_rows,
        count(*) FILTER (hit)::DOUBLE / count(*) AS coverage FROM hits GROUP BY 1""")
 def word_vectors_job(spark, sf):
-    made = jobs.train_word_vectors(
-        _prepared(spark, sf), _W2V, shared_dir(spark, "words"),
-        partitions=spark.sparkContext.defaultParallelism,
-    )
+    made = jobs.train_word_vectors(_prepared(spark, sf), _W2V, shared_dir(spark, "words"))
     return made["exports"]
 
 
@@ -254,14 +251,14 @@ def logistic_probe(spark, sf):
 def _evaluated(spark, sf):
     rows = _prepared(spark, sf)
     base = jobs.build_baselines(rows, shared_dir(spark, "baselines"), settings=_TERMS, n_components=20)
-    words = jobs.train_word_vectors(
-        rows, _W2V, shared_dir(spark, "words"), partitions=spark.sparkContext.defaultParallelism
-    )
+    words = jobs.train_word_vectors(rows, _W2V, shared_dir(spark, "words"))
     tables = jobs.evaluate(
         rows, {"lsa": base.lsa, "word2vec": words["vectors"]}, {"tfidf": (base.tfidf, base.terms)},
         max_iter=50,
     )
-    return rows, words, jobs.write_evaluation(tables, shared_dir(spark, "evaluation"))
+    held = rows.filter("split = 'val'").join(base.lsa.select("row_id", "vector"), "row_id")
+    spaces = {"word2vec": words["vectors"].filter("split = 'val'"), "lsa": held}
+    return spaces, words, jobs.write_evaluation(tables, shared_dir(spark, "evaluation"))
 
 
 @query()
@@ -271,16 +268,16 @@ def evaluation_job(spark, sf):
 
 @query()
 def retrieval_report_job(spark, sf):
-    _, words, tables = _evaluated(spark, sf)
-    report = jobs.retrieval_report(
-        tables["unified"], tables["retrieval"], tables["clustering"],
-        words["document_checks"], words["vectors"].filter("split = 'val'"),
-    )
-    return report["clusters"]
+    """Every table of the report, for both dense representations."""
+    spaces, words, tables = _evaluated(spark, sf)
+    return jobs.long_form(jobs.retrieval_report(
+        tables["unified"], tables["retrieval"], tables["clustering"], words["document_checks"], spaces,
+    ))
 
 
 @query()
 def latent_report_job(spark, sf):
-    _, words, tables = _evaluated(spark, sf)
-    report = jobs.latent_report(words["vectors"].filter("split = 'val'"), tables["unified"])
-    return report["insights"]
+    """Every table of the report but the rows' purities, which its insights sum up."""
+    spaces, _, tables = _evaluated(spark, sf)
+    report = jobs.latent_report(spaces["word2vec"], tables["unified"])
+    return jobs.long_form({name: table for name, table in report.items() if name != "purity"})

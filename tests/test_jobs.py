@@ -199,3 +199,18 @@ def test_baseline_probes_job(corpus, tmp_path):
         corpus, str(tmp_path), settings=vb.TermSettings(max_features=100, min_df=2), n_components=4,
         max_iter=20)
     assert scores.count() == 4 and errors.count() <= 5
+
+
+def test_report_of_several_representations_in_long_form(spark, corpus, tmp_path):
+    cfg = EmbeddingConfig(vector_size=8, min_count=1, epochs=1, categories=("a", "b"), sanity_words=("battery",))
+    made = jobs.train_word_vectors(corpus, cfg, str(tmp_path / "w2v"))
+    val = made["vectors"].filter("split = 'val'")
+    scores = spark.createDataFrame([("x", 0.5, 0.4), ("y", 0.6, 0.3)], "representation string, recall_at_10 double, mrr_at_10 double")
+    clusters = spark.createDataFrame([("x", 0.1, 0.1, 0.1, 0.1), ("y", 0.2, 0.2, 0.2, 0.2)],
+                                     "representation string, nmi_category double, ari_category double, nmi_sentiment double, ari_sentiment double")
+    report = jobs.retrieval_report(
+        scores.join(clusters, "representation"), scores, clusters, made["document_checks"],
+        {"word2vec": val, "turned": val}, n_clusters=2, settings=vb.TermSettings(max_features=100, min_df=1))
+    assert {r["representation"] for r in report["clusters"].collect()} == {"word2vec", "turned"}
+    counts = {r["report"]: r["count"] for r in jobs.long_form(report).groupBy("report").count().collect()}
+    assert set(counts) == set(report) and counts["winners"] == 2 and counts["clusters"] == 4
