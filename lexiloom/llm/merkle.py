@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,32 +17,29 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import ship_package
 
-FINER = ((120, 0), (400, 1))  # texts of fewer bytes are cut after more words: every one, every second
 LONGEST = 1024  # bytes of a piece at most
 LEAF = 8  # hex digits of a piece in the fingerprint
+PIECE = re.compile(rb"[^ ]{0,%d} |[^ ]{1,%d}" % (LONGEST - 1, LONGEST))
+KEPT = 4096  # lines of fewer bytes are looked up where an edited text repeats them
 
 
 def _hash(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _pieces(paragraph: bytes, mask: int) -> list[bytes]:
-    """Cuts a paragraph after spaces that the bytes before them choose, so that an edit moves
-    no cut but those beside it. The pieces put together are the paragraph."""
-    b = np.frombuffer(paragraph, np.uint8).astype(np.uint32)
-    at = np.flatnonzero(b == 32)
-    at = at[at >= 3]
-    h = (b[at - 1] * 73 + b[at - 2] * 151 + b[at - 3] * 199) >> 3
-    cuts = (at[(h & mask) == 0] + 1).tolist()
-    out, start = [], 0
-    for cut in [*cuts, len(paragraph)]:
-        while cut - start > LONGEST:
-            out.append(paragraph[start:start + LONGEST])
-            start += LONGEST
-        if cut > start:
-            out.append(paragraph[start:cut])
-            start = cut
-    return out or [b""]
+def _pieces(paragraph: bytes) -> list[bytes]:
+    """Cuts a paragraph after every space, so that an edit moves no cut but those beside it. The rule
+    is one for all lengths: texts of any two sizes are comparable. The pieces put together are the paragraph."""
+    return PIECE.findall(paragraph) or [b""]
+
+
+def _paragraph(line: bytes) -> tuple[bytes, str]:
+    """A paragraph's node, and what the fingerprint shows of its pieces."""
+    leaves = b"".join([_hash(p) for p in _pieces(line)])
+    return _hash(b"p" + leaves), np.frombuffer(leaves, np.uint8).reshape(-1, 16)[:, :LEAF // 2].tobytes().hex()
+
+
+_known_paragraph = functools.lru_cache(1024)(_paragraph)
 
 
 def fingerprint(text: str | None) -> str:
@@ -52,13 +51,11 @@ def fingerprint(text: str | None) -> str:
     sections; so roots are equal for equal texts only, but for collisions of 128 bits. Null reads as ''.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
-    mask = next((m for size, m in FINER if len(raw) < size), 7)
     sections, own, own_hex, shown = [], [], [], []
     for line in raw.split(b"\n"):
-        leaves = [_hash(p) for p in _pieces(line, mask)]
-        node = _hash(b"p" + b"".join(leaves))
+        node, marks = (_known_paragraph if len(line) < KEPT else _paragraph)(line)
         own.append(node)
-        own_hex.append("".join([x.hex()[:LEAF] for x in leaves]))
+        own_hex.append(marks)
         if not line.strip() or node[0] % 4 == 0:
             sections.append(_hash(b"s" + b"".join(own)))
             shown.append("|".join(own_hex))
@@ -73,8 +70,15 @@ def _tree(mark: str) -> list[list[str]]:
     return [section.split("|") for section in mark.partition("/")[2].split(";")]
 
 
-def _leaves(paragraph: str) -> list[str]:
-    return [paragraph[i:i + LEAF] for i in range(0, len(paragraph), LEAF)]
+def _leaves(paragraph: str) -> np.ndarray:
+    return np.frombuffer(paragraph.encode(), f"S{LEAF}")
+
+
+def _n_common(left: np.ndarray, right: np.ndarray) -> int:
+    """Pieces that both have, as often as both have them."""
+    (x, n), (y, m) = (np.unique(side.view("<u8"), return_counts=True) for side in (left, right))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
 
 
 def likeness(a: str, b: str) -> float:
@@ -94,9 +98,7 @@ def likeness(a: str, b: str) -> float:
                    for side in (left, right))
     common = left & right
     same += sum(count(x) * n for x, n in common.items())
-    left, right = (Counter(x for p, n in (side - common).items() for x in _leaves(p) for _ in range(n))
-                   for side in (left, right))
-    same += sum((left & right).values())
+    same += _n_common(*(_leaves("".join((side - common).elements())) for side in (left, right)))
     return 2 * same / total if total else 1.0
 
 
@@ -110,10 +112,10 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
     known = _tree(a)
     sections = {"|".join(s) for s in known}
     paragraphs = {p for s in known for p in s}
-    pieces = {x for p in paragraphs for x in _leaves(p)}
+    pieces = {x for p in paragraphs for x in _leaves(p).tolist()}
     return [(i, j, k) for i, s in enumerate(_tree(b)) if "|".join(s) not in sections
             for j, p in enumerate(s) if p not in paragraphs
-            for k, x in enumerate(_leaves(p)) if x not in pieces]
+            for k, x in enumerate(_leaves(p).tolist()) if x not in pieces]
 
 
 def edited(text: str, following: str) -> str:

@@ -296,6 +296,18 @@ def test_trees_locate_edits():
     assert 0.9 < merkle.likeness(a, b) < 1 and merkle.likeness(a, merkle.fingerprint(prose(99, 300))) < 0.1
 
 
+def test_texts_of_any_two_sizes_are_comparable():
+    words = prose(5, 400)
+    for bound in (120, 400):
+        for a, b in ((bound + 4, bound - 16), (bound - 4, bound + 16), (bound, bound - 1)):
+            a, b = words[:a], words[:a * 3 // 4] + " " + prose(6, 100)[:b - a * 3 // 4 - 1]
+            assert (len(a) < bound) != (len(b) < bound)
+            assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) > 0.5
+    assert merkle.likeness(merkle.fingerprint(words), merkle.fingerprint(words[:390])) > 0.2
+    odd = b" a  b " + b"x" * 3000 + b" y"
+    assert b"".join(merkle._pieces(odd)) == odd and max(map(len, merkle._pieces(odd))) <= merkle.LONGEST
+
+
 def digests(rows):
     turns, loss = hashlib.sha256(), hashlib.sha256()
     for role, text in rows:
