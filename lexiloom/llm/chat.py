@@ -60,16 +60,15 @@ class IncrementalRenderer:
     characters of the earlier output that the template changed or took back. The text's place in the piece is
     found by rendering the turn with two one-letter texts: they differ where the text begins.
 
-    After ``full`` turns the last ``context`` turns stand for the whole prefix if the template passes
-    this test there: the turn's piece is the same with both. Otherwise whole prefixes go on, at a price that
-    grows with the square of the turns.
+    Whole prefixes are rendered at every length, at a price that grows with the square of the turns: no test at
+    one turn can show that a template never looks further back at another. Only a caller who knows the template
+    to be local may say so with ``context``: a turn's piece and rewrites then depend on that many turns before it.
     """
 
-    def __init__(self, render: Render, full: int = 32, context: int = 8):
-        self.render, self.full, self.context = render, full, context
+    def __init__(self, render: Render, context: int | None = None):
+        self.render, self.context = render, context
         self.messages: list[Message] = []
-        self.output = render([])
-        self.base, self.tested = self.output, False
+        self.output = self.base = render([])
 
     @staticmethod
     def _piece(before: str, after: str) -> tuple[str, int]:
@@ -84,27 +83,22 @@ class IncrementalRenderer:
         close = _common(a[::-1], b[::-1])
         start = max(0, begin - (len(after) - len(piece)))
         end = max(start, len(piece) - close)
-        if len(self.messages) >= self.full and not self.tested:
-            self.tested = True
-            tail = self.messages[-self.context:]
-            if self._piece(self.render(tail), self.render([*tail, (role, text)])) == (piece, rewrites):
-                self.full = 0
         self.messages.append((role, text))
-        if self.tested and not self.full:
-            self.messages = self.messages[-self.context:]
+        if self.context is not None and len(self.messages) > self.context:
+            self.messages = self.messages[len(self.messages) - self.context:]
             after = self.render(self.messages)
         self.output = after
         return piece, start, end, rewrites
 
 
-def _formatted(render: Render, key_type: pa.DataType):
+def _formatted(render: Render, key_type: pa.DataType, context: int | None):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at, number, who = None, 0, 0, object()
         for batch in batches:
             out = []
             for key, turn, role, text in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if now is None or key != who:
-                    now, number, who = IncrementalRenderer(render), 0, key
+                    now, number, who = IncrementalRenderer(render, context), 0, key
                     at = len(now.base)
                 role, text = role or "", text or ""
                 piece, start, end, rewrites = now.add(role, text)
@@ -125,13 +119,16 @@ NAMES = ["conv_id", "turn", "number", "role", "piece", "span_start", "span_end",
 
 
 def format_conversations(rows: DataFrame, render: Render = plain_template, *, key: str = "conv_id",
-                         turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+                         turn: str = "turn", role: str = "role", text: str = "text",
+                         context: int | None = None) -> DataFrame:
     """One row per turn: its piece of the formatted conversation, the piece's span and the text's span in
     the whole, in characters, and how many earlier characters the template rewrote (0: history stands).
 
     The first piece also holds what the template puts before any turn. Rows are hashed by conversation,
-    sorted by turn and streamed: a task holds one turn's context, not a conversation, so a very long one
-    costs time in one task but no memory. Result rows of a conversation stay together, in order.
+    sorted by turn and streamed: a task holds one conversation and its formatted text. Whole prefixes are rendered
+    at every turn, so a very long conversation costs time in one task, by the square of its turns; a caller who
+    declares the template local (``context`` turns, see ``IncrementalRenderer``) pays for these only.
+    Result rows of a conversation stay together, in order.
 
     Null roles and texts read as ''. Rows with the same turn follow by role and text; a null turn
     comes first. Rows without a conversation id form one conversation. Repeated rows are turns.
@@ -145,7 +142,7 @@ def format_conversations(rows: DataFrame, render: Render = plain_template, *, ke
     if kind not in ("string", "bigint"):
         raise ValueError(f"conversation ids must be strings or bigints, not {kind}")
     return ordered.mapInArrow(
-        _formatted(render, key_type),
+        _formatted(render, key_type, context),
         f"conv_id {kind}, turn long, number long, role string, piece string, span_start long, span_end long, "
         "text_start long, text_end long, rewrites long")
 

@@ -343,3 +343,32 @@ def test_templates_that_rewrite_history_are_noticed(spark):
     df = spark.createDataFrame([(1, t, "user", f"say {t}") for t in range(4)], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(df, lambda ms: f"{len(ms)} turns" + "".join(f"|{x}" for _, x in ms)).collect()
     assert out[0].rewrites > 0 and all(r.rewrites > 0 for r in out)
+
+
+def test_rewrites_are_noticed_at_any_length(spark):
+    def moving(messages):  # the system text stands before the last user turn
+        system = "".join(x for r, x in messages if r == "system")
+        last = max((i for i, (r, _) in enumerate(messages) if r == "user"), default=-1)
+        return "".join(f"<{r}>{system * (i == last)}{x}\n" for i, (r, x) in enumerate(messages) if r != "system")
+
+    def demanding(messages):
+        if messages and messages[0][0] != "user":
+            raise ValueError("a user turn comes first")
+        return chat.plain_template(messages)
+
+    talk = [("system", "Be kind. ")] + [(("user", "assistant")[i % 2], f"say {i}") for i in range(50)]
+    rows = [(1, t, r, x) for t, (r, x) in enumerate(talk)]
+    schema = "conv_id long, turn long, role string, text string"
+    text, seen = "", 0
+    for r in chat.format_conversations(spark.createDataFrame(rows, schema), moving).collect():
+        text = text[:len(text) - r.rewrites] + r.piece
+        whole = moving(talk[:r.number + 1])
+        assert text == whole and (r.span_start, r.span_end) == (len(whole) - len(r.piece), len(whole))
+        seen += r.role == "user" and r.rewrites > 0
+    assert seen == 24
+    short = spark.createDataFrame(rows[1:], schema)
+    for context in (None, 1):
+        out = chat.format_conversations(short, chat.plain_template, context=context).collect()
+        assert "".join(r.piece for r in out) == chat.plain_template(talk[1:]) and not any(r.rewrites for r in out)
+    out = chat.format_conversations(short, demanding).collect()
+    assert "".join(r.piece for r in out) == chat.plain_template(talk[1:])
