@@ -17,13 +17,16 @@ from lexiloom.session import ship_package
 
 @dataclasses.dataclass(frozen=True)
 class Chunking:
-    """Sizes in bytes. ``bits`` zero bits of the rolling hash over ``window`` bytes end a chunk. A repeat is a
-    run of repeated chunks of at least ``least_repeat`` bytes: that leaves short common phrases alone, while of
-    a passage of over 50 words, found in another place, at most two chunks at its ends are not in the run."""
-
-    window: int = 16
-    bits: int = 5
-    smallest: int = 16
+    """Sizes in bytes. A chunk ends where the rolling hash over ``window`` bytes is the largest of those up to
+    ``reach`` bytes before and after, so every such cut depends on window + 2 * reach bytes around it and on no
+    cut before it: chunks have 2 * reach + 1 bytes on average, more than ``reach`` each. In a gap of over
+    ``largest`` bytes, such as one word over and over, the largest hash of those that may come next is the cut,
+    the same in every period. A repeat is a run of repeated chunks of at least ``least_repeat`` bytes: that leaves short common phrases alone.
+    Of a passage found in another place, the first window + reach bytes, the last reach bytes, and what lies
+    between them and the next cut inside (about reach at either end) may not be in the run."""
+
+    window: int = 8
+    reach: int = 12
     largest: int = 96
     least_repeat: int = 100
 
@@ -43,34 +46,57 @@ def gear_hash(data: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
-def cut_points(data: bytes, c: Chunking) -> list[int]:
-    """Ends of the chunks of a text; an empty text has none."""
-    if not data:
+def _natural(hashes: np.ndarray, c: Chunking) -> list[int]:
+    """Ends of chunks that the text chooses: the first largest hash within ``reach`` bytes on both sides.
+    Bytes too near to an end of the text for that, and hashes of less than a window, choose nothing."""
+    h = hashes[c.window - 1:]
+    n = len(h) - 2 * c.reach
+    if n <= 0:
         return []
+    # best[i] is the largest of h[i:i + reach]: maxima over twice as many values come from two over half of them.
+    best, span = h, 1
+    while span < c.reach:
+        step = min(span, c.reach - span)
+        best, span = np.maximum(best[:len(best) - step], best[step:]), span + step
+    mid = h[c.reach:c.reach + n]
+    peak = (mid > best[:n]) & (mid >= best[c.reach + 1:c.reach + 1 + n])
+    return (np.flatnonzero(peak) + c.reach + c.window).tolist()
+
+
+def _cuts(data: bytes, c: Chunking) -> tuple[list[int], list[bool]]:
+    """Ends of the chunks of a text, and which of them the text chooses."""
+    out, chosen, start = [], [], 0
     h = gear_hash(np.frombuffer(data, np.uint8), c.window)
-    # The bits just below the window's age have seen every byte of it.
-    ends = (np.flatnonzero((h >> np.uint64(c.window)) & np.uint64((1 << c.bits) - 1) == 0) + 1).tolist()
-    out, start = [], 0
-    for end in [*ends, len(data)]:
+    natural = _natural(h, c)
+    for i, end in enumerate([*natural, len(data)]):
         while end - start > c.largest:
-            start += c.largest
+            start += c.reach + 1 + int(h[start + c.reach:start + c.largest].argmax())
             out.append(start)
-        if end - start >= c.smallest or end == len(data) and end > start:
+            chosen.append(False)
+        if end > start:
             out.append(end)
+            chosen.append(i < len(natural))
             start = end
-    return out
+    return out, chosen
+
+
+def cut_points(data: bytes, c: Chunking) -> list[int]:
+    """Ends of the chunks of a text; an empty text has none."""
+    return _cuts(data, c)[0]
 
 
 def _chunks(c: Chunking):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in range(0, batch.num_rows, 512):
-                digests, numbers, counts, hashes = [], [], [], []
+                digests, numbers, counts, hashes, natural = [], [], [], [], []
                 for text in batch.column(1).slice(lot, 512):
                     data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     hashes.append(_text_hash(data))
                     start, n = 0, 0
-                    for n, end in enumerate(cut_points(data, c), 1):
+                    ends, chosen = _cuts(data, c)
+                    natural += chosen
+                    for n, end in enumerate(ends, 1):
                         digests.append(hashlib.blake2b(data[start:end], digest_size=16).digest())
                         numbers.append(n - 1)
                         start = end
@@ -79,8 +105,8 @@ def _chunks(c: Chunking):
                 at = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.record_batch(
                     [pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0).slice(lot, 512).take(at),
-                     pa.array(hashes, pa.int64()).take(at), pa.array(numbers, pa.int32())],
-                    names=["d1", "d2", "doc", "h", "number"])
+                     pa.array(hashes, pa.int64()).take(at), pa.array(numbers, pa.int32()), pa.array(natural, pa.bool_())],
+                    names=["d1", "d2", "doc", "h", "number", "chosen"])
     return f
 
 
@@ -153,18 +179,20 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     Texts are cut where a gear rolling hash of the last bytes says so, so an insertion moves only the cuts beside
     it. Chunks are keyed by a 128-bit digest; its first and last place (id, then number) come from an
-    aggregation with partial results, and go back by a join that may split a hot chunk. Chunks that stand in
-    one document only don't count. A run of repeated chunks of ``least_repeat`` bytes or more is a repeat, listed wherever it stands; its chunks stay at their first
+    aggregation with partial results, and go back by a join that may split a hot chunk. Chunks that stand in one
+    document only count if they stand there twice and no gap's cut ends them: one letter over and over is no
+    repeat of itself. A run of repeated chunks of ``least_repeat`` bytes or more is a repeat, listed wherever it stands; its chunks stay at their first
     place only. Null texts read as '' and come back as ''. Rows of one id with equal texts share
     one place (both keep their text); a null id comes first. Result columns of the same name are replaced.
     """
     c = chunking or Chunking()
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    chunks = slim.mapInArrow(_chunks(c), "d1 long, d2 long, doc long, h long, number int")
+    chunks = slim.mapInArrow(_chunks(c), "d1 long, d2 long, doc long, h long, number int, chosen boolean")
     place = F.struct("doc", "h", "number")
-    many = chunks.groupBy("d1", "d2").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where(
-        "struct(_first.doc, _first.h) <> struct(_last.doc, _last.h)").select("d1", "d2", "_first")
+    many = chunks.groupBy("d1", "d2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.max("chosen").alias("_chosen")).where(
+        "struct(_first.doc, _first.h) <> struct(_last.doc, _last.h) or _first.number <> _last.number and _chosen").select(
+        "d1", "d2", "_first")
     many = written(many, "repeated")
     later = ~place.eqNullSafe(F.col("_first"))
     found = chunks.join(many, ["d1", "d2"]).select(

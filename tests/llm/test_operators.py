@@ -139,6 +139,21 @@ def test_chunks_cover_the_text_and_cuts_follow_the_content():
     assert substring_dedup.cut_points(b"", c) == []
 
 
+def test_passages_in_shifted_surroundings_and_inside_a_document(spark):
+    rows, passages = [], {}
+    for i in range(300):
+        passage = prose(1000 + i, 51)
+        passages[i] = len(passage)
+        rows += [(2 * i, prose(5000 + i, 20 + i % 7) + "x" * (i % 5) + " " + passage + " " + prose(7000 + i, 30)),
+                 (2 * i + 1, prose(9000 + i, 30 + i % 11) + " " + passage + " " + prose(11000 + i, 20 + i % 3))]
+    twice = prose(1, 60)
+    rows += [(9000, prose(2, 40) + " " + twice + " " + prose(3, 50) + " " + twice + " " + prose(4, 40))]
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(documents(spark, rows)).collect()}
+    assert min(passages.values()) > 204
+    assert all(out[2 * i + 1].n_dropped >= 100 and out[2 * i].n_repeated >= 100 and not out[2 * i].n_dropped for i in passages)
+    assert out[9000].n_dropped > 150 and len(out[9000].repeats) == 2
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(8)
     base = [prose(i, 60).split() for i in range(5)]
