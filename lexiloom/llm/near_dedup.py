@@ -299,7 +299,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, s: Sketch, text: str, key:
     if needed.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(key).cast("long").alias("_rep"), F.col(text).alias("_t")).join(ids, "_rep", "left_semi")
-    sets = texts.select("_t").mapInArrow(_sets(s), "c binary, shingles binary")
+    # A class of rows without an id has no smallest one: their texts are read besides, and told apart by digest below.
+    unnamed = docs.where(F.col(key).cast("long").isNull()).select(F.col(text).alias("_t"))
+    sets = texts.select("_t").union(unnamed).mapInArrow(_sets(s), "c binary, shingles binary")
     # Rows that repeat an id with another text give sets nobody asked for.
     sets = written(sets.join(needed.select(F.col("_c").alias("c")), "c", "left_semi").dropDuplicates(["c"]), "sets")
 

@@ -185,6 +185,14 @@ def test_near_duplicates_equal_brute_force(spark):
         ("1", 1, True), ("None", None, True), ("None", 1, False)}
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    text = prose(1, 80)
+    rows = [(7, text), (None, text + " more"), (8, prose(2, 80)), (None, prose(3, 80)), (None, prose(3, 80) + " more")]
+    out = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    found = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in out)
+    assert found == [("7", "7", True), ("8", "8", True), ("None", "7", False), ("None", "None", True), ("None", "None", True)]
+
+
 def test_registers_merge_and_the_likelihood_finds_the_similarity():
     s = near_dedup.Sketch()
     a, b = (near_dedup.shingle_set(t, 2, {}) for t in (prose(1, 800), prose(1, 600) + " " + prose(2, 200)))
