@@ -37,8 +37,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    """Drops documents that hold ten consecutive words of a benchmark item. Items of fewer words drop nothing."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.size(decontamination.words_of("text")) >= 10)
     leaks = decontamination.decontaminate(docs.select("doc_id", "text"), items).where("contaminated").select("doc_id")
     return docs.join(leaks.distinct(), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -52,3 +52,16 @@ def test_stages_take_effect(spark):
     assert mixed.where("taken <> size * copies or copies < 1").count() == 0 and mixed.count() > 0
     assert stages["language_id"](spark, docs.limit(0), SF).count() == 0
     assert language_id.UNDETERMINED not in {r[0] for r in clean.select("lang").collect()}
+
+
+def test_items_of_a_few_words_drop_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    ten = "one two three four five six seven eight nine ten"
+    items = [(1, "the"), (2, "tiny item"), (3, None), (4, ten)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(
+        [(1, "the clean text", None, None, 0), (2, "tiny item " * 6, None, None, 0), (3, f"the {ten} more", None, None, 0)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
