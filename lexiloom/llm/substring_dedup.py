@@ -21,9 +21,11 @@ class Chunking:
     ``reach`` bytes before and after, so every such cut depends on window + 2 * reach bytes around it and on no
     cut before it: chunks have 2 * reach + 1 bytes on average, more than ``reach`` each. In a gap of over
     ``largest`` bytes, such as one word over and over, the largest hash of those that may come next is the cut,
-    the same in every period. A repeat is a run of repeated chunks of at least ``least_repeat`` bytes: that leaves short common phrases alone.
+    the same in every period. A repeat is a passage: as many neighbouring chunks as make
+    ``least_repeat`` bytes, which stand elsewhere side by side too. That leaves short common phrases alone, and
+    texts whose chunks are found in many places, but never together.
     Of a passage found in another place, the first window + reach bytes, the last reach bytes, and what lies
-    between them and the next cut inside (about reach at either end) may not be in the run."""
+    between them and the next cut inside (about reach at either end) may not be in the repeat."""
 
     window: int = 8
     reach: int = 12
@@ -85,7 +87,21 @@ def cut_points(data: bytes, c: Chunking) -> list[int]:
     return _cuts(data, c)[0]
 
 
-def _chunks(c: Chunking):
+def passages(ends: list[int], least: int) -> list[int]:
+    """For every chunk the number behind the last one of its passage, the fewest chunks from it on that
+    make ``least`` bytes; chunks too near to the end of the text begin none and are left out."""
+    out, last = [], 0
+    for first in range(len(ends)):
+        begin = ends[first - 1] if first else 0
+        while last < len(ends) and ends[last] - begin < least:
+            last += 1
+        if last == len(ends):
+            break
+        out.append(last + 1)
+    return out
+
+
+def _passages(c: Chunking):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in range(0, batch.num_rows, 512):
@@ -93,14 +109,15 @@ def _chunks(c: Chunking):
                 for text in batch.column(1).slice(lot, 512):
                     data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     hashes.append(_text_hash(data))
-                    start, n = 0, 0
                     ends, chosen = _cuts(data, c)
-                    natural += chosen
-                    for n, end in enumerate(ends, 1):
-                        digests.append(hashlib.blake2b(data[start:end], digest_size=16).digest())
-                        numbers.append(n - 1)
-                        start = end
-                    counts.append(n)
+                    found = passages(ends, c.least_repeat)
+                    forced = np.concatenate([[0], np.cumsum(~np.array(chosen, bool))])
+                    for first, last in enumerate(found):
+                        begin = ends[first - 1] if first else 0
+                        digests.append(hashlib.blake2b(data[begin:ends[last - 1]], digest_size=16).digest())
+                        natural.append(bool(forced[last] == forced[first]))
+                    numbers += range(len(found))
+                    counts.append(len(found))
                 keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 at = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.record_batch(
@@ -116,27 +133,18 @@ def _text_hash(data: bytes) -> int:
 
 def _rewrite(text: str, c: Chunking):
     def spans_of(data: bytes, numbers: dict[int, bool]) -> tuple[int, list, list]:
-        """(chunks, repeated spans, spans to drop) in bytes; numbers: repeated chunk -> to drop."""
+        """(chunks, repeated spans, spans to drop) in bytes; numbers: first chunk of a repeated passage -> to drop."""
         ends = cut_points(data, c)
-        starts = [0, *ends[:-1]]
-        repeats, drops = [], []
-        i = 0
-        while i < len(ends):
-            if i not in numbers:
-                i += 1
-                continue
-            j = i
-            while j < len(ends) and j in numbers:
-                j += 1
-            if ends[j - 1] - starts[i] >= c.least_repeat:
-                repeats.append((starts[i], ends[j - 1]))
-                for n in range(i, j):
-                    if numbers[n]:
-                        if drops and drops[-1][1] == starts[n]:
-                            drops[-1] = (drops[-1][0], ends[n])
-                        else:
-                            drops.append((starts[n], ends[n]))
-            i = j
+        found = passages(ends, c.least_repeat) if numbers else []
+        repeats: list[tuple[int, int]] = []
+        drops: list[tuple[int, int]] = []
+        for first in sorted(numbers):
+            begin, end = ends[first - 1] if first else 0, ends[found[first] - 1]
+            for spans in (repeats, drops)[:1 + numbers[first]]:
+                if spans and begin <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], end)
+                else:
+                    spans.append((begin, end))
         return len(ends), repeats, drops
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,24 +186,26 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     the repeated spans (first byte, bytes).
 
     Texts are cut where a gear rolling hash of the last bytes says so, so an insertion moves only the cuts beside
-    it. Chunks are keyed by a 128-bit digest; its first and last place (id, then number) come from an
-    aggregation with partial results, and go back by a join that may split a hot chunk. Chunks that stand in one
-    document only count if they stand there twice and no gap's cut ends them: one letter over and over is no
-    repeat of itself. A run of repeated chunks of ``least_repeat`` bytes or more is a repeat, listed wherever it stands; its chunks stay at their first
-    place only. Null texts read as '' and come back as ''. Rows of one id with equal texts share
+    it. From every chunk on, the passage of ``least_repeat`` bytes or a little more is keyed by a 128-bit digest: a
+    repeat stands somewhere else as a whole, not chunk by chunk in different places. A passage's first and last
+    place (id, then number) come from an aggregation with partial results, and go back by a join that may split a
+    hot one. Passages that stand in one document only count if they stand there twice and no gap's cut ends a chunk
+    of them: one letter over and over is no repeat of itself. Repeats are listed wherever they stand; a chunk
+    goes if it lies in a passage that has an earlier place, so every dropped byte stands earlier amid the
+    same ``least_repeat`` bytes. Null texts read as '' and come back as ''. Rows of one id with equal texts share
     one place (both keep their text); a null id comes first. Result columns of the same name are replaced.
     """
     c = chunking or Chunking()
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    chunks = slim.mapInArrow(_chunks(c), "d1 long, d2 long, doc long, h long, number int, chosen boolean")
+    placed = slim.mapInArrow(_passages(c), "d1 long, d2 long, doc long, h long, number int, chosen boolean")
     place = F.struct("doc", "h", "number")
-    many = chunks.groupBy("d1", "d2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.max("chosen").alias("_chosen")).where(
+    many = placed.groupBy("d1", "d2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.max("chosen").alias("_chosen")).where(
         "struct(_first.doc, _first.h) <> struct(_last.doc, _last.h) or _first.number <> _last.number and _chosen").select(
         "d1", "d2", "_first")
     many = written(many, "repeated")
     later = ~place.eqNullSafe(F.col("_first"))
-    found = chunks.join(many, ["d1", "d2"]).select(
+    found = placed.join(many, ["d1", "d2"]).select(
         F.col("doc").alias("_doc"), F.col("h").alias("_h"),
         (F.shiftleft("number", 1) + later.cast("int")).alias("_x"))
     per_doc = found.groupBy("_doc", "_h").agg(F.collect_set("_x").alias("_found"))
