@@ -49,28 +49,68 @@ def address_key(url: Column | str) -> Column:
                   F.concat(host_of(url), F.regexp_replace(rest, r"/+$", "")))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not, with or without blanks around the sign."""
+    return F.trim(F.coalesce(
+        F.nullif(F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*\"([^\"]*)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*'([^']*)", 1), F.lit("")),
+        F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*([^\"'\s>]+)", 1)))
+
+
 def links_in(html: Column | str) -> Column:
-    """Absolute urls that a page calls its canonical address or sends its reader to at once."""
+    """What a page calls its canonical address or sends its reader to at once, as written."""
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(f"(?i){pattern}"), F.lit(0))
     canonical = F.transform(
-        F.filter(F.regexp_extract_all(html, F.lit(f"(?i){LINK_TAG}"), F.lit(0)),
-                 lambda t: F.rlike(t, F.lit(r"(?i)rel=[\"']?canonical\b"))),
-        lambda t: F.regexp_extract(t, r"(?i)href=[\"']?([a-z]+://[^\"'\s>]+)", 1))
+        F.filter(tags(LINK_TAG), lambda t: F.rlike(_attribute(t, "rel"), F.lit(r"(?i)(^|\s)canonical($|\s)"))),
+        lambda t: _attribute(t, "href"))
     refresh = F.transform(
-        F.filter(F.regexp_extract_all(html, F.lit(f"(?i){META_TAG}"), F.lit(0)),
-                 lambda t: F.rlike(t, F.lit(r"(?i)http-equiv=[\"']?refresh\b"))),
-        lambda t: F.regexp_extract(t, r"(?i)url=[\"']?([a-z]+://[^\"'\s>]+)", 1))
+        F.filter(tags(META_TAG), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"),
+        lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     found = F.filter(F.concat(canonical, refresh), lambda u: u != F.lit(""))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def resolved(link: Column | str, base: Column | str) -> Column:
+    """A link as an absolute url, seen from the page's: with a scheme as it is; from ``//`` on with the page's scheme,
+    from ``/`` on with its host, ``?`` and ``#`` behind its path, else in the folder of its path. Other schemes than
+    those with ``//`` (mailto:) and links on pages without ``://`` give null."""
+    link, base = (F.col(x) if isinstance(x, str) else x for x in (link, base))
+    scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
+    site = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    joined = F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link)
+    return (F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
+            .when((site == "") | F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
+            .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+            .when(F.startswith(link, F.lit("/")), F.concat(site, _without_dots(link)))
+            .when(F.rlike(link, F.lit("^[?#]")), F.concat(site, path, link))
+            .otherwise(F.concat(site, _without_dots(F.substring(joined, F.length(site) + 1, F.length(joined))))))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; what follows ``?`` or ``#`` stays."""
+    way, rest = F.regexp_extract(path, r"^[^?#]*", 0), F.regexp_extract(path, r"^[^?#]*(.*)$", 1)
+    parts = F.split(way, "/")
+    walked = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(p == ".", done).otherwise(F.concat(done, F.array(p))))
+    # A path that ends in dots ends in a folder.
+    tail = F.when(F.rlike(way, F.lit(r"/\.{1,2}$")), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(F.lit("/"), F.array_join(walked, "/"))
+    return F.when(F.rlike(way, F.lit(r"/\.{1,2}(/|$)")), F.concat(
+        F.when((tail == "/") & plain.endswith("/"), plain).otherwise(F.concat(plain, tail)), rest)).otherwise(path)
+
+
 def _parts(rule: str) -> tuple[str, str]:
     host, slash, path = rule.partition("/")
-    return host.lower(), slash + path
+    return "".join(c.lower() if c in string.ascii_uppercase else c for c in host), slash + path
 
 
 def _compiled(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> Column:
     out = None
-    for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+    for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), -len(_parts(r[0])[0]), r[1] != "allow", r[0], r[1])):
         h, p = _parts(rule)
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         value = F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("rule_verdict"))
@@ -82,9 +122,11 @@ def match_rules(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) ->
     """Adds ``rule`` and ``rule_verdict`` (null without one) to rows with ``host`` and ``path``.
 
     ``rules`` are (rule, verdict) pairs, a rule being a host and a path prefix written together;
-    it fits its host and all subdomains, and the longest one wins. A short list is one
-    expression. A list of any length, or a table (rule, verdict), is joined by host suffix:
-    distinct hosts and paths only, so the few hot hosts of a crawl meet a rule table once per path.
+    it fits its host and all subdomains, and the longest one wins. Of rules equally long the one with the longer
+    host wins; of a rule listed twice, allow, then the smaller spelling, then the smaller verdict. Null rules fit
+    nothing. A short list is one expression. A list of any length, or a table (rule, verdict), is joined by
+    host suffix, with the same result: distinct hosts and paths only, so the few hot hosts of a crawl meet a rule
+    table once per path.
     """
     spark = df.sparkSession
     if not isinstance(rules, DataFrame):
@@ -92,7 +134,7 @@ def match_rules(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) ->
             return df.select("*", F.lit(None).cast("string").alias("rule"),
                              F.lit(None).cast("string").alias("rule_verdict"))
         if len(rules) <= COMPILED_RULES:
-            hit = _compiled(rules, F.col("host"), F.col("path"))
+            hit = _compiled([r for r in rules if r[0] is not None], F.col("host"), F.col("path"))
             return df.withColumn("_hit", hit).select(*df.columns, "_hit.rule", "_hit.rule_verdict")
         rules = spark.createDataFrame(list(rules), "rule string, verdict string")
     table = rules.where("rule is not null").select(
@@ -105,8 +147,9 @@ def match_rules(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) ->
     best = (
         places.withColumn("_suffix", F.explode(suffixes)).join(table, "_suffix")
         .where(F.col("path").startswith(F.col("_prefix")))
-        .groupBy("host", "path").agg(F.max(F.struct(
-            F.length("_rule").alias("n"), F.col("_rule").alias("rule"),
+        .groupBy("host", "path").agg(F.min(F.struct(
+            (-F.length("_rule")).alias("n"), (-F.length("_suffix")).alias("h"),
+            (~F.col("_verdict").eqNullSafe(F.lit("allow"))).alias("v"), F.col("_rule").alias("rule"),
             F.col("_verdict").alias("rule_verdict"))).alias("_hit")))
     return df.join(best, ["host", "path"], "left").select(*df.columns, "_hit.rule", "_hit.rule_verdict")
 
@@ -127,9 +170,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame,
     an address that a rule blocks, crawled or only linked to; else it gets ``default``. So an
     explicit allow protects its own address, not its aliases.
 
-    Null or malformed urls and html have no host, path, rule or alias and get ``default``. Repeated
-    rows are judged alike. Columns of ``pages`` with the names of the four results are replaced. The html
-    is read once, for the edges; only edges, and the addresses they touch, are ever shuffled.
+    Links are resolved against the page's url. Null or malformed urls and html have no host, path, rule or alias and
+    get ``default``; of html of any length all tags are read. Repeated rows are judged alike, an empty table gives an
+    empty one. Columns of ``pages`` with the names of the four results are replaced. Html is read once for the
+    edges. Verdicts of aliases come back by a join on the address: without a shuffle of the pages if the
+    blocked addresses are few enough for Spark to broadcast, else with one; rows without an address are spread.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     judged = match_rules(
@@ -138,7 +183,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame,
     sources = []
     if html is not None:
         sources.append(pages.select(F.col(url).alias("_from"),
-                                    F.explode_outer(links_in(html)).alias("_to")))
+                                    F.explode_outer(links_in(html)).alias("_to")).select(
+                                        "_from", resolved("_to", "_from").alias("_to")))
     if redirects is not None:
         sources.append(redirects.select(F.col("source").alias("_from"), F.col("target").alias("_to")))
     if not sources:
@@ -166,7 +212,9 @@ def _final(judged: DataFrame, own: list[str], blocked: DataFrame | None, url: st
     if blocked is None:
         verdict = F.coalesce("rule_verdict", F.lit(default))
         return judged.select(*own, "host", "path", "rule", verdict.alias("verdict"))
-    joined = judged.withColumn("_k", address_key(url)).join(
+    # Rows without an address get a key of their own that meets nothing, so that they do not all fall to one task.
+    nowhere = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    joined = judged.withColumn("_k", F.coalesce(address_key(url), nowhere)).join(
         blocked.withColumn("_blocked", F.lit(True)), F.col("_k") == F.col("_key"), "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("_blocked"), "block"), F.lit(default))
     return joined.select(*own, "host", "path", "rule", verdict.alias("verdict"))
