@@ -144,7 +144,8 @@ def _signatures(s: Sketch):
                 regs.append(registers(found, s).tobytes() if len(found) >= s.least_size() else None)
             yield pa.record_batch(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(regs, pa.binary())], names=["doc", "n", "c", "regs"])
+                 pa.array(regs, pa.binary()), *batch.columns[2:]],
+                names=["doc", "n", "c", "regs", *batch.schema.names[2:]])
     return f
 
 
@@ -343,14 +344,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Memory is one batch of texts and its sketches; no bucket, class or component is ever held by one task.
     """
     s = sketch or Sketch()
-    ship_package(docs.sparkSession)
-    slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = written(slim.mapInArrow(_signatures(s), "doc long, n long, c binary, regs binary"), "sketches")
-    classes = written(signed.where("n > 0").groupBy("c").agg(
-        F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
-    component = link_classes(docs, classes, s, text, key)
-    rooted = classes.join(component, F.col("c") == F.col("node"), "left").select(
-        "c", "rep", F.coalesce("component", "c").alias("root"))
+    signed, rooted = _grouped(docs, s, key, text)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("c").alias("_c"), "component_id")
     joined = signed.drop("regs").join(named, F.col("c") == F.col("_c"), "left")
@@ -358,3 +352,43 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return joined.select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), of.alias("component_id"),
         F.coalesce(F.col("doc") == of, of.isNull()).alias("kept"))
+
+
+def _grouped(docs: DataFrame, s: Sketch, key: str, text: str, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, with the text's digest ``d`` if asked, and (c, rep, root): each class of equal sets
+    with its smallest id and the class that stands for its component."""
+    ship_package(docs.sparkSession)
+    also = [F.unhex(F.sha2(F.col(text), 256)).alias("d")] if digest else []
+    slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *also)
+    signed = written(slim.mapInArrow(
+        _signatures(s), "doc long, n long, c binary, regs binary" + ", d binary" * digest), "sketches")
+    classes = written(signed.where("n > 0").groupBy("c").agg(
+        F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    component = link_classes(docs, classes, s, text, key)
+    return signed, classes.join(component, F.col("c") == F.col("node"), "left").select(
+        "c", "rep", F.coalesce("component", "c").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
+                     sketch: Sketch | None = None) -> DataFrame:
+    """``docs`` with one row left of every component of near copies, whole rows, by id and text.
+
+    Stays: the row with the smallest id, a null id last; of rows with that id and different texts, the one whose text
+    has the smallest digest; of rows equal in both, the one smallest in the other columns. Rows that repeat an id
+    are told apart by their texts, so none goes because another row with its id does. Texts without a word are
+    copies of nothing and stay, null or empty, repeated or not. An empty table stays empty.
+    """
+    signed, rooted = _grouped(docs, sketch or Sketch(), key, text, True)
+    places = signed.where("n > 0").groupBy("doc", "d", "c").agg(F.count("*").alias("m")).join(
+        rooted.select("c", "root"), "c")
+    place = F.struct(F.col("doc").isNull().alias("unnamed"), F.col("doc").alias("doc"), F.col("d").alias("d"))
+    best = places.groupBy("root").agg(F.min(place).alias("best"))
+    # One row a place: whether its rows go, or are several of which one stays. Places of a single kept row need none.
+    judged = places.join(best, "root").withColumn("stays", place.eqNullSafe(F.col("best"))).where("not stays or m > 1")
+    judged = written(judged.select(
+        F.col("doc").alias("_doc"), F.col("d").alias("_of"), F.col("stays").alias("_stays")), "judged")
+    keyed = docs.withColumn("_d", F.unhex(F.sha2(F.col(text), 256)))
+    same = keyed[key].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_d") == F.col("_of"))
+    several = keyed.join(judged.where("_stays"), same).groupBy(key, "_d").agg(
+        F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    return keyed.join(judged, same, "left_anti").select(*docs.columns).union(several.select("_row.*"))
