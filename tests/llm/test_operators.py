@@ -1,5 +1,6 @@
 """The ten operators on small planted tables, against plain Python, with nulls, ties, repeats and clashing names."""
 
+import collections
 import hashlib
 import random
 import re
@@ -270,9 +271,33 @@ def test_languages_are_learned_and_calibrated(spark):
 
 def test_giant_texts_are_read_in_pieces(monkeypatch):
     s = language_id.Settings()
-    whole = np.sort(np.concatenate([*language_id.bucket_pieces("ab " * 50, s)]))
-    monkeypatch.setattr(language_id, "PIECE", 30)
-    assert len(np.concatenate([*language_id.bucket_pieces("ab " * 50, s)])) >= len(whole)
+    text = "12 ab, Cé!! " * 40 + "x" * 70 + " .. end."
+    read = lambda: [np.sort(np.concatenate(x)) for x in zip(*language_id.bucket_pieces(text, s))]
+    whole = read()
+    for piece in (1, 2, 7, 30, 64):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(whole, read()))
+
+
+def test_foreign_and_garbled_texts_are_not_known_and_short_ones_are(spark):
+    rng = random.Random(9)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(["ba", "to", "mi"], 60), "aa", None, None) for i in range(150)] + [(200 + i, make(["쿠", "로", "마", "시"], 40), "kk", None, None) for i in range(150)]
+    probes = [(900, "batomi ba", True), (901, "쿠로", True), (902, "zzqx jjkv wwpq xxrr", False), (903, "Русский текст без примеров", False),
+              (904, "日本語のテキスト", False), (905, "to", True), (906, make(["ba", "to", "mi"], 4000), True), (907, "1234", False), (908, None, False)]
+    docs = spark.createDataFrame(rows + [(i, t, None, None, None) for i, t, _ in probes], DOC)
+    out = {r.doc_id: r for r in language_id.predict_languages(docs, language_id.fit_languages(docs)).collect()}
+    assert {i: out[i].known for i, _, _ in probes} == {i: k for i, _, k in probes}
+    assert all(out[i].known and out[i].lang_pred == lang for i, _, lang, _, _ in rows)
+
+
+def test_no_language_is_left_out_however_many(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + a for a in letters for b in letters if a != b][:260]
+    rows = [(2 * i + j, f"{w} " * 12, f"l{i:03}", None, None) for i, w in enumerate(words) for j in range(2)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = language_id.fit_languages(docs, settings=language_id.Settings(bits=12))
+    assert model.labels == sorted({r[2] for r in rows}) and len(model.labels) == 260
 
 
 def test_quality_rules_separate_shouting_from_prose(spark):
@@ -395,3 +420,83 @@ def test_rewrites_are_noticed_at_any_length(spark):
         assert "".join(r.piece for r in out) == chat.plain_template(talk[1:]) and not any(r.rewrites for r in out)
     out = chat.format_conversations(short, demanding).collect()
     assert "".join(r.piece for r in out) == chat.plain_template(talk[1:])
+
+
+def test_chunks_repeated_in_different_places_are_no_passage(spark):
+    c = substring_dedup.Chunking()
+    data = prose(77, 70).encode()
+    ends = substring_dedup.cut_points(data, c)
+    # Every chunk stands elsewhere, in a window too short to be a repeat; the text as a whole stands nowhere.
+    rows = [(1000, data.decode())]
+    for i, end in enumerate(ends):
+        begin = ends[i - 1] if i else 0
+        spare = (95 - (end - begin)) // 2
+        rows.append((i, prose(200 + i, 30) + " " + data[max(0, begin - spare):end + spare].decode("utf-8", "ignore") + " " + prose(600 + i, 30)))
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(documents(spark, rows)).collect()}
+    assert all(r.n_repeated == r.n_dropped == 0 for r in out.values())
+
+
+def test_dropped_bytes_stand_earlier_in_the_given_documents(spark):
+    import pathlib
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not pathlib.Path(path).exists():
+        pytest.skip("test tables not present")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    out = sorted(substring_dedup.dedup_substrings(docs).join(docs.withColumnRenamed("text", "whole"), "doc_id").collect(), key=lambda r: r.doc_id)
+    seen, everywhere = set(), collections.Counter()
+    for r in out:
+        data = (r.whole or "").encode()
+        everywhere.update(data[i:i + 100] for i in range(len(data) - 99))
+    dropped = long_runs = caught = 0
+    for r in out:
+        data = (r.whole or "").encode()
+        covered, common = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        for i in range(len(data) - 99):
+            w = data[i:i + 100]
+            covered[i:i + 100] |= w in seen
+            common[i:i + 100] |= w in seen or everywhere[w] > 1
+            seen.add(w)
+        for span in r.repeats:
+            assert common[span["first"]:span["first"] + span["bytes"]].all()
+        assert r.n_dropped <= covered.sum()
+        dropped += r.n_dropped
+        edge = np.flatnonzero(np.diff(covered.astype(int), prepend=0))
+        for begin, end in zip(edge[::2], edge[1::2]):
+            if len(data[begin:end].split()) > 52:
+                long_runs += 1
+                caught += any(begin <= s["first"] + s["bytes"] and s["first"] < end for s in r.repeats)
+    assert dropped > 0 and long_runs > 5 and caught == long_runs
+
+
+def test_rules_win_alike_on_both_sides_of_the_bound(spark, monkeypatch):
+    rules = [("a.com/bc/", "allow"), ("x.a.com/b", "block"), ("b.org/", "block"), ("B.org/", "allow"), ("c.net", "block"),
+             ("c.net", "allow"), ("İ.com/", "block"), ("d.de/x", "block"), (None, "block"), ("d.de/", "allow")]
+    urls = ["http://x.a.com/bc/d", "http://a.com/bc/", "http://b.org/", "http://c.net/q", "http://İ.com/", "http://D.de/x", "http://d.de/y", None, "x"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    judge = lambda: {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, html=None).collect()}
+    compiled = judge()
+    monkeypatch.setattr(url_filter, "COMPILED_RULES", 0)
+    assert compiled == judge() == {0: ("x.a.com/b", "block"), 1: ("a.com/bc/", "allow"), 2: ("B.org/", "allow"), 3: ("c.net", "allow"),
+                                   4: ("İ.com/", "block"), 5: ("d.de/x", "block"), 6: ("d.de/", "allow"), 7: (None, "allow"), 8: (None, "allow")}
+    plenty = [*rules, *((f"z{i}.com/", "block") for i in range(600))]
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, plenty, html=None).collect()} == compiled
+
+
+def test_links_resolve_as_in_a_browser(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.b/c/d?q", "https://a.b", "http://a.b/c/d/", "http://a.b/?x=/y"]
+    links = ["//bad.net/es/1", "/es/1", "es/1", "../x/./y", "?p=1", "http://o.org/z", "/a/b/..", "/a/../../b/?q=/../z", "./", "HTTP://U.org/Q"]
+    rows = [(b, x, urljoin(b, x)) for b in bases for x in links]
+    df = spark.createDataFrame(rows, "base string, link string, expected string")
+    for r in df.select("*", url_filter.resolved("link", "base").alias("found")).collect():
+        assert r.found.lower() == r.expected.lower(), r
+    none = spark.createDataFrame([("http://a.b/", "mailto:x@y"), ("no url", "/x"), (None, "/x"), ("http://a.b/", None)], "base string, link string")
+    assert {r.found for r in none.select(url_filter.resolved("link", "base").alias("found")).collect()} == {None}
+    tags = ['<link rel="canonical" href="//bad.net/es/1">', "<link href='/es/1' rel='shortcut canonical'>", '<LINK REL = canonical HREF = "http://bad.net/es/2" >',
+            '<link rel="alternate" href="http://bad.net/es/3">', '<meta http-equiv = "Refresh" content = "0; URL = http://bad.net/es/4">']
+    pages = spark.createDataFrame([(i, f"http://{h}/p{i}", t) for i, (h, t) in enumerate(zip(["x.org", "bad.net", "y.org", "z.org", "w.org"], tags))],
+                                  "page_id long, url string, html string")
+    out = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [("net/es/", "block")]).collect()}
+    assert out == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block"}
