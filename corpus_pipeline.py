@@ -10,41 +10,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from lexiloom.llm.common import written
+from lexiloom.llm.common import WORD, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.3  # a document whose language is less likely than that goes; short clean texts are often near 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is unclear; learns from all given labels."""
-    model = language_id.fit_languages(docs)
-    judged = language_id.predict_languages(docs, model)
-    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    """Drops documents without a letter (null and empty ones too) and those whose letters are those of no learned
+    language: garbled text and languages without a label, by the share of familiar letter sequences. Learns from
+    all labels given; without any, all documents go. Short texts of a learned language stay.
+
+    Rows are judged by themselves, whatever their ids: repeated and null ones change nothing. Further columns go.
+    """
+    judged = language_id.predict_languages(docs, language_id.fit_languages(docs))
+    return judged.where("known").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes frequent lines out of all documents but one. A document of nothing else goes with its last line."""
-    left = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    """Takes frequent lines out of all documents but one. A document of nothing else goes with its last line; one that
+    was blank before stays, a null text as ''.
+
+    Rows that repeat the id which keeps a line all keep it; a null id is smaller than any other. n_chars is counted
+    anew. An empty table stays empty, further columns go.
+    """
+    left = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.col("text").rlike(WORD)))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, on shingles of five words."""
-    groups = near_dedup.near_duplicates(docs, sketch=near_dedup.Sketch(words=5))
-    gone = groups.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each group of near copies, on shingles of five words.
+
+    Rows are told apart by id and text: of exact repeated rows one stays, and no row goes because another one with its
+    id does. Null and empty texts are copies of nothing and stay. A null id yields to any other. An empty
+    table stays empty, further columns go.
+    """
+    return near_dedup.keep_one_of_each(docs.select(*COLUMNS), sketch=near_dedup.Sketch(words=5))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item. Items of fewer words drop nothing."""
+    """Drops documents that hold ten consecutive words of a benchmark item. Items of fewer words drop nothing.
+
+    Rows are judged by their own text, whatever their ids; null and empty texts and all rows of an empty
+    benchmark stay. An empty table stays empty, further columns go.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.size(decontamination.words_of("text")) >= 10)
-    leaks = decontamination.decontaminate(docs.select("doc_id", "text"), items).where("contaminated").select("doc_id")
-    return docs.join(leaks.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    judged = decontamination.decontaminate(docs.select(*COLUMNS), items)
+    return judged.where("not contaminated").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many times each document is taken, and its words, by source weights."""
+    """How many times each document is taken, and its words, by source weights.
+
+    A null source is one, the last. Documents without a word have nothing to take and go, as do those that
+    the sampling passes over. Repeated rows and null ids are documents like others. An empty table stays empty.
+    """
     return mixing.mix(docs).where("copies > 0").select("doc_id", "source", "size", "copies", "taken")
 
 
