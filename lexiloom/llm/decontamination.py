@@ -9,7 +9,7 @@ from lexiloom.llm.common import ascii_lower, written
 
 # Fixed value: everything below 0x80 but digits and a-z separates words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 200_000  # windows of the benchmark that may be sent to every task
+BROADCAST_PLACES = 60_000  # fingerprints of the benchmark, with their words, that may be sent to every task
 
 
 def words_of(text: Column | str) -> Column:
@@ -18,93 +18,119 @@ def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def _grams(df: DataFrame, k: int) -> DataFrame:
-    """Adds ``_g``: for every word the hash of the k words from it on (fewer at the end)."""
+def _hashed(df: DataFrame, k: int) -> DataFrame:
+    """Adds ``_h``, the hash of every word, and ``_g``, that of the k words from each on, as far as there are k."""
     hashed = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    starts = F.slice("_h", 1, F.greatest(F.size("_h") - (k - 1), F.lit(0)))
     nth = lambda x, i: F.xxhash64(x, *[F.get("_h", i + j) for j in range(1, k)])
-    return hashed.withColumn("_g", F.transform("_h", nth))
+    return hashed.withColumn("_g", F.transform(starts, nth))
 
 
-def _winnowed(df: DataFrame, k: int, window: int) -> DataFrame:
-    """Adds ``_f``: for every start of a window of words the smallest of its k-gram hashes.
-
-    Equal windows have equal minima wherever they stand, so a shared span of ``window`` words
-    always shares a fingerprint, though few k-grams are ever kept.
-    """
-    starts = F.size("_g") - (window - 1)
-    least = F.transform(F.sequence(F.lit(1), starts),
-                        lambda i: F.array_min(F.slice("_g", i, window - k + 1)))
-    return _grams(df, k).withColumn(
-        "_f", F.when(starts > 0, least).otherwise(F.array().cast("array<bigint>")))
+def _while(holds: list[Column]) -> Column:
+    """How many of the conditions hold before the first that does not."""
+    out = None
+    for n, condition in enumerate(holds):
+        broken = ~F.coalesce(condition, F.lit(False))
+        out = F.when(broken, n) if out is None else out.when(broken, n)
+    return out.otherwise(len(holds)) if holds else F.lit(0)
 
 
-def _all_grams(df: DataFrame, n: int) -> DataFrame:
-    """Adds ``_f``: the hash of every run of n words."""
-    return _grams(df, n).withColumn(
-        "_f", F.slice("_g", 1, F.greatest(F.size("_g") - (n - 1), F.lit(0))))
+def _winnowed(k: int, window: int) -> Column:
+    """Places of the kept k-grams: those whose hash is the smallest, of equal ones the first, in a window of words.
 
+    A gram is kept if the grams beside it that are larger, with itself, make up a window. Equal windows keep the
+    same gram wherever they stand, so a shared span of ``window`` words always shares a fingerprint; of n grams about
+    2 n / (window - k + 2) are kept.
+    """
+    reach = window - k
+    places = F.when(F.size("_g") > reach, F.sequence(F.lit(0), F.size("_g") - 1)).otherwise(F.array().cast("array<int>"))
+    g = lambda i: F.get("_g", i)
+    return F.filter(places, lambda i: _while([g(i - j) > g(i) for j in range(1, reach + 1)])
+                    + _while([g(i + j) >= g(i) for j in range(1, reach + 1)]) >= reach)
+
+
+def _around(place: Column, k: int, window: int) -> Column:
+    """The words of all windows that hold the k-gram at ``place``."""
+    first = F.greatest(place - (window - k), F.lit(0))
+    return F.slice("_w", first + 1, place + window - first)
+
+
+def _spots(k: int, window: int, lengths: list[int]) -> Column:
+    """Fingerprints (f, n, at, back, words) of a text: the kept grams with the words around them, the gram ``back``
+    words behind the first; and for each of ``lengths`` all runs of so many words."""
+    long = F.transform(_winnowed(k, window), lambda i: F.struct(
+        F.get("_g", i).alias("f"), F.lit(window).alias("n"), i.alias("at"), F.least(i, F.lit(window - k)).alias("back"),
+        _around(i, k, window).alias("words")))
+    return F.concat(long, *[_runs_of(n) for n in lengths])
+
+
+def _runs_of(n: int) -> Column:
+    """All runs of n words, as fingerprints."""
+    places = F.when(F.size("_h") >= n, F.sequence(F.lit(0), F.size("_h") - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(
+        F.xxhash64(*[F.get("_h", i + j) for j in range(n)]).alias("f"), F.lit(n).alias("n"), i.alias("at"),
+        F.lit(0).alias("back"), F.slice("_w", i + 1, n).alias("words")))
+
+
+def item_places(items: DataFrame, k: int, window: int, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(f, n, i_back, i_words, item): the fingerprints of the items; an item of fewer words than a window is one run."""
+    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(text).alias("_w"))
+    short = [rows.where(F.size("_w") == n).select("item", F.explode(F.array(F.struct(
+        F.xxhash64(*[F.xxhash64(F.get("_w", F.lit(j))) for j in range(n)]).alias("f"), F.lit(n).alias("n"), F.lit(0).alias("at"),
+        F.lit(0).alias("back"), F.col("_w").alias("words")))).alias("s")) for n in range(1, window)]
+    # The outer form: for the inner one the optimizer repeats the array's expression in a filter.
+    out = _hashed(rows.where(F.size("_w") >= window), k).select("item", F.explode_outer(_spots(k, window, [])).alias("s"))
+    for part in short:
+        out = out.union(part)
+    return out.where("s is not null").select(
+        "s.f", "s.n", F.col("s.back").alias("i_back"), F.col("s.words").alias("i_words"), "item").distinct()
 
-def _content(n: int) -> Column:
-    return F.array_join(F.slice("_w", F.col("_at") + 1, n), " ")
 
+def find_hits(docs: DataFrame, places: DataFrame, k: int, window: int, lengths: list[int], small: bool) -> DataFrame:
+    """(_key, _hash, at, n, place): stretches of the rows (_key, _hash, text) that hold windows of ``places``.
 
-def item_windows(items: DataFrame, k: int, window: int, item: str = "item_id",
-                 text: str = "text") -> DataFrame:
-    """(f, n, content, item) of every window of the items; a short item is one window."""
-    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"),
-                        words_of(text).alias("_w"))
-    # The outer form: for the inner one the optimizer repeats the array's expression in a filter.
-    whole = (_winnowed(rows, k, window).select("item", "_w", F.posexplode_outer("_f").alias("_at", "f"))
-             .where("f is not null").select("f", F.lit(window).alias("n"), _content(window).alias("content"), "item"))
-    short = rows.where((F.size("_w") > 0) & (F.size("_w") < window)).select(
-        F.xxhash64(*[F.xxhash64(F.get("_w", F.lit(0)))],
-                   *[F.when(F.size("_w") > j, F.xxhash64(F.get("_w", F.lit(j)))) for j in range(1, window)]
-                   ).alias("f"),
-        F.size("_w").alias("n"), F.array_join("_w", " ").alias("content"), "item")
-    return whole.union(short).distinct()
-
-
-def find_hits(docs: DataFrame, windows: DataFrame, k: int, window: int, lengths: list[int],
-              small: bool) -> DataFrame:
-    """(_key, _hash, at, n, content): the windows' occurrences in rows (_key, _hash, text).
-
-    Small sets of windows are broadcast: the text is read once, nothing of it is shuffled, and
-    rows without a match end in the scan stage. Otherwise fingerprints alone are shuffled, once per
-    document and value, and only rows they meet are looked at in full.
+    Documents and items meet at equal fingerprints; a hit is then extended to both sides as far as the words
+    agree, within the windows that hold it, and counts if that makes a window. Small sets of places are
+    broadcast: the text is read once, nothing of it is shuffled, and rows without a match end in the scan stage.
+    Otherwise fingerprints alone are shuffled, once per document and value, and only rows they meet are read again.
     """
-    out = None
-    for n in [window, *lengths]:
-        of = windows.where(F.col("n") == n).select("f", "content").distinct()
-        rows = docs.select("_key", "_hash", words_of("text").alias("_w"))
-        rows = _winnowed(rows, k, window) if n == window else _all_grams(rows, n)
-        rows = rows.select("_key", "_hash", "_w", "_f")
-        if small:
-            of = F.broadcast(of)
-        else:
-            met = (rows.select("_key", "_hash", F.explode_outer(F.array_distinct("_f")).alias("f"))
-                   .join(of.select("f").distinct(), "f", "left_semi")
-                   .groupBy("_key", "_hash").agg(F.collect_set("f").alias("_met"))
-                   .withColumnsRenamed({"_key": "_k2", "_hash": "_h2"}))
-            rows = rows.join(met, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_hash") == F.col("_h2")))
-        at = rows.select("_key", "_hash", "_w", F.posexplode_outer("_f").alias("_at", "f"),
-                         *([] if small else ["_met"]))
-        if not small:
-            at = at.where(F.array_contains("_met", F.col("f"))).withColumn("_c", _content(n)).drop("_w")
-        found = at.join(of, (at["f"] == of["f"]) & (of["content"] == (_content(n) if small else F.col("_c"))))
-        found = found.select("_key", "_hash", F.col("_at").alias("at"), F.lit(n).alias("n"), "content")
-        out = found if out is None else out.union(found)
-    return out
+    of = places.select("f", "n", "i_back", "i_words", "place").distinct()
+    rows = _hashed(docs.select("_key", "_hash", words_of("text").alias("_w")), k)
+    spots = F.explode_outer(_spots(k, window, lengths)).alias("s")
+    if small:
+        at = rows.select("_key", "_hash", spots)
+        of = F.broadcast(of)
+    else:
+        marks = F.array_distinct(F.transform(_spots(k, window, lengths), lambda s: s["f"]))
+        met = (rows.select("_key", "_hash", F.explode_outer(marks).alias("f"))
+               .join(of.select("f").distinct(), "f", "left_semi")
+               .groupBy("_key", "_hash").agg(F.collect_set("f").alias("_met"))
+               .withColumnsRenamed({"_key": "_k2", "_hash": "_h2"}))
+        rows = rows.join(met, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_hash") == F.col("_h2")))
+        at = rows.select("_key", "_hash", "_met", spots).where(F.array_contains("_met", F.col("s.f")))
+    found = at.select("_key", "_hash", "s.*").join(of, ["f", "n"])
+    same = lambda j: F.get("words", F.col("back") + j) == F.get("i_words", F.col("i_back") + j)
+    gram = F.lit(True)
+    for j in range(k):
+        gram = gram & F.coalesce(same(j), F.lit(False))
+    left = _while([(F.col("back") >= j) & (F.col("i_back") >= j) & same(-j) for j in range(1, window - k + 1)])
+    right = _while([same(k + j) for j in range(window - k)])
+    long, short = F.col("n") == window, (F.col("n") < window) & (F.col("words") == F.col("i_words"))
+    extended = found.withColumn("_l", F.when(long & gram, left)).withColumn("_r", F.when(F.col("_l").isNotNull(), right))
+    size = F.when(long, F.col("_l") + k + F.col("_r")).when(short, F.col("n"))
+    return extended.withColumn("_n", size).where((long & (F.col("_n") >= window)) | short).select(
+        "_key", "_hash", (F.col("at") - F.coalesce("_l", F.lit(0))).alias("at"), F.col("_n").alias("n"), "place")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int = 5,
                   key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+                  item_text: str = "text", broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256, contaminated and the hit spans to every row.
 
     A window is ``window`` consecutive words of an item, or all of a shorter one. A word inside any
-    occurrence of a window is hit; n_items counts items with an occurring window. Fingerprints
-    (the smallest ``k``-gram hash in each window) find candidates, comparing the words confirms them,
-    and overlapping windows extend to spans: ``spans`` lists (first word, words) of the hit stretches.
+    occurrence of a window is hit; n_items counts items with an occurring window. Of the hashes of ``k`` words only
+    the smallest in each window is kept (winnowing), equal ones bring documents and items together, and comparing
+    the words beside them extends a hit as far as it goes: ``spans`` lists (first word, words) of the hit stretches.
 
     Null texts have no words. Null item ids read as ''. Repeated rows get equal results: matches are
     kept per id and text, not per row. Empty tables give no hits. Columns of ``docs`` with the names of
@@ -113,12 +139,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int
     """
     results = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
     own = [c for c in docs.columns if c not in results]
-    windows = written(item_windows(items, k, window, item, item_text), "windows")
-    stats = windows.agg(F.count("*"), F.collect_set(F.when(F.col("n") < window, F.col("n")))).first()
-    small = stats[0] <= broadcast_windows
+    places = written(item_places(items, k, window, item, item_text).withColumn(
+        "place", F.concat_ws(" ", "n", "i_back", F.array_join("i_words", " "))), "places")
+    stats = places.agg(F.count_distinct("place"), F.collect_set(F.when(F.col("n") < window, F.col("n")))).first()
+    small = stats[0] <= broadcast_places
 
     keyed = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
-    hits = written(find_hits(keyed, windows, k, window, sorted(stats[1]), small).distinct(), "hits")
+    hits = written(find_hits(keyed, places, k, window, sorted(stats[1]), small).distinct(), "hits")
 
     # Spans in order; each adds what reaches beyond the end so far.
     zero = F.struct(F.lit(0).alias("hit"), F.lit(-1).alias("end"))
@@ -138,9 +165,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int
         F.col("_key").alias("_k1"), F.col("_hash").alias("_h1"),
         F.aggregate("_s", zero, step)["hit"].cast("long").alias("n_hit"),
         F.aggregate("_s", none, merge).alias("spans"))
-    of_item = windows.select("content", "item").distinct()
-    found = (hits.select("_key", "_hash", "content").distinct()
-             .join(F.broadcast(of_item) if small else of_item, "content")
+    of_item = places.select("place", "item").distinct()
+    found = (hits.select("_key", "_hash", "place").distinct()
+             .join(of_item, "place")
              .groupBy("_key", "_hash").agg(F.sort_array(F.collect_set("item")).alias("_i")).select(
                  F.col("_key").alias("_k2"), F.col("_hash").alias("_h2"),
                  F.size("_i").cast("long").alias("n_items"), F.array_join("_i", ",").alias("_ids")))
