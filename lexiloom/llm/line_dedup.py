@@ -10,12 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexiloom.llm.common import SPACES, written
 from lexiloom.session import ship_package
 
-RUN_SCHEMA = "k1 long, k2 long, docs long, last long"
-
 
 def line_key(line: str) -> bytes:
     """The line without ASCII spaces at its ends, A-Z lower-cased, as UTF-8."""
@@ -47,16 +46,22 @@ def _hashes(min_chars: int):
 def lines_of(docs: DataFrame, min_chars: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, doc): 128-bit hashes of the distinct long keys of every row."""
     ship_package(docs.sparkSession)
-    slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return slim.mapInArrow(_hashes(min_chars), "k1 long, k2 long, doc long")
+    kind = docs.schema[key].dataType.simpleString()
+    slim = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    return slim.mapInArrow(_hashes(min_chars), f"k1 long, k2 long, doc {kind}")
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """(k1, k2, docs, last) of (k1, k2, doc): documents and the largest one of each key, from partial sums."""
+    return lines.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("doc").alias("last"))
 
 
 class LineRuns:
-    """Runs of (key, documents, largest document), each sorted by key, in levels.
+    """Runs of (key, documents, largest document, first), each sorted by key, in levels.
 
-    A batch becomes a run of level 0. When a level holds ``fanout`` runs they are merged
-    into one of the next level, so n batches leave about fanout * log(n) runs and each
-    key is rewritten once per level.
+    A batch is anti-joined with the runs: keys that no run holds are its ``first`` rows, the others add to a key's
+    count. It becomes a run of level 0. When a level holds ``fanout`` runs they are merged into one of the next level,
+    a row a key, so n batches leave about fanout * log(n) runs and each key is rewritten once per level.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
@@ -79,30 +84,42 @@ class LineRuns:
             both = both.union(r)
         if len(runs) == 1:
             return both
-        return both.groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-
-    def add(self, lines: DataFrame) -> None:
-        """Adds a batch's (k1, k2, doc) as a run; partial sums come before the shuffle."""
-        self._run(lines.groupBy("k1", "k2").agg(
-            F.count("*").alias("docs"), F.max("doc").alias("last")), 0)
-
-    def totals(self) -> DataFrame:
-        """One row per key over all runs."""
+        return both.groupBy("k1", "k2").agg(
+            F.sum("docs").alias("docs"), F.max("last").alias("last"), F.max("first").alias("first"))
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Adds a batch's (k1, k2, doc) as a run; returns its new keys (k1, k2, last), in no run before."""
+        batch = written(counted(lines).sortWithinPartitions("k1", "k2"), "counted")
+        new = written(self.unseen(batch).select("k1", "k2", "last"), "new-keys")
+        marked = batch.join(new.select("k1", "k2", F.lit(True).alias("first")).hint("merge"), ["k1", "k2"], "left")
+        self._run(marked.select("k1", "k2", "docs", "last", F.coalesce("first", F.lit(False)).alias("first")), 0)
+        return new
+
+    def totals(self) -> DataFrame | None:
+        """One row per key over all runs; None before the first batch."""
         runs = [r for level in self.levels for r in level]
-        return self._merged(runs) if runs else self.spark.createDataFrame([], RUN_SCHEMA)
+        return self._merged(runs) if runs else None
 
     def runs(self) -> list[int]:
         """Runs per level."""
         return [len(level) for level in self.levels]
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """Rows of (k1, k2, doc) whose key is in no run: one merge-anti-join per run."""
+        """Rows whose key (k1, k2) is in no run: one merge-anti-join per run."""
         for level in self.levels:
             for run in level:
                 lines = lines.join(run.hint("merge"), ["k1", "k2"], "left_anti")
         return lines
 
 
+def later_copies(lines: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of (k1, k2, doc) that are not the first one of their key: all of known keys, and of new ones those
+    of other documents than the largest."""
+    first = new.select("k1", "k2", "last", F.lit(True).alias("_new"))
+    return lines.join(first, ["k1", "k2"], "left").where(
+        F.col("_new").isNull() | ~F.col("doc").eqNullSafe(F.col("last"))).select("k1", "k2", "doc")
+
+
 def _cut(dropped: str, text: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,13 +147,15 @@ def drop_lines(docs: DataFrame, drops: DataFrame, key: str = "doc_id", text: str
         F.collect_set(F.struct("k1", "k2")).alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_gone", "_doc")]
     joined = docs.select(*own).join(
-        per_doc, docs[key].cast("long").eqNullSafe(F.col("_doc")), "left").select(*own, "_gone")
+        per_doc, docs[key].eqNullSafe(F.col("_doc")), "left").select(*own, "_gone")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_gone")
     return joined.mapInArrow(_cut("_gone", text), f"{fields}, n_lines long, n_dropped long")
 
 
 def _batches(docs: DataFrame, key: str, n: int) -> list[Column]:
-    """Conditions that cut the table at quantiles of the key, largest keys first."""
+    """Conditions that cut the table at quantiles of the key, largest keys first; one batch if keys are no integers."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        return [F.lit(True)]
     cuts = docs.select(F.percentile_approx(
         F.col(key).cast("long"), [i / n for i in range(1, n)], 1000)).first()[0] or []
     cuts, k, out = sorted(set(cuts), reverse=True), F.col(key).cast("long"), []
@@ -151,22 +170,24 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
 
     A line's key is the line without ASCII spaces at its ends and with A-Z lower-cased. Keys of at
     least ``min_chars`` code points that at least ``min_docs`` documents hold stay only in the document
-    with the largest id. Adds n_lines (before) and n_dropped, replaces the text.
+    with the largest id. Adds n_lines (before) and n_dropped, replaces the text; columns of these names are replaced.
+
+    Batches come by falling id. Each anti-joins the runs of the batches before: the largest document of a key that
+    no run holds has its first copy, all others hold later ones. Then the batch adds its own run, compacted by level.
+    Later copies go whose key is frequent over all runs. Counts are summed before they are shuffled, and the joins may
+    split a hot key. Ids are of any type with an order; integers are cut into batches, others make one.
 
-    Batches by falling id each add one sorted run of (key, count, largest id), compacted by level; the
-    frequent keys of all runs are then merge-joined with every document's keys. A key's count is
-    summed before it is shuffled, and the join may split a hot key. A null text is one empty line and
-    comes back as ''. Rows count as documents, also if they repeat an id; all rows of the largest
-    id keep the line. A null id is smaller than any other. Nothing else of a row changes.
+    A null text is one empty line and comes back as ''. Rows count as documents, also if they repeat an id; all rows
+    of the largest id keep the line. A null id is smaller than any other. Texts of any length are read whole by one
+    task each. An empty table gives an empty one. Nothing else of a row changes.
     """
-    store = LineRuns(docs.sparkSession, fanout)
+    store, later = LineRuns(docs.sparkSession, fanout), None
     for part in _batches(docs, key, batches):
-        store.add(lines_of(docs.where(part), min_chars, key, text))
-    frequent = store.totals().where(F.col("docs") >= min_docs)
-    frequent = written(frequent.select("k1", "k2", "last").sortWithinPartitions("k1", "k2"), "frequent")
-    lines = lines_of(docs, min_chars, key, text)
-    smaller = (F.col("doc") < F.col("last")) | (F.col("doc").isNull() & F.col("last").isNotNull())
-    drops = lines.join(frequent, ["k1", "k2"]).where(smaller).select("doc", "k1", "k2")
+        lines = written(lines_of(docs.where(part), min_chars, key, text), "lines")
+        copies = written(later_copies(lines, store.add(lines)), "later-copies")
+        later = copies if later is None else later.union(copies)
+    frequent = written(store.totals().where(F.col("docs") >= min_docs).select("k1", "k2").sortWithinPartitions("k1", "k2"), "frequent")
+    drops = later.join(frequent, ["k1", "k2"]).select("doc", "k1", "k2")
     return drop_lines(docs, drops, key, text)
 
 
@@ -175,10 +196,5 @@ def add_batch(store: LineRuns, docs: DataFrame, *, min_chars: int = 40, key: str
     """One step of a growing corpus: ``docs`` without lines that earlier batches hold; then
     the batch's own keys join the store. Of copies within the batch the largest id keeps the line."""
     lines = written(lines_of(docs, min_chars, key, text), "lines")
-    new = store.unseen(lines)
-    last = new.groupBy("k1", "k2").agg(F.max("doc").alias("_last"))
-    keeps = new.join(last, ["k1", "k2"]).where(F.col("doc").eqNullSafe(F.col("_last")))
-    drops = lines.exceptAll(keeps.select("k1", "k2", "doc")).select("doc", "k1", "k2")
-    drops = written(drops, "drops")
-    store.add(lines)
+    drops = written(later_copies(lines, store.add(lines)), "drops")
     return drop_lines(docs, drops, key, text)
