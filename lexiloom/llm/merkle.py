@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,12 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.llm.substring_dedup import Chunking, cut_points
 from lexiloom.session import ship_package
 
-LONGEST = 1024  # bytes of a piece at most
-LEAF = 8  # hex digits of a piece in the fingerprint
-PIECE = re.compile(rb"[^ ]{0,%d} |[^ ]{1,%d}" % (LONGEST - 1, LONGEST))
+LONGEST = 64  # bytes of a word that are a piece as they are; the text cuts longer ones itself
+LEAF = 3  # characters of a piece in the fingerprint, 18 bits of its digest
+PIECE = re.compile(rb"[^ ]* |[^ ]+")
+WITHIN = Chunking(window=4, reach=8, largest=LONGEST)
 KEPT = 4096  # lines of fewer bytes are looked up where an edited text repeats them
+# The 64 characters that write a leaf, and the mark for the two ends of a paragraph.
+SIGNS = np.frombuffer((string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_").encode(), np.uint8)
+END = "$" * LEAF
+_VALUE = np.full(256, 64, np.int64)
+_VALUE[SIGNS] = np.arange(64)
 
 
 def _hash(data: bytes) -> bytes:
@@ -28,23 +36,32 @@ def _hash(data: bytes) -> bytes:
 
 
 def _pieces(paragraph: bytes) -> list[bytes]:
-    """Cuts a paragraph after every space, so that an edit moves no cut but those beside it. The rule
-    is one for all lengths: texts of any two sizes are comparable. The pieces put together are the paragraph."""
-    return PIECE.findall(paragraph) or [b""]
+    """Cuts a paragraph after every space, and words of over ``LONGEST`` bytes, as in texts without spaces, where a
+    rolling hash of their bytes says so. An edit moves no cut but those beside it, and the rule is one for all
+    lengths, so texts of any two sizes are comparable. The pieces put together are the paragraph."""
+    out = []
+    for piece in PIECE.findall(paragraph):
+        if len(piece) <= LONGEST:
+            out.append(piece)
+        else:
+            ends = cut_points(piece, WITHIN)
+            out += [piece[a:b] for a, b in zip([0, *ends], ends)]
+    return out or [b""]
 
 
 def _paragraph(line: bytes) -> tuple[bytes, str]:
     """A paragraph's node, and what the fingerprint shows of its pieces."""
     leaves = b"".join([_hash(p) for p in _pieces(line)])
-    return _hash(b"p" + leaves), np.frombuffer(leaves, np.uint8).reshape(-1, 16)[:, :LEAF // 2].tobytes().hex()
+    head = np.frombuffer(leaves, np.uint8).reshape(-1, 16)[:, :3].astype(np.int64) @ np.array([65536, 256, 1])
+    return _hash(b"p" + leaves), SIGNS[np.stack([head >> 18, head >> 12, head >> 6], 1) & 63].tobytes().decode()
 
 
 _known_paragraph = functools.lru_cache(1024)(_paragraph)
 
 
 def fingerprint(text: str | None) -> str:
-    """``root/leaves``: the root digest, then the pieces' digests, 8 hex digits each, without a mark
-    between them, paragraphs separated by ``|`` and sections by ``;``.
+    """``root/leaves``: the root digest, then three characters for every piece, without a mark between them,
+    paragraphs separated by ``|`` and sections by ``;``: about half as long as a text of words.
 
     Paragraphs are lines. A section ends at a blank line or at a paragraph whose digest says so.
     Pieces are hashed to 128 bits, paragraphs hash their pieces, sections their paragraphs, the root its
@@ -71,26 +88,34 @@ def _tree(mark: str) -> list[list[str]]:
 
 
 def _leaves(paragraph: str) -> np.ndarray:
-    return np.frombuffer(paragraph.encode(), f"S{LEAF}")
+    """The 18-bit numbers of a row of leaves; an end mark is greater than all."""
+    return _VALUE[np.frombuffer(paragraph.encode(), np.uint8)].reshape(-1, LEAF) @ np.array([4096, 64, 1])
+
+
+def _pairs(paragraphs: Counter) -> np.ndarray:
+    """Neighbours in some paragraphs, as one number each, their ends counted as neighbours of an end mark."""
+    row = _leaves(END + "".join(p + END for p in paragraphs.elements()))
+    return (row[:-1] << 20) + row[1:]
 
 
 def _n_common(left: np.ndarray, right: np.ndarray) -> int:
-    """Pieces that both have, as often as both have them."""
-    (x, n), (y, m) = (np.unique(side.view("<u8"), return_counts=True) for side in (left, right))
+    """What both have, as often as both have it."""
+    (x, n), (y, m) = (np.unique(side, return_counts=True) for side in (left, right))
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     return int(np.minimum(n[i], m[j]).sum())
 
 
 def likeness(a: str, b: str) -> float:
-    """Twice the common pieces over the pieces of both, 1 for equal roots.
+    """Twice the common neighbourhoods of pieces over those of both, 1 for equal roots.
 
-    Equal branches are settled whole: sections first, then paragraphs, then single pieces.
+    A neighbourhood is a piece and the one behind it, or an end of the paragraph: the same words in another
+    order share few. Equal branches are settled whole: sections first, then paragraphs, then single pieces.
     """
     if a.partition("/")[0] == b.partition("/")[0]:
         return 1.0
-    total = same = 0
     left, right = (Counter(m.partition("/")[2].split(";")) for m in (a, b))
-    count = lambda node: len(node.replace("|", "")) // LEAF
+    # A paragraph of n pieces has n + 1 neighbourhoods.
+    count = lambda node: len(node.replace("|", "")) // LEAF + node.count("|") + 1
     total = sum(count(x) * n for side in (left, right) for x, n in side.items())
     common = left & right
     same = sum(count(x) * n for x, n in common.items())
@@ -98,8 +123,8 @@ def likeness(a: str, b: str) -> float:
                    for side in (left, right))
     common = left & right
     same += sum(count(x) * n for x, n in common.items())
-    same += _n_common(*(_leaves("".join((side - common).elements())) for side in (left, right)))
-    return 2 * same / total if total else 1.0
+    same += _n_common(_pairs(left - common), _pairs(right - common))
+    return 2 * same / total
 
 
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
