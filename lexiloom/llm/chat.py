@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiloom.session import ship_package
 
@@ -16,8 +18,10 @@ Message = tuple[str, str]  # role, text
 Render = Callable[[Sequence[Message]], str]
 
 # Strings that steer a model, and that no text may therefore contain as they are.
-CONTROL = re.compile(r"(<|\[)(\\*)(/?s>|/?INST\]|\|[a-z]+\|>)")
-MASKED = re.compile(r"(<|\[)\\(\\*)(/?s>|/?INST\]|\|[a-z]+\|>)")
+_REST = (r"(/?s>|(?:bos|eos|pad|unk)>|[|\uff5c][^|\uff5c<>\[\] \t\n\x0b\f\r]+[|\uff5c]>|</?SYS>>|(?:start|end)_of_turn>"
+         r"|/?(?:INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_RESULTS|TOOL_CALLS)\])")
+CONTROL = re.compile(r"(<|\[)(\\*)" + _REST)
+MASKED = re.compile(r"(<|\[)\\(\\*)" + _REST)
 TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.S)
 
 
@@ -31,9 +35,14 @@ def unescape(text: str) -> str:
     return MASKED.sub(r"\1\2\3", text)
 
 
+@functools.lru_cache(1 << 16)
+def _turn(role: str, text: str) -> str:
+    return f"<|turn|>{escape(role)}<|text|>{escape(text)}<|end|>\n"
+
+
 def plain_template(messages: Sequence[Message]) -> str:
     """``<|turn|>role<|text|>text<|end|>`` per turn."""
-    return "".join(f"<|turn|>{escape(r)}<|text|>{escape(t)}<|end|>\n" for r, t in messages)
+    return "".join([_turn(r, t) if len(t) < 10_000 else _turn.__wrapped__(r, t) for r, t in messages])
 
 
 def parse_turns(formatted: str) -> list[Message]:
@@ -41,14 +50,21 @@ def parse_turns(formatted: str) -> list[Message]:
     return [(unescape(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)]
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the common prefix."""
+def _common(a: str, b: str, hint: str = "") -> int:
+    """Length of the common prefix; ``hint`` is what it probably begins with."""
     if b.startswith(a):
         return len(a)
     low, high = 0, min(len(a), len(b))
+    if hint and a.startswith(hint) and b.startswith(hint):
+        low = len(hint)
+    # Blocks that double as long as they agree, then halves of the one that does not.
+    step = 64
+    while low < high and a[low:low + step] == b[low:low + step]:
+        low, step = min(low + step, high), 2 * step
+    high = min(high, low + step)
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
     return low
 
 
@@ -58,7 +74,8 @@ class IncrementalRenderer:
     ``add`` returns (piece, offset in the piece where the turn's text begins, where it ends, rewrites).
     The piece is what the output has beyond what it shares with the output before; ``rewrites`` counts
     characters of the earlier output that the template changed or took back. The text's place in the piece is
-    found by rendering the turn with two one-letter texts: they differ where the text begins.
+    found by rendering the turn with one character in its stead that stands nowhere in the output: the two differ
+    from the beginning to the end of the text.
 
     Whole prefixes are rendered at every length, at a price that grows with the square of the turns: no test at
     one turn can show that a template never looks further back at another. Only a caller who knows the template
@@ -78,9 +95,10 @@ class IncrementalRenderer:
     def add(self, role: str, text: str) -> tuple[str, int, int, int]:
         before, after = self.output, self.render([*self.messages, (role, text)])
         piece, rewrites = self._piece(before, after)
-        a, b = (self.render([*self.messages, (role, probe)]) for probe in "ab")
-        begin = _common(a, b)
-        close = _common(a[::-1], b[::-1])
+        spare = next(c for c in map(chr, (*range(1, 9), *range(0xE000, 0xF900))) if c not in after)
+        probe = self.render([*self.messages, (role, spare)])
+        begin = _common(after, probe, before)
+        close = _common(after[begin:][::-1], probe[begin:][::-1])
         start = max(0, begin - (len(after) - len(piece)))
         end = max(start, len(piece) - close)
         self.messages.append((role, text))
@@ -131,16 +149,14 @@ def format_conversations(rows: DataFrame, render: Render = plain_template, *, ke
     Result rows of a conversation stay together, in order.
 
     Null roles and texts read as ''. Rows with the same turn follow by role and text; a null turn
-    comes first. Rows without a conversation id form one conversation. Repeated rows are turns.
+    comes first. Rows without a conversation id form one conversation; ids may be of any type that can be
+    sorted. Repeated rows are turns. An empty table gives no turns. Further columns are ignored, whatever their names.
     """
     ship_package(rows.sparkSession)
-    kind = rows.schema[key].dataType.simpleString()
+    kind, key_type = rows.schema[key].dataType.simpleString(), to_arrow_type(rows.schema[key].dataType)
     slim = rows.select(F.col(key).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                        F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    key_type = pa.string() if kind == "string" else pa.int64()
-    if kind not in ("string", "bigint"):
-        raise ValueError(f"conversation ids must be strings or bigints, not {kind}")
     return ordered.mapInArrow(
         _formatted(render, key_type, context),
         f"conv_id {kind}, turn long, number long, role string, piece string, span_start long, span_end long, "
@@ -195,8 +211,7 @@ def digest_conversations(turns: DataFrame, learned_role: str = "assistant") -> D
     Turns are parsed from the formatted text and unescaped; the loss is what stands under the spans of the
     learned role's texts.
     """
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    key_type = pa.string() if kind == "string" else pa.int64()
+    kind, key_type = turns.schema["conv_id"].dataType.simpleString(), to_arrow_type(turns.schema["conv_id"].dataType)
     return turns.mapInArrow(
         _digests(learned_role, key_type),
         f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "

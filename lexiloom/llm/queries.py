@@ -249,8 +249,8 @@ WITH rows AS (
   VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 said AS (SELECT conv_id, turn, role, text,
   length(role) + length(text) + length('<|turn|><|text|><|end|>') + 1
-    + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?INST\]|\|[a-z]+\|>)'))
-    + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|\|[a-z]+\|>)')) AS n FROM rows)
+    + len(regexp_extract_all(role, '[<\[]\\*(/?s>|(bos|eos|pad|unk)>|[|\x{FF5C}][^|\x{FF5C}<>\[\] \t\n\x0b\f\r]+[|\x{FF5C}]>|</?SYS>>|(start|end)_of_turn>|/?(INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_RESULTS|TOOL_CALLS)\])'))
+    + len(regexp_extract_all(text, '[<\[]\\*(/?s>|(bos|eos|pad|unk)>|[|\x{FF5C}][^|\x{FF5C}<>\[\] \t\n\x0b\f\r]+[|\x{FF5C}]>|</?SYS>>|(start|end)_of_turn>|/?(INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_RESULTS|TOOL_CALLS)\])')) AS n FROM rows)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
