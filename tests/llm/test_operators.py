@@ -240,7 +240,7 @@ def test_hits_equal_brute_force(spark):
     rows = documents(spark, docs).withColumn("n_hit", F.lit("clash"))
     table = spark.createDataFrame(items, "item_id long, text string")
     for bound in (10**6, 0):
-        out = decontamination.decontaminate(rows, table, broadcast_windows=bound)
+        out = decontamination.decontaminate(rows, table, broadcast_places=bound)
         got = [(str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()]
         assert sorted(got) == sorted(want)
         assert all(sum(s["words"] for s in r.spans) == r.n_hit for r in out.collect())
@@ -444,29 +444,34 @@ def test_dropped_bytes_stand_earlier_in_the_given_documents(spark):
         pytest.skip("test tables not present")
     docs = spark.read.parquet(path).select("doc_id", "text")
     out = sorted(substring_dedup.dedup_substrings(docs).join(docs.withColumnRenamed("text", "whole"), "doc_id").collect(), key=lambda r: r.doc_id)
-    seen, everywhere = set(), collections.Counter()
+    first, everywhere = {}, collections.Counter()
     for r in out:
         data = (r.whole or "").encode()
         everywhere.update(data[i:i + 100] for i in range(len(data) - 99))
-    dropped = long_runs = caught = 0
+    dropped = passages = caught = 0
     for r in out:
         data = (r.whole or "").encode()
         covered, common = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        places = []
         for i in range(len(data) - 99):
             w = data[i:i + 100]
-            covered[i:i + 100] |= w in seen
-            common[i:i + 100] |= w in seen or everywhere[w] > 1
-            seen.add(w)
+            covered[i:i + 100] |= w in first
+            common[i:i + 100] |= everywhere[w] > 1
+            places.append(first.setdefault(w, (r.doc_id, i)))
         for span in r.repeats:
             assert common[span["first"]:span["first"] + span["bytes"]].all()
         assert r.n_dropped <= covered.sum()
         dropped += r.n_dropped
-        edge = np.flatnonzero(np.diff(covered.astype(int), prepend=0))
-        for begin, end in zip(edge[::2], edge[1::2]):
-            if len(data[begin:end].split()) > 52:
-                long_runs += 1
-                caught += any(begin <= s["first"] + s["bytes"] and s["first"] < end for s in r.repeats)
-    assert dropped > 0 and long_runs > 5 and caught == long_runs
+        # Passages of over fifty words that stand as a whole in one earlier place.
+        begin = 0
+        for i in range(1, len(places) + 1):
+            if i < len(places) and places[i][0] == places[i - 1][0] and places[i][1] - i == places[i - 1][1] - (i - 1):
+                continue
+            if places[begin] != (r.doc_id, begin) and len(data[begin:i + 99].split()) > 52:
+                passages += 1
+                caught += any(begin < s["first"] + s["bytes"] and s["first"] < i + 99 for s in r.repeats)
+            begin = i
+    assert dropped > 0 and passages > 5 and caught == passages
 
 
 def test_rules_win_alike_on_both_sides_of_the_bound(spark, monkeypatch):
@@ -500,3 +505,78 @@ def test_links_resolve_as_in_a_browser(spark):
                                   "page_id long, url string, html string")
     out = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [("net/es/", "block")]).collect()}
     assert out == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
+def test_likeness_equals_brute_force_and_heeds_order():
+    def by_hand(a, b):
+        pairs = [collections.Counter(), collections.Counter()]
+        for text, into in zip((a, b), pairs):
+            for line in text.split("\n"):
+                row = ["^", *(re.findall("[^ ]* |[^ ]+", line) or [""]), "$"]
+                into.update(zip(row, row[1:]))
+        return 2 * (pairs[0] & pairs[1]).total() / (pairs[0].total() + pairs[1].total())
+
+    rng = random.Random(7)
+    texts = ["", "a", "one", "\n\n", "a b\n\na b"] + ["\n".join(prose(rng.randrange(9), rng.randrange(12)) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    for a in texts:
+        for b in rng.sample(texts, 6):
+            expected = 1.0 if a == b else by_hand(a, b)
+            assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) == pytest.approx(expected, abs=0.02)
+    words = prose(3, 300).split()
+    shuffled = rng.sample(words, len(words))
+    assert merkle.likeness(merkle.fingerprint(" ".join(words)), merkle.fingerprint(" ".join(shuffled))) < 0.1
+    long = prose(4, 2000)
+    assert len(merkle.fingerprint(long)) < 0.65 * len(long)
+    glued = "".join(prose(5, 2000).split())
+    moved = glued[:500] + "inserted" + glued[500:]
+    assert merkle.likeness(merkle.fingerprint(glued), merkle.fingerprint(moved)) > 0.95
+
+
+def test_no_control_string_stays_as_it_is():
+    strings = ["<|im_start|>", "<|eot_id|>", "<|reserved_special_token_0|>", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>",
+               "<｜begin▁of▁sentence｜>", "[TOOL_CALLS]", "[/INST]", "<s>", "</s>", "<bos>", "<eos>", "<|turn|>", "<|text|>", "<|end|>"]
+    rng = random.Random(4)
+    pieces = strings + ["<", "[", "\\", "|", "s>", "x", " ", "\n", "INST]", ">"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(8)))
+        masked = chat.escape(text)
+        assert chat.unescape(masked) == text and not any(s in masked for s in strings), text
+        assert chat.parse_turns(chat.plain_template([("user", text), (text, "x")])) == [("user", text), (text, "x")]
+
+
+def test_conversation_ids_of_other_types(spark):
+    rows = [(3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (None, 0, "user", None)]
+    for kind in ("int", "string", "decimal(9,2)"):
+        df = spark.createDataFrame(rows, "c long, turn long, role string, text string").selectExpr(f"CAST(c AS {kind}) AS conv_id", "turn", "role", "text")
+        out = {r.conv_id is None: (r.n_turns, r.loss_chars) for r in chat.digest_conversations(chat.format_conversations(df)).collect()}
+        assert out == {False: (2, 3), True: (1, 0)}
+
+
+def test_winnowing_keeps_few_grams_of_every_window(spark):
+    words = prose(21, 3000)
+    df = spark.createDataFrame([(words,)], "text string").select(decontamination.words_of("text").alias("_w"))
+    row = decontamination._hashed(df, 5).select("_g", decontamination._winnowed(5, 10).alias("kept")).first()
+    kept = set(row.kept)
+    assert 0.25 < len(kept) / 3000 < 0.32
+    for i in range(len(row._g) - 5):
+        window = row._g[i:i + 6]
+        assert i + window.index(min(window)) in kept
+
+
+def test_lines_of_documents_with_other_ids(spark):
+    line = "a line that is long enough to be counted as one, surely"
+    rows = [(f"k{i}", line + "\nown line of " + "x" * i) for i in range(7)] + [(None, line)]
+    out = {r.name: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(
+        spark.createDataFrame(rows, "name string, body string"), key="name", text="body").collect()}
+    assert out == {**{f"k{i}": (2, 1) for i in range(6)}, "k6": (2, 0), None: (1, 1)}
+
+
+def test_rows_that_share_an_id_go_and_stay_by_their_text(spark):
+    a, b = prose(31, 60), prose(32, 60)
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (9, "alone " + prose(33, 50), "y"), (9, "alone " + prose(33, 50), "z"), (None, near, "x"),
+            (4, None, "x"), (4, None, "x"), (8, "", "x"), (None, "unnamed " + prose(34, 50), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    out = near_dedup.keep_one_of_each(df, sketch=near_dedup.Sketch(words=5)).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[7], rows[8], rows[9], rows[10]]))
+    assert near_dedup.keep_one_of_each(df.limit(0)).count() == 0
