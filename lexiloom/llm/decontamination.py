@@ -49,18 +49,9 @@ def _winnowed(k: int, window: int) -> Column:
                     + _while([g(i + j) >= g(i) for j in range(1, reach + 1)]) >= reach)
 
 
-def _around(place: Column, k: int, window: int) -> Column:
-    """The words of all windows that hold the k-gram at ``place``."""
-    first = F.greatest(place - (window - k), F.lit(0))
-    return F.slice("_w", first + 1, place + window - first)
-
-
 def _spots(k: int, window: int, lengths: list[int]) -> Column:
-    """Fingerprints (f, n, at, back, words) of a text: the kept grams with the words around them, the gram ``back``
-    words behind the first; and for each of ``lengths`` all runs of so many words."""
-    long = F.transform(_winnowed(k, window), lambda i: F.struct(
-        F.get("_g", i).alias("f"), F.lit(window).alias("n"), i.alias("at"), F.least(i, F.lit(window - k)).alias("back"),
-        _around(i, k, window).alias("words")))
+    """Fingerprints (f, n, at) of a text: the kept grams, and for each of ``lengths`` all runs of so many words."""
+    long = F.transform(_winnowed(k, window), lambda i: F.struct(F.get("_g", i).alias("f"), F.lit(window).alias("n"), i.alias("at")))
     return F.concat(long, *[_runs_of(n) for n in lengths])
 
 
@@ -68,22 +59,29 @@ def _runs_of(n: int) -> Column:
     """All runs of n words, as fingerprints."""
     places = F.when(F.size("_h") >= n, F.sequence(F.lit(0), F.size("_h") - n)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(
-        F.xxhash64(*[F.get("_h", i + j) for j in range(n)]).alias("f"), F.lit(n).alias("n"), i.alias("at"),
-        F.lit(0).alias("back"), F.slice("_w", i + 1, n).alias("words")))
+        F.xxhash64(*[F.get("_h", i + j) for j in range(n)]).alias("f"), F.lit(n).alias("n"), i.alias("at")))
+
+
+def _with_words(spots: DataFrame, k: int, window: int) -> DataFrame:
+    """Adds ``words``, those of all windows that hold the gram at ``at``, and how far the gram is ``back`` in them; a
+    run of fewer words than a window is alone."""
+    back = F.when(F.col("n") == window, F.least("at", F.lit(window - k))).otherwise(0)
+    size = F.when(F.col("n") == window, F.col("back") + window).otherwise(F.col("n"))
+    return spots.withColumn("back", back).withColumn("words", F.slice("_w", F.col("at") - F.col("back") + 1, size))
 
 
 def item_places(items: DataFrame, k: int, window: int, item: str = "item_id", text: str = "text") -> DataFrame:
     """(f, n, i_back, i_words, item): the fingerprints of the items; an item of fewer words than a window is one run."""
     rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(text).alias("_w"))
-    short = [rows.where(F.size("_w") == n).select("item", F.explode(F.array(F.struct(
-        F.xxhash64(*[F.xxhash64(F.get("_w", F.lit(j))) for j in range(n)]).alias("f"), F.lit(n).alias("n"), F.lit(0).alias("at"),
-        F.lit(0).alias("back"), F.col("_w").alias("words")))).alias("s")) for n in range(1, window)]
+    short = [rows.where(F.size("_w") == n).select("item", "_w", F.explode(F.array(F.struct(
+        F.xxhash64(*[F.xxhash64(F.get("_w", F.lit(j))) for j in range(n)]).alias("f"), F.lit(n).alias("n"), F.lit(0).alias("at")))).alias("s"))
+        for n in range(1, window)]
     # The outer form: for the inner one the optimizer repeats the array's expression in a filter.
-    out = _hashed(rows.where(F.size("_w") >= window), k).select("item", F.explode_outer(_spots(k, window, [])).alias("s"))
+    out = _hashed(rows.where(F.size("_w") >= window), k).select("item", "_w", F.explode_outer(_spots(k, window, [])).alias("s"))
     for part in short:
         out = out.union(part)
-    return out.where("s is not null").select(
-        "s.f", "s.n", F.col("s.back").alias("i_back"), F.col("s.words").alias("i_words"), "item").distinct()
+    return _with_words(out.where("s is not null").select("item", "_w", "s.*"), k, window).select(
+        "f", "n", F.col("back").alias("i_back"), F.col("words").alias("i_words"), "item").distinct()
 
 
 def find_hits(docs: DataFrame, places: DataFrame, k: int, window: int, lengths: list[int], small: bool) -> DataFrame:
@@ -98,8 +96,9 @@ def find_hits(docs: DataFrame, places: DataFrame, k: int, window: int, lengths:
     rows = _hashed(docs.select("_key", "_hash", words_of("text").alias("_w")), k)
     spots = F.explode_outer(_spots(k, window, lengths)).alias("s")
     if small:
-        at = rows.select("_key", "_hash", spots)
-        of = F.broadcast(of)
+        # Words are cut out behind the join, so for matches alone.
+        found = rows.select("_key", "_hash", "_w", spots).select("_key", "_hash", "_w", "s.*").join(F.broadcast(of), ["f", "n"])
+        found = _with_words(found, k, window)
     else:
         marks = F.array_distinct(F.transform(_spots(k, window, lengths), lambda s: s["f"]))
         met = (rows.select("_key", "_hash", F.explode_outer(marks).alias("f"))
@@ -107,8 +106,9 @@ def find_hits(docs: DataFrame, places: DataFrame, k: int, window: int, lengths:
                .groupBy("_key", "_hash").agg(F.collect_set("f").alias("_met"))
                .withColumnsRenamed({"_key": "_k2", "_hash": "_h2"}))
         rows = rows.join(met, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_hash") == F.col("_h2")))
-        at = rows.select("_key", "_hash", "_met", spots).where(F.array_contains("_met", F.col("s.f")))
-    found = at.select("_key", "_hash", "s.*").join(of, ["f", "n"])
+        at = rows.select("_key", "_hash", "_w", "_met", spots).where(F.array_contains("_met", F.col("s.f")))
+        at = _with_words(at.select("_key", "_hash", "_w", "s.*"), k, window)
+        found = at.select("_key", "_hash", "f", "n", "at", "back", "words").join(of, ["f", "n"])
     same = lambda j: F.get("words", F.col("back") + j) == F.get("i_words", F.col("i_back") + j)
     gram = F.lit(True)
     for j in range(k):
