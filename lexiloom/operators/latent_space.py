@@ -19,18 +19,23 @@ from lexiloom.operators import vocabulary as vb
 # ---------------------------------------------------------------- purity
 def row_purity(
     df: DataFrame, key: str, labels: Sequence[str], k: int = 10, vector: str = "vector",
-    queries: DataFrame | None = None, **nearest_options,
+    queries: DataFrame | None = None, ranked: DataFrame | None = None, **nearest_options,
 ) -> DataFrame:
     """Share of a row's k nearest neighbours that carry its label, for each label column.
 
-    ``queries`` defaults to all rows. Columns: key, the labels, purity_<label>.
+    ``queries`` defaults to all rows. ``ranked`` gives neighbours found before, such as those of
+    ``neighbour_graph``; then none are searched. Columns: key, the labels, purity_<label>.
     """
     asked = df if queries is None else queries
     payload = [f"_n_{c}" for c in labels]
     corpus = df.select(key, vector, *[F.col(c).alias(f"_n_{c}") for c in labels])
-    ranked = neighbours.nearest(
-        asked.select(key, vector), corpus, k, key, key, vector, payload=payload, **nearest_options
-    )
+    if ranked is None:
+        ranked = neighbours.nearest(
+            asked.select(key, vector), corpus, k, key, key, vector, payload=payload, **nearest_options
+        )
+    else:
+        near = corpus.drop(vector).withColumnRenamed(key, "neighbor_id")
+        ranked = ranked.filter(F.col("neighbor_rank") <= k).join(near, "neighbor_id")
     own = asked.select(F.col(key).alias("query_id"), *labels)
     return (
         ranked.join(own, "query_id")
