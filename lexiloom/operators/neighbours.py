@@ -1,6 +1,6 @@
 """Exact cosine nearest neighbours.
 
-Two physical forms give the same rows:
+Two physical forms give the same rows, for dense and for sparse vectors:
 
 * few queries (at most ``broadcast_queries``, checked): the query matrix is
   broadcast, each corpus partition keeps its k best per query with block matrix
@@ -36,6 +36,8 @@ from lexiloom.session import cut_lineage
 
 BROADCAST_QUERIES = 20_000
 BLOCK_ROWS = 50_000
+SPARSE_BLOCK_ROWS = 10_000
+SUB_BLOCK_ROWS = 128
 MAX_PIVOTS = 256
 _SCORES_PER_CHUNK = 4_000_000
 _SLACK = 1e-4
@@ -206,20 +208,23 @@ def nearest_sparse(
     payload: Sequence[str] = (),
     exclude_self: bool = True,
     digits: int = 9,
-    max_queries: int = BROADCAST_QUERIES,
+    broadcast_queries: int = BROADCAST_QUERIES,
+    block_rows: int = SPARSE_BLOCK_ROWS,
 ) -> DataFrame:
     """``nearest`` for unit-length sparse rows (columns ``indices`` and ``weights``).
 
-    The bounded query side is broadcast as postings (term -> queries); a corpus
-    row only touches the postings of its own terms.
+    A query side of at most ``broadcast_queries`` rows (checked) is broadcast as postings (term -> queries); a corpus
+    row only touches the postings of its own terms. More queries go through a join of blocks (``_sparse_by_blocks``),
+    for which weights must not be negative; the rows are the same.
     """
     q = queries.select(F.col(query_id).alias("query_id"), "indices", "weights")
     c = corpus.select(
         F.col(corpus_id).alias("neighbor_id"), *payload, "indices", "weights"
     )
-    few = q.limit(max_queries + 1).toArrow()
-    if few.num_rows > max_queries:
-        raise ValueError(f"more than {max_queries} queries; sample them or use dense vectors")
+    few = q.limit(broadcast_queries + 1).toArrow() if broadcast_queries > 0 else None
+    if few is None or few.num_rows > broadcast_queries:
+        opts = {"k": k, "digits": digits, "exclude_self": exclude_self}
+        return _final_rank(_sparse_by_blocks(q, c, opts, block_rows), k, payload)
     query_ids = few.column("query_id").combine_chunks()
     lengths = np.array([len(x) for x in few.column("indices")], dtype=np.int64)
     term = few.column("indices").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -272,6 +277,167 @@ def nearest_sparse(
     return _final_rank(c.mapInArrow(scan, schema), k, payload)
 
 
+# ---------------------------------------------------------------- sparse join of blocks
+class _Sparse:
+    """Sparse rows of a table as flat arrays: owner, term and weight of every entry, sorted by owner."""
+
+    def __init__(self, rows: pa.Table):
+        idx = rows.column("indices").combine_chunks()
+        self.n = rows.num_rows
+        self.term = idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.weight = rows.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(self.n), idx.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        self.begin = np.searchsorted(self.owner, np.arange(self.n + 1))
+        if len(self.weight) and self.weight.min() < 0:
+            raise ValueError("weights must not be negative; use at most broadcast_queries queries")
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in ``rows``, term, weight) of some rows' entries."""
+        size = self.begin[rows + 1] - self.begin[rows]
+        at = np.repeat(self.begin[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(rows)), size), self.term[at], self.weight[at]
+
+
+def _products(q, q_size: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """Dot products (q_size x width) of query entries ``q`` with columns given as postings sorted by term."""
+    row, t, w = q
+    low = np.searchsorted(term, t, side="left")
+    count = np.searchsorted(term, t, side="right") - low
+    hit = np.repeat(np.arange(len(t)), count)
+    at = np.arange(len(hit)) - (np.cumsum(count) - count)[hit] + low[hit]
+    return np.bincount(row[hit] * width + owner[at], w[hit] * weight[at], minlength=q_size * width).reshape(q_size, width)
+
+
+def _score_sparse_block(queries: pa.Table, docs: pa.Table, opts, floors: np.ndarray) -> tuple[list, int]:
+    """(query row, doc row, score) of the best positive scores that reach their query's floor, and products made.
+
+    Documents are cut into sub-blocks of neighbours in the order of their heaviest term. Against the largest weight
+    of each term in a sub-block a query has an upper bound for all its documents; below the floor, or without
+    a common term, the sub-block is passed over for this query.
+    """
+    k, digits = opts["k"], opts["digits"]
+    q, d = _Sparse(queries), _Sparse(docs)
+    if not len(q.term) or not len(d.term):
+        return [], 0
+    floors = floors.copy()
+    q_ids, d_ids = _ids(queries.column("query_id").combine_chunks()), _ids(docs.column("neighbor_id").combine_chunks())
+    subs = -(-d.n // SUB_BLOCK_ROWS)
+    sub = d.owner // SUB_BLOCK_ROWS
+    order = np.lexsort((sub, d.term))
+    t, o, w = d.term[order], sub[order], d.weight[order]
+    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (o[1:] != o[:-1])))
+    top = (o[first], t[first], np.maximum.reduceat(w, first))
+    half = 0.5 * 10.0 ** -digits
+    found: list[tuple] = []
+    made = 0
+    step = max(1, min(4096, _SCORES_PER_CHUNK // max(subs, SUB_BLOCK_ROWS)))
+    for begin in range(0, q.n, step):
+        rows = np.arange(begin, min(begin + step, q.n))
+        bound = _products(q.of(rows), len(rows), *top, subs)
+        held: list[tuple] = []
+        # The sub-blocks that promise most come first: they raise the floors for the rest.
+        for s in np.argsort(-bound.max(axis=0), kind="stable"):
+            asked = rows[(bound[:, s] > 0) & (bound[:, s] + 2 * half >= floors[rows])]
+            if not len(asked):
+                continue
+            low, high = d.begin[s * SUB_BLOCK_ROWS], d.begin[min((s + 1) * SUB_BLOCK_ROWS, d.n)]
+            by_term = np.argsort(d.term[low:high], kind="stable")
+            width = min((s + 1) * SUB_BLOCK_ROWS, d.n) - s * SUB_BLOCK_ROWS
+            scores = np.round(_products(q.of(asked), len(asked), d.owner[low:high][by_term] - s * SUB_BLOCK_ROWS,
+                                        d.term[low:high][by_term], d.weight[low:high][by_term], width), digits)
+            made += scores.size
+            if opts["exclude_self"]:
+                scores[q_ids[asked][:, None] == d_ids[None, s * SUB_BLOCK_ROWS:s * SUB_BLOCK_ROWS + width]] = 0
+            if width > k:
+                kth = np.partition(scores, width - k, axis=1)[:, width - k]
+                floors[asked] = np.maximum(floors[asked], kth)
+            i, j = np.nonzero((scores > 0) & (scores >= floors[asked][:, None]))
+            held.append((asked[i], j + s * SUB_BLOCK_ROWS, scores[i, j]))
+            if sum(len(x[0]) for x in held) > _SCORES_PER_CHUNK:
+                held = [_top(held, d_ids, k)]
+        if held:
+            found.append(_top(held, d_ids, k))
+    return found, made
+
+
+def _top(held: list[tuple], d_ids: np.ndarray, k: int) -> tuple:
+    q, d, s = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((d_ids[d], -s, q))
+    q, d, s = q[order], d[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[keep], d[keep], s[keep]
+
+
+def _sparse_by_blocks(q: DataFrame, c: DataFrame, opts, block_rows: int) -> DataFrame:
+    """The positive scores that can be among a query's k best, and the lowest ids where fewer are positive.
+
+    Rows are ordered by their heaviest term and cut into blocks, so that a block's rows share terms; a term that is
+    the heaviest of many rows gets several. Each query first meets a block of its own kind, which gives its k-th best
+    score as a floor. Then blocks meet blocks, and floors and the largest weights of terms say what is passed over.
+    """
+    k = opts["k"]
+    heaviest = F.array_max(F.zip_with("weights", "indices", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))["i"]
+    kept = [f for f in c.columns if f not in ("indices", "weights")]
+    q = cut_lineage(q.withColumn("kind", F.coalesce(heaviest.cast("long"), F.lit(-1).cast("long"))))
+    c = cut_lineage(c.withColumn("kind", F.coalesce(heaviest.cast("long"), F.lit(-1).cast("long"))))
+    # One row per heaviest term, at most the vocabulary: where its rows begin in the order of terms.
+    sizes = c.groupBy("kind").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum(F.when(F.col("n") < block_rows, F.col("n"))).over(W.orderBy("kind").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = cut_lineage(sizes.select(
+        "kind", F.when(F.col("n") < block_rows, F.concat(F.lit("few-"), F.floor(before / block_rows).cast("string")))
+        .otherwise(F.concat(F.lit("one-"), F.col("kind").cast("string"))).alias("place"),
+        F.when(F.col("n") < block_rows, 1).otherwise(F.ceil(F.col("n") / block_rows)).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("neighbor_id"), F.col("parts")).cast("string")
+    docs = c.join(places, "kind").withColumn("block", F.concat_ws("/", "place", part)).drop("place", "parts")
+    asked = q.join(places.drop("parts"), "kind", "left").withColumn("place", F.coalesce("place", F.lit("none")))
+    crowds = asked.groupBy("place").agg(F.ceil(F.count("*") / block_rows).alias("crowd"))
+    asked = asked.join(crowds, "place").withColumn("q_block", F.concat_ws(
+        "/", "place", F.pmod(F.xxhash64("query_id"), F.col("crowd")).cast("string"))).drop("crowd")
+    docs, asked = cut_lineage(docs), cut_lineage(asked)
+
+    rest = [f for f in c.schema.fields if f.name in kept]
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("score", T.DoubleType()), *rest])
+
+    def score(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        corpus = corpus.sort_by([("kind", "ascending"), ("neighbor_id", "ascending")])
+        floors = queries.column("floor").to_numpy() if "floor" in queries.column_names else np.zeros(queries.num_rows)
+        found, _ = _score_sparse_block(queries, corpus, opts, floors)
+        at = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        rows = corpus.select(kept).take(pa.array(at[1]))
+        return pa.table([queries.column("query_id").take(pa.array(at[0])), pa.array(at[2]), *rows.columns], names=["query_id", "score", *kept])
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        # Both sides join the same pair list; new aliases keep their columns apart.
+        right = right.select(*[F.col(n).alias(n) for n in right.columns])
+        return left.groupBy("q_block", "block").cogroup(right.groupBy("q_block", "block")).applyInArrow(score, schema)
+
+    blocks = cut_lineage(docs.select("block").distinct())
+    q_blocks = asked.select("q_block", "place").distinct()
+    home = q_blocks.withColumn("block", F.concat_ws("/", "place", F.lit("0"))).join(blocks, "block").select("q_block", "block")
+    slim = asked.select("query_id", "indices", "weights", "q_block")
+    first = cut_lineage(meet(slim.join(home, "q_block"), docs.join(home, "block")))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"))
+    floors = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col("score").alias("floor"))
+    floored = slim.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    # Blocks without a common term never meet; what else can be passed over is found inside.
+    terms = lambda df, b: df.select(b, F.explode(F.array_distinct("indices")).alias("t")).distinct()
+    pairs = terms(slim, "q_block").join(terms(docs, "block"), "t").select("q_block", "block").distinct().join(
+        home, ["q_block", "block"], "left_anti")
+    pairs = cut_lineage(pairs)
+    found = first.unionByName(meet(floored.join(pairs, "q_block"), docs.join(pairs, "block")))
+    # Fewer than k positive scores: rows that share no term score 0, the lowest ids first. Of the 2k + 1 lowest
+    # at most k - 1 are positive and one is the query.
+    found = cut_lineage(found)
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    lowest = c.select(*kept).orderBy("neighbor_id").limit(2 * k + 1).agg(F.collect_list(F.struct(*kept)))
+    flat = q.select("query_id").join(enough, "query_id", "left_anti").select(
+        "query_id", F.lit(0.0).alias("score"), F.explode(lowest.scalar()).alias("d")).select("query_id", "score", "d.*")
+    flat = flat.join(found.select("query_id", "neighbor_id"), ["query_id", "neighbor_id"], "left_anti")
+    if opts["exclude_self"]:
+        flat = flat.filter(F.col("query_id") != F.col("neighbor_id"))
+    return found.unionByName(flat.select(*found.columns))
+
+
 # ---------------------------------------------------------------- partitioned kNN join
 def _with_cells(df: DataFrame, pivots) -> DataFrame:
     """Add the nearest pivot and the distance to it."""

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,8 +107,45 @@ def test_sparse_equals_dense(spark, frame, points):
     a = found(neighbours.nearest_sparse(sparse, sparse, 5))
     b = found(neighbours.nearest(kept, kept, 5))
     assert [x[:3] for x in a] == [x[:3] for x in b]
-    with pytest.raises(ValueError, match="queries"):
-        neighbours.nearest_sparse(sparse, sparse, 5, max_queries=3)
+    # These have negative weights, for which blocks have no bounds.
+    with pytest.raises(Exception, match="negative"):
+        neighbours.nearest_sparse(sparse, sparse, 5, broadcast_queries=3).count()
+
+
+def sparse_frame(spark, n, seed, terms=60, empty=0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        size = int(rng.integers(1, 9))
+        idx = sorted(set((rng.zipf(1.4, size) % terms).tolist()))
+        w = rng.random(len(idx)) + 0.05
+        rows.append((i, [int(x) for x in idx], (w / np.linalg.norm(w)).tolist(), f"p{i}"))
+    rows += [(n + i, [], [], "empty") for i in range(empty)]
+    return spark.createDataFrame(rows, "row_id long, indices array<int>, weights array<double>, tag string")
+
+
+@pytest.mark.parametrize("block_rows", [7, 40, 10_000])
+def test_sparse_blocks_equal_the_broadcast_form(spark, block_rows):
+    corpus = sparse_frame(spark, 300, 1, empty=3)
+    copies = corpus.where("row_id < 30").selectExpr("row_id + 1000 AS row_id", "indices", "weights", "tag")
+    lonely = spark.createDataFrame([(5000, [9999], [1.0], "own term"), (5001, [], [], "empty")], corpus.schema)
+    corpus = corpus.union(copies)
+    queries = corpus.where("row_id % 3 = 0").union(lonely)
+    forms = [sorted(map(tuple, neighbours.nearest_sparse(queries, corpus, 6, payload=["tag"], exclude_self=own, **form).collect()))
+             for own in (True, False) for form in ({}, {"broadcast_queries": 0, "block_rows": block_rows})]
+    assert forms[0] == forms[1] and forms[2] == forms[3] and len(forms[0]) == 6 * queries.count()
+    assert neighbours.nearest_sparse(queries.limit(0), corpus, 6, broadcast_queries=0).count() == 0
+    assert neighbours.nearest_sparse(queries, corpus.limit(0), 6, broadcast_queries=0).count() == 0
+
+
+def test_sub_blocks_are_passed_over(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [i // 50], [1.0]) for i in range(1000)] + [(1000 + i, [int(rng.integers(20)), 30], [0.9, 0.1]) for i in range(200)]
+    table = pa.table([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))],
+                     names=["neighbor_id", "indices", "weights"])
+    queries = table.rename_columns(["query_id", "indices", "weights"])
+    found, made = neighbours._score_sparse_block(queries, table, {"k": 5, "digits": 9, "exclude_self": True}, np.zeros(len(rows)))
+    assert sum(len(x[0]) for x in found) == 5 * len(rows) and made < 0.4 * len(rows) ** 2
 
 
 def test_vector_expressions(spark):
