@@ -1,29 +1,33 @@
-"""TF-IDF as relations: documents -> vocabulary, and documents -> (document, term, weight).
+"""TF-IDF: documents -> vocabulary, documents -> sparse rows, and the same as (document, term, weight).
 
-Fitting is row-local up to the per-term sums: each document's sorted terms are
-exploded with a first-occurrence mark, so document and corpus frequency come
-from one aggregation keyed by term alone. Its partial sums are built in the scan
-stage, so a term found in every document costs one row per task.
-
-Transforming needs all terms of a document together. The text is shuffled by key
-before it is exploded (it is several times smaller than its terms); the lookup
-in the broadcast vocabulary drops unknown terms before anything is counted, and
-counting and the norm then need no further shuffle.
+Both steps are row-local. Fitting counts terms batch by batch and ships one row per term and batch, so a term found
+in every document costs a row per batch; document and corpus frequency come from one aggregation. Transforming
+counts a document's known terms, weighs them and divides by the norm in one pass over the texts, against a
+broadcast vocabulary of bounded size: neither texts nor weights are shuffled. A vocabulary without such a bound is
+joined term by term instead.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
 from lexiloom.operators.sampling import hash_rank
+from lexiloom.session import cut_lineage
 
 # A vocabulary of at most this many terms is broadcast (tens of MB).
 BROADCAST_TERMS = 200_000
+COUNTED_TERMS = 200_000  # different terms a task holds before it passes on its counts
+_SPACES = re.compile(tx.SPACES, re.ASCII)
 
 
 @dataclass(frozen=True)
@@ -43,28 +47,42 @@ class TermSettings:
 KEYWORD_SETTINGS = dict(max_features=30_000, min_df=15, max_df=0.70)
 
 
+def row_terms(text: str | None, s: TermSettings, stop_words: frozenset[str]) -> list[str]:
+    """``functions.text.terms`` of one text: words of two or more characters, no stop words, then n-grams."""
+    words = [w for w in _SPACES.split(text or "") if len(w) >= tx.MIN_TERM_LENGTH and w not in stop_words]
+    out = list(words) if s.low == 1 else []
+    for n in range(max(2, s.low), s.high + 1):
+        out += map(" ".join, zip(*(words[i:] for i in range(n))))
+    return out
+
+
 def term_statistics(
     df: DataFrame, text: str = "cleaned_text", settings: TermSettings = TermSettings()
 ) -> DataFrame:
     """(term, df, cf): documents containing the term, occurrences overall."""
     s = settings
-    in_order = F.sort_array(tx.terms(text, s.low, s.high, s.stop_words))
-    marked = F.flatten(
-        F.transform(
-            F.array(in_order),
-            lambda ts: F.transform(
-                ts,
-                lambda t, i: F.struct(
-                    t.alias("term"), ((i == 0) | (F.get(ts, i - 1) != t)).cast("int").alias("first")
-                ),
-            ),
-        )
-    )
-    return (
-        df.select(F.explode(marked).alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.first").alias("df"), F.count("*").alias("cf"))
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop, cf, docs = frozenset(s.stop_words), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(cf.keys(), pa.string()), pa.array([docs[t] for t in cf], pa.int64()),
+                                   pa.array(cf.values(), pa.int64())], names=["term", "df", "cf"])
+            cf.clear(), docs.clear()
+            return out
+
+        for batch in batches:
+            for body in batch.column(0):
+                found = row_terms(body.as_py(), s, stop)
+                cf.update(found)
+                docs.update(set(found))
+                if len(cf) > COUNTED_TERMS:
+                    yield flush()
+        if cf:
+            yield flush()
+
+    counted = df.select(text).mapInArrow(count, "term string, df long, cf long")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def fit_vocabulary(
@@ -107,10 +125,54 @@ def with_term_ids(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def bounded_vocabulary(vocabulary: DataFrame, settings: TermSettings) -> DataFrame:
-    """Mark the vocabulary for broadcast when its cap proves it small."""
-    cap = settings.max_features
-    return F.broadcast(vocabulary) if cap is not None and cap <= BROADCAST_TERMS else vocabulary
+def sparse_documents(
+    df: DataFrame, vocabulary: DataFrame, key: str, text: str = "cleaned_text",
+    settings: TermSettings = TermSettings(), carry=(), keep_empty: bool = False,
+) -> DataFrame:
+    """(key, carried columns, terms, [indices,] tf, weights): a document's known terms in order of their ids, or of
+    their names, with unit length. Documents without a known term are left out, or kept with empty lists.
+
+    The vocabulary has to be bounded by ``max_features`` up to ``BROADCAST_TERMS``; it is sent to every executor.
+    """
+    s, spark = settings, df.sparkSession
+    if s.max_features is None or s.max_features > BROADCAST_TERMS:
+        raise ValueError(f"set max_features, up to {BROADCAST_TERMS}, or use tfidf_weights")
+    numbered = "term_id" in vocabulary.columns
+    known = vocabulary.select("term", "idf", *(["term_id"] if numbered else [])).orderBy(
+        "term_id" if numbered else "term").limit(s.max_features).toArrow()
+    names = known.column("term").to_pylist()
+    ids = known.column("term_id").to_numpy() if numbered else np.arange(len(names))
+    sent = spark.sparkContext.broadcast((names, ids, known.column("idf").to_numpy()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, idf = sent.value
+        place, stop = {t: i for i, t in enumerate(names)}, frozenset(s.stop_words)
+        listed = pa.array(names, pa.string())
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                found = [[i for t in row_terms(body.as_py(), s, stop) if (i := place.get(t)) is not None]
+                         for body in part.column(part.num_columns - 1)]
+                rows = np.flatnonzero([keep_empty or len(f) > 0 for f in found])
+                if not len(rows):
+                    continue
+                counted = [np.unique(np.array(found[r], dtype=np.int64), return_counts=True) for r in rows]
+                sizes = np.array([len(at) for at, _ in counted])
+                at, tf = (np.concatenate(x) for x in zip(*counted))
+                raw = (np.log(tf) + 1.0 if s.sublinear_tf else tf.astype(float)) * idf[at]
+                begin = np.cumsum(sizes) - sizes
+                norm = np.sqrt(np.bincount(np.repeat(np.arange(len(rows)), sizes), raw * raw, len(rows)))
+                weight = raw / np.repeat(norm, sizes)
+                ends = pa.array(np.append(begin, len(at)).astype(np.int32))
+                lists = [listed.take(pa.array(at)), *([pa.array(ids[at].astype(np.int32))] if numbered else []),
+                         pa.array(tf.astype(np.int64)), pa.array(weight)]
+                own = [part.column(i).take(pa.array(rows)) for i in range(part.num_columns - 1)]
+                yield pa.record_batch([*own, *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=[*columns])
+
+    own = df.select(key, *carry)
+    fields = {f"`{f.name}`": f.dataType.simpleString() for f in own.schema}
+    fields |= {"terms": "array<string>"} | ({"indices": "array<int>"} if numbered else {}) | {"tf": "array<bigint>", "weights": "array<double>"}
+    columns = [n.strip("`") for n in fields]
+    return df.select(key, *carry, text).mapInArrow(weigh, ", ".join(f"{n} {k}" for n, k in fields.items()))
 
 
 def tfidf_weights(
@@ -123,15 +185,21 @@ def tfidf_weights(
     of other splits with a vocabulary fitted elsewhere.
     """
     s = settings
+    ids = ["term_id"] if "term_id" in vocabulary.columns else []
+    if s.max_features is not None and s.max_features <= BROADCAST_TERMS:
+        rows = sparse_documents(df, vocabulary, key, text, s, carry)
+        lists = F.arrays_zip("terms", *(["indices"] if ids else []), "tf", "weights")
+        return rows.select(key, *carry, F.explode(lists).alias("_t")).select(
+            key, *carry, F.col("_t.terms").alias("term"), *([F.col("_t.indices").alias("term_id")] if ids else []),
+            F.col("_t.tf").alias("tf"), F.col("_t.weights").alias("weight"))
+    # No bound on the vocabulary: texts are dealt by key before their terms, several times larger, are joined.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(key, *carry, text).repartition(parts, key)
     found = docs.select(
         key, *carry, F.explode(tx.terms(text, s.low, s.high, s.stop_words)).alias("term")
     )
-    ids = ["term_id"] if "term_id" in vocabulary.columns else []
-    known = bounded_vocabulary(vocabulary.select("term", *ids, "idf"), s)
     counts = (
-        found.join(known, "term")
+        found.join(vocabulary.select("term", *ids, "idf"), "term")
         .groupBy(key, *carry, "term", *ids, "idf")
         .agg(F.count("*").alias("tf"))
     )
@@ -190,9 +258,21 @@ def cluster_terms(
     never uses is minus its overall mean; the grid of clusters and vocabulary
     terms is therefore complete.
     """
-    weights = tfidf(df, key, text, settings, carry=[cluster])
-    sums = weights.groupBy(cluster, "term").agg(F.sum("weight").alias("_sum"))
-    sizes = df.groupBy(cluster).agg(F.count("*").alias("_docs"))
+    # One aggregation of the weighed documents gives all sums; a document counts at its first term, or at none.
+    if settings.max_features is not None and settings.max_features <= BROADCAST_TERMS:
+        rows = sparse_documents(
+            df, fit_vocabulary(df, text, settings), key, text, settings, [cluster], keep_empty=True)
+        entries = rows.select(cluster, F.posexplode_outer(F.arrays_zip("terms", "weights")).alias("_n", "_t")).select(
+            cluster, F.col("_t.terms").alias("term"), F.col("_t.weights").alias("weight"),
+            (F.coalesce("_n", F.lit(0)) == 0).cast("long").alias("_first"))
+    else:
+        weights = tfidf(df, key, text, settings, carry=[cluster])
+        entries = weights.select(cluster, "term", "weight", F.lit(0).cast("long").alias("_first")).union(
+            df.select(cluster, F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(1).cast("long")))
+    every = cut_lineage(entries.groupBy(cluster, "term").agg(
+        F.sum("weight").alias("_sum"), F.sum("_first").alias("_docs")))
+    sums = every.filter("term is not null")
+    sizes = every.groupBy(cluster).agg(F.sum("_docs").alias("_docs"))
     listed = sizes.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("_docs").alias("n"))))
     per_term = sums.groupBy("term").agg(
         F.sum("_sum").alias("_total"),

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import labels
 from lexiloom.functions import text as tx
-from lexiloom.operators import evaluation, latent_space, reports, shaping, splits
+from lexiloom.operators import evaluation, latent_space, neighbours, reports, shaping, splits
 from lexiloom.operators import vocabulary as vb
 from lexiloom.plans.registry import query
 from lexiloom.plans.tables import (
     DOCUMENTS_SQL, REVIEWS_SQL, STOP_WORDS, clean_sql, documents, reviews, sentiment_sql,
     split_sql, table, terms_sql,
 )
+from lexiloom.session import cut_lineage
 
 
 # ---------------------------------------------------------------- cleaning
@@ -174,6 +175,53 @@ def feature_summary(spark, sf):
     return vb.feature_summary(fitted, parts)
 
 
+# ---------------------------------------------------------------- neighbours in term space
+_SPARSE = vb.TermSettings(max_features=500)
+_SPARSE_SQL = f"""{DOCUMENTS_SQL}, {terms_sql('docs', 'doc_id', 'cleaned_text')}, {_vocabulary_sql(5, 0.95, 500)}, {_weights_sql()},
+ids AS (SELECT DISTINCT doc_id, {split_sql('doc_id')} AS split FROM weights),
+dots AS (SELECT a.doc_id AS q, b.doc_id AS c, sum(a.weight * b.weight) AS s FROM weights a JOIN weights b ON a.term = b.term GROUP BY 1, 2)"""
+
+
+def _term_rows(spark, sf):
+    """Every document with a known term as one sparse row, with its split, language and source."""
+    docs = documents(spark, sf)
+    vocabulary = vb.with_term_ids(vb.fit_vocabulary(docs, settings=_SPARSE))
+    rows = vb.sparse_documents(docs, vocabulary, "doc_id", settings=_SPARSE, carry=["lang", "source"])
+    return splits.by_group(cut_lineage(rows.select("doc_id", "lang", "source", "indices", "weights")), "doc_id")
+
+
+@query(f"""WITH {_SPARSE_SQL},
+nearest AS (SELECT a.doc_id AS query_id, b.doc_id AS neighbor_id, round(coalesce(s, 0), 9) AS score,
+  row_number() OVER (PARTITION BY a.doc_id ORDER BY round(coalesce(s, 0), 9) DESC, b.doc_id) AS neighbor_rank
+  FROM ids a JOIN ids b ON a.doc_id <> b.doc_id LEFT JOIN dots ON q = a.doc_id AND c = b.doc_id QUALIFY neighbor_rank <= 5)
+SELECT query_id, neighbor_rank, neighbor_id, score FROM nearest""")
+def nearest_sparse_partitioned(spark, sf):
+    """The five documents nearest to each in TF-IDF, by blocks: the form for any number of queries."""
+    rows = _term_rows(spark, sf)
+    return neighbours.nearest_sparse(rows, rows, 5, "doc_id", "doc_id", broadcast_queries=0, block_rows=250)
+
+
+@query(f"""WITH {_SPARSE_SQL},
+nearest AS (SELECT a.doc_id AS query_id, b.doc_id AS neighbor_id,
+  row_number() OVER (PARTITION BY a.doc_id ORDER BY round(coalesce(s, 0), 9) DESC, b.doc_id) AS neighbor_rank
+  FROM ids a JOIN ids b ON a.split = 'val' AND b.split = 'train' LEFT JOIN dots ON q = a.doc_id AND c = b.doc_id QUALIFY neighbor_rank <= 10),
+firsts AS (SELECT query_id, min(neighbor_rank) FILTER (x.lang IS NOT DISTINCT FROM y.lang AND x.source IS NOT DISTINCT FROM y.source) AS r
+  FROM nearest JOIN docs x ON x.doc_id = query_id JOIN docs y ON y.doc_id = neighbor_id GROUP BY 1)
+SELECT round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 9) AS recall_at_10,
+       round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr_at_10, count(*) AS queries FROM firsts""")
+def sparse_retrieval_scores(spark, sf):
+    """TF-IDF retrieval of the whole val split, with more queries than may be broadcast."""
+    rows = _term_rows(spark, sf)
+    asked = rows.filter("split = 'val'")
+    db = rows.filter("split = 'train'").withColumnsRenamed({"lang": "db_lang", "source": "db_source"})
+    found = neighbours.nearest_sparse(
+        asked, db, 10, "doc_id", "doc_id", ["db_lang", "db_source"], exclude_self=False, broadcast_queries=10, block_rows=100)
+    own = asked.select(F.col("doc_id").alias("query_id"), "lang", "source")
+    flagged = found.join(own, "query_id").withColumn(
+        "relevant", F.col("lang").eqNullSafe(F.col("db_lang")) & F.col("source").eqNullSafe(F.col("db_source")))
+    return reports.rounded(evaluation.retrieval_scores(flagged, 10), ["recall_at_10", "mrr_at_10"], 9)
+
+
 # ---------------------------------------------------------------- keywords
 def _lift_sql(cluster: str, top: int = 8) -> str:
     return f"""

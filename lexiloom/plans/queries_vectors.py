@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import mlvectors
 from lexiloom.functions import vectors as vec
 from lexiloom.operators import (
-    cases, evaluation, latent_space, models, neighbours, outliers, pooling, reports, sampling,
-    shaping, splits, word_vectors,
+    cases, evaluation, latent_space, models, neighbour_graph, neighbours, outliers, pooling, reports, sampling,
+    shaping, similarity_join, splits, word_vectors,
 )
 from lexiloom.plans.registry import query
 from lexiloom.plans.tables import (
@@ -227,6 +228,57 @@ def neighbours_of_examples(spark, sf):
     return neighbours.nearest(shown, rows, 5, payload=["main_category"])
 
 
+# ---------------------------------------------------------------- neighbour graph and threshold join
+@query(f"""WITH {VECTORS_SQL}, n AS (SELECT count(*) AS n FROM vectors)
+SELECT n * least(10, n - 1) AS rows, n AS queries, n * least(10, n - 1) AS true_scores, 0::BIGINT AS out_of_order,
+       true AS recall_reached FROM n""")
+def neighbour_graph_facts(spark, sf):
+    """Ten neighbours of every row; their scores are the rows' cosines, best first; recall against the exact form."""
+    v = vectors(spark, sf)
+    graph = neighbour_graph.neighbour_graph(v, 10)
+    pairs = graph.join(v.select(F.col("row_id").alias("query_id"), F.col("vector").alias("a")), "query_id").join(
+        v.select(F.col("row_id").alias("neighbor_id"), F.col("vector").alias("b")), "neighbor_id")
+    before = F.lag("score").over(W.partitionBy("query_id").orderBy("neighbor_rank"))
+    facts = pairs.withColumn("before", before).agg(
+        F.count("*").alias("rows"), F.count_distinct("query_id").alias("queries"),
+        F.count_if((F.abs(F.col("score") - vec.cosine("a", "b")) < 2e-9) & (F.col("query_id") != F.col("neighbor_id"))).alias("true_scores"),
+        F.count_if(F.col("score") > F.col("before")).alias("out_of_order"))
+    found = neighbour_graph.recall(graph, neighbours.nearest(v, v, 10))
+    return facts.withColumn("recall_reached", found.select(F.col("recall") >= 0.9).scalar())
+
+
+@query()
+def neighbour_graph_recall(spark, sf):
+    """The measured recall itself."""
+    v = vectors(spark, sf)
+    return neighbour_graph.recall(neighbour_graph.neighbour_graph(v, 10), neighbours.nearest(v, v, 10))
+
+
+_THRESHOLDS = (0.3, 0.38)
+
+
+def _similar_sql(least: float) -> str:
+    return f"""SELECT {least}::DOUBLE AS threshold, a.row_id, a.row_id AS class_id, count(b.row_id) AS n_links
+FROM vectors a LEFT JOIN vectors b ON a.row_id <> b.row_id AND round(list_cosine_similarity(a.vector, b.vector), 9) >= {least}
+GROUP BY 2"""
+
+
+@query(f"WITH {VECTORS_SQL} {' UNION ALL '.join(map(_similar_sql, _THRESHOLDS))}")
+def similar_vectors(spark, sf):
+    """How many rows reach a cosine, at two thresholds."""
+    v = vectors(spark, sf)
+    return shaping.union_tables(*[
+        similarity_join.similar_rows(v, x).select(F.lit(x).alias("threshold"), "row_id", "class_id", "n_links") for x in _THRESHOLDS])
+
+
+@query(f"""WITH {VECTORS_SQL} SELECT a.row_id AS class_a, b.row_id AS class_b,
+round(list_cosine_similarity(a.vector, b.vector), 9) AS cosine FROM vectors a JOIN vectors b ON a.row_id < b.row_id
+WHERE round(list_cosine_similarity(a.vector, b.vector), 9) >= {_THRESHOLDS[1]}""")
+def similar_vector_pairs(spark, sf):
+    """The linked classes themselves; these tables hold no copies, so classes are rows."""
+    return similarity_join.class_links(vectors(spark, sf), _THRESHOLDS[1], block_rows=300)[1]
+
+
 # ---------------------------------------------------------------- retrieval
 @query(f"""WITH {LABELLED_SQL}, parts AS (SELECT *, {split_sql('row_id')} AS split FROM labelled),
 asked AS (SELECT * FROM parts WHERE split = 'val'),
