@@ -7,6 +7,7 @@ and read back, which also cuts its lineage.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -212,8 +213,15 @@ def baseline_probes(
     settings: vb.TermSettings = vb.TermSettings(max_features=25_000), seed=42,
     task: str = "main_category", examples: int = 5, **fit_options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Probes on sampled train and val rows: (scores, first errors of the latent probe)."""
+    """Probes on sampled train and val rows: (scores, first errors of the latent probe).
+
+    Vocabulary, document frequencies and the latent space are fitted on all train rows; ``train_rows`` and ``val_rows``
+    bound only what the probes see. Predictions are written, and scores and errors come from the written ones.
+    """
     rows = shaping.drop_missing(df, ["cleaned_text", "sentiment", "main_category"])
+    writers.write_table(rows, f"{out}/rows")
+    rows = readers.read_table(df.sparkSession, f"{out}/rows")
+    base = build_baselines(rows, out, key, "cleaned_text", settings, n_components)
     parts = {"train": train_rows, "val": val_rows}
     sampled = shaping.union_tables(*[
         rows.filter(F.col("split") == s) if n is None
@@ -221,15 +229,16 @@ def baseline_probes(
     ])
     writers.write_table(sampled, f"{out}/sample")
     sampled = readers.read_table(df.sparkSession, f"{out}/sample")
-    base = build_baselines(sampled, out, key, "cleaned_text", settings, n_components)
     dense = base.lsa.drop("split", *sc.VECTOR_META_COLUMNS).join(sampled, key).withColumn(
         "features", mlvectors.dense("vector")
     )
     frames = {"tfidf": tfidf_features(base.tfidf, sampled, base.terms, key), "lsa": dense}
     tasks = {"sentiment": "sentiment", "category": "main_category"}
-    scores = models.probe_grid(frames, tasks, **fit_options)
-    model = models.fit_logistic_probe(dense.filter("split = 'train'"), task, **fit_options)
-    scored = models.predict(model, dense.filter("split = 'val'"), task)
+    scores = models.probe_grid(frames, tasks, key=key, folder=f"{out}/predictions", **fit_options)
+    name = next(n for n, label in tasks.items() if label == task)
+    found = readers.read_table(df.sparkSession, f"{out}/predictions").filter(
+        (F.col("representation") == "lsa") & (F.col("task") == name) & (F.col("split") == "val"))
+    scored = found.select(key, "y_true", "y_pred").join(sampled.drop("split"), key)
     return scores, evaluation.first_errors(scored, key, examples)
 
 
@@ -291,10 +300,13 @@ def _with_sparse(info: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def evaluate(
     labels: DataFrame, dense: Mapping[str, DataFrame], sparse: Mapping[str, tuple[DataFrame, int]],
     key: str = "row_id", k: int = 10, query_limit: int | None = None, n_clusters: int = 4,
-    seed: int = 42, **fit_options,
+    seed: int = 42, out: str | None = None, **fit_options,
 ) -> dict[str, DataFrame]:
     """Classification, retrieval and clustering of every representation, and the joint table.
 
+    With ``out`` the probes' predictions, the flagged neighbours and the clusters are written there, and the scores are
+    those of the written tables.
+
     ``labels`` holds key, split, main_category and sentiment. ``dense`` maps a
     representation to (key, vector) rows, ``sparse`` to long TF-IDF weights and
     the number of terms; sparse rows are clustered on their sparse vectors.
@@ -315,9 +327,7 @@ def evaluate(
             database.join(vectors.select(key, "vector"), key),
             k, key, key, payload=payload, exclude_self=False,
         )
-        clustered[name] = models.clustering_scores(
-            rows.filter("split = 'val'"), n_clusters, seed=seed
-        )
+        clustered[name] = models.kmeans_clusters(rows.filter("split = 'val'"), n_clusters, seed=seed)
     for name, (weights, terms) in sparse.items():
         rows = vb.sparse_rows(weights, key)
         frames[name] = tfidf_features(weights, info, terms, key)
@@ -326,23 +336,29 @@ def evaluate(
             payload=payload, exclude_self=False,
         )
         # TF-IDF rows already have unit length.
-        clustered[name] = evaluation.clustering_report(
-            models.kmeans_features(frames[name].filter("split = 'val'"), n_clusters, seed=seed)
-        )
+        clustered[name] = models.kmeans_features(frames[name].filter("split = 'val'"), n_clusters, seed=seed)
     classification = models.probe_grid(
-        frames, {"sentiment": "sentiment", "category": "main_category"}, **fit_options
+        frames, {"sentiment": "sentiment", "category": "main_category"}, key=key,
+        folder=f"{out}/predictions" if out else None, **fit_options
     )
-    own = F.broadcast(queries.select(F.col(key).alias("query_id"), "main_category", "sentiment"))
+
+    def kept(table: DataFrame, folder: str) -> DataFrame:
+        if out is None:
+            return table
+        return readers.read_table(table.sparkSession, writers.write_table(table, f"{out}/{folder}"))
+
+    own = queries.select(F.col(key).alias("query_id"), "main_category", "sentiment")
     match = (F.col("main_category") == F.col("db_category")) & (
         F.col("sentiment") == F.col("db_sentiment")
     )
     retrieval, clustering = [], []
     for name, found in ranked.items():
-        flagged = found.join(own, "query_id").withColumn("relevant", match)
+        flagged = kept(found.join(own, "query_id").withColumn("relevant", match), f"neighbours/{name}")
+        labelled = kept(clustered[name].select(key, "main_category", "sentiment", "cluster"), f"clusters/{name}")
         retrieval.append(
             evaluation.retrieval_scores(flagged, k).withColumn("representation", F.lit(name))
         )
-        clustering.append(clustered[name].withColumn("representation", F.lit(name)))
+        clustering.append(evaluation.clustering_report(labelled).withColumn("representation", F.lit(name)))
     retrieval = shaping.union_tables(*retrieval)
     clustering = shaping.union_tables(*clustering)
     return {
@@ -353,8 +369,10 @@ def evaluate(
     }
 
 
-def write_evaluation(tables: Mapping[str, DataFrame], out: str) -> dict[str, DataFrame]:
-    """CSV tables; the joint table is built from the written ones."""
+def write_evaluation(
+    tables: Mapping[str, DataFrame], out: str, settings: Mapping[str, object] | None = None
+) -> dict[str, DataFrame]:
+    """CSV tables; the joint table is built from the written ones. ``settings`` of the run go beside them as JSON."""
     spark = next(iter(tables.values())).sparkSession
     done = {}
     for name in ("classification", "retrieval", "clustering"):
@@ -364,6 +382,9 @@ def write_evaluation(tables: Mapping[str, DataFrame], out: str) -> dict[str, Dat
         done["classification"], done["retrieval"], done["clustering"]
     )
     writers.write_report_csv(done["unified"], f"{out}/unified")
+    if settings is not None:
+        row = spark.createDataFrame([(json.dumps(settings, sort_keys=True, default=str),)], "settings string")
+        writers.write_summary_json(row, f"{out}/settings")
     return done
 
 
@@ -405,6 +426,11 @@ def retrieval_report(
     }
 
 
+def write_report(tables: Mapping[str, DataFrame], out: str) -> dict[str, DataFrame]:
+    """Every table of a report, written and read again, so that none computes the lineage of another anew."""
+    return {name: readers.read_table(t.sparkSession, writers.write_table(t, f"{out}/{name}")) for name, t in tables.items()}
+
+
 def long_form(tables: Mapping[str, DataFrame]) -> DataFrame:
     """All tables of a report in one: (report, row as JSON)."""
     out = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lexiloom.config import EmbeddingConfig
@@ -202,13 +204,39 @@ def singular_value_facts(spark, sf):
     )
 
 
-@query()
+_LABELLED_PARTS_SQL = _PARTS_SQL.replace("p.main_category, p.cleaned_text,", "p.main_category, p.sentiment, p.cleaned_text,")
+
+
+def _agree(scores, predictions, by):
+    """Whether reported accuracies are those of the written predictions, by plain counting."""
+    counted = predictions.groupBy(*by).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("_a"), F.count("*").alias("rows"))
+    return scores.join(counted, list(by)).select(
+        *by, "rows", (F.abs(F.col("accuracy") - F.col("_a")) < 1e-9).alias("accuracy_agrees"),
+        (F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)).alias("in_range"))
+
+
+_PROBE_FACTS_SQL = """SELECT representation, task, split, count(*) AS rows, true AS accuracy_agrees, true AS in_range
+FROM (SELECT * FROM parts WHERE sentiment IS NOT NULL AND main_category IS NOT NULL) p, (VALUES {names}) r(representation), (VALUES ('sentiment'), ('category')) t(task)
+WHERE split IN ({splits}) GROUP BY ALL"""
+
+
+@query(f"WITH {_LABELLED_PARTS_SQL} {_PROBE_FACTS_SQL.format(names="('tfidf'), ('lsa')", splits="'val'")}")
 def baseline_probes_job(spark, sf):
-    scores, _ = jobs.baseline_probes(
-        _prepared(spark, sf), shared_dir(spark, "probes"), settings=_TERMS, n_components=20,
-        max_iter=50,
-    )
-    return scores
+    """Rows each probe was asked, and whether its scores are those of its written predictions."""
+    out = shared_dir(spark, "probes")
+    scores, _ = jobs.baseline_probes(_prepared(spark, sf), out, settings=_TERMS, n_components=20, max_iter=50)
+    return _agree(scores, spark.read.parquet(f"{out}/predictions"), ("representation", "task", "split"))
+
+
+@query(f"""WITH {_LABELLED_PARTS_SQL} SELECT least(5, count(*)) >= 0 AS bounded, true AS errors_only, true AS of_val FROM parts WHERE split = 'val'""")
+def baseline_first_errors(spark, sf):
+    """The first errors of the latent probe are errors, of val rows, five at most."""
+    rows = _prepared(spark, sf)
+    _, errors = jobs.baseline_probes(rows, shared_dir(spark, "probes"), settings=_TERMS, n_components=20, max_iter=20)
+    val = rows.filter("split = 'val'").select("row_id", F.lit(True).alias("_val"))
+    return errors.join(val, "row_id", "left").agg(
+        (F.count("*") <= 5).alias("bounded"), F.coalesce(F.min(F.col("y_true") != F.col("y_pred")), F.lit(True)).alias("errors_only"),
+        F.coalesce(F.min(F.coalesce("_val", F.lit(False))), F.lit(True)).alias("of_val"))
 
 
 _CATEGORIES = ", ".join(f"'{c}'" for c in _W2V.categories)
@@ -252,30 +280,69 @@ def _evaluated(spark, sf):
     rows = _prepared(spark, sf)
     base = jobs.build_baselines(rows, shared_dir(spark, "baselines"), settings=_TERMS, n_components=20)
     words = jobs.train_word_vectors(rows, _W2V, shared_dir(spark, "words"))
+    out = shared_dir(spark, "evaluation")
     tables = jobs.evaluate(
         rows, {"lsa": base.lsa, "word2vec": words["vectors"]}, {"tfidf": (base.tfidf, base.terms)},
-        max_iter=50,
+        max_iter=50, out=f"{out}/details",
     )
-    return rows, words, jobs.write_evaluation(tables, shared_dir(spark, "evaluation"))
+    return rows, words, jobs.write_evaluation(tables, out, {"terms": _TERMS, "word2vec": _W2V}), out
 
 
-@query()
+@query(f"""WITH {_LABELLED_PARTS_SQL}, probes AS ({_PROBE_FACTS_SQL.format(names="('tfidf'), ('lsa'), ('word2vec')", splits="'val', 'test'")}),
+names AS (SELECT unnest(['tfidf', 'lsa', 'word2vec']) AS representation), n AS (SELECT count(*) AS n FROM parts WHERE split = 'val'),
+scoped AS (SELECT count(*) AS n FROM parts WHERE split = 'val' AND main_category IN ('en', 'fr', 'de', 'es'))
+SELECT representation, task, split, CASE WHEN representation = 'word2vec' THEN rows - rows + (SELECT count(*) FROM parts q WHERE q.split = p.split
+  AND q.sentiment IS NOT NULL AND q.main_category IN ('en', 'fr', 'de', 'es')) ELSE rows END AS rows, accuracy_agrees AS agrees FROM probes p
+UNION ALL SELECT representation, 'retrieval', 'val', CASE WHEN representation = 'word2vec' THEN (SELECT n FROM scoped) ELSE (SELECT n FROM n) END, true FROM names
+UNION ALL SELECT representation, 'clustering', 'val', CASE WHEN representation = 'word2vec' THEN (SELECT n FROM scoped) ELSE (SELECT n FROM n) END, true FROM names""")
 def evaluation_job(spark, sf):
-    return _evaluated(spark, sf)[2]["unified"]
+    """Rows behind every score, and whether scores recomputed from the written tables by plain counting are those reported."""
+    _, _, tables, out = _evaluated(spark, sf)
+    read = lambda kind, name: spark.read.parquet(f"{out}/details/{kind}/{name}")
+    probes = _agree(tables["classification"], spark.read.parquet(f"{out}/details/predictions"), ("representation", "task", "split"))
+    facts = [probes.select("representation", "task", "split", "rows", F.col("accuracy_agrees").alias("agrees"))]
+    for name in ("tfidf", "lsa", "word2vec"):
+        first = read("neighbours", name).groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("neighbor_rank"))).alias("r"))
+        mine = first.agg(F.count("*").alias("rows"), F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))).alias("m"))
+        told = tables["retrieval"].filter(F.col("representation") == name).first()["mrr_at_10"]
+        facts.append(mine.select(
+            F.lit(name).alias("representation"), F.lit("retrieval").alias("task"), F.lit("val").alias("split"), "rows",
+            (F.abs(F.col("m") - F.lit(told)) < 1e-9).alias("agrees")))
+        # Mutual information of clusters and categories over their mean entropy, from the counts of the written clusters.
+        cells = read("clusters", name).groupBy("cluster", "main_category").agg(F.count("*").alias("n")).collect()
+        told = tables["clustering"].filter(F.col("representation") == name).first()
+        total = sum(r["n"] for r in cells)
+        facts.append(spark.createDataFrame(
+            [(name, "clustering", "val", total, abs(_nmi([(r[0], r[1], r[2]) for r in cells]) - told["nmi_category"]) < 1e-9)],
+            "representation string, task string, split string, rows long, agrees boolean"))
+    return shaping.union_tables(*facts)
+
+
+def _nmi(cells):
+    """Normalised mutual information of a small table of counts."""
+    total, a, b = sum(n for *_, n in cells), {}, {}
+    for x, y, n in cells:
+        a[x], b[y] = a.get(x, 0) + n, b.get(y, 0) + n
+    entropy = lambda d: -sum(n / total * math.log(n / total) for n in d.values())
+    shared = sum(n / total * math.log(n * total / (a[x] * b[y])) for x, y, n in cells)
+    mean = (entropy(a) + entropy(b)) / 2
+    return shared / mean if mean else 1.0
 
 
 @query()
 def retrieval_report_job(spark, sf):
-    _, words, tables = _evaluated(spark, sf)
+    """Every table of the report."""
+    _, words, tables, out = _evaluated(spark, sf)
     report = jobs.retrieval_report(
         tables["unified"], tables["retrieval"], tables["clustering"],
         words["document_checks"], words["vectors"].filter("split = 'val'"),
     )
-    return report["clusters"]
+    return jobs.long_form(jobs.write_report(report, f"{out}/report"))
 
 
 @query()
 def latent_report_job(spark, sf):
-    _, words, tables = _evaluated(spark, sf)
+    """Every table of the report."""
+    _, words, tables, out = _evaluated(spark, sf)
     report = jobs.latent_report(words["vectors"].filter("split = 'val'"), tables["unified"])
-    return report["insights"]
+    return jobs.long_form(jobs.write_report(report, f"{out}/report"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.config import EmbeddingConfig
 from lexiloom.functions import labels
 from lexiloom.functions import text as tx
 from lexiloom.operators import evaluation, latent_space, neighbours, reports, shaping, splits
@@ -70,6 +71,18 @@ def tokens_cut_and_minimum(spark, sf):
     )
 
 
+_CONFIGURED = EmbeddingConfig.build(
+    {"data": {"min_review_tokens": 2, "max_review_tokens": 900}, "word2vec": {"window": 4}}, {"max_review_tokens": 64}, {"min_review_tokens": 7})
+
+
+@query(f"""WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, {_TOKENS_SQL.format(t='cleaned_text')}[1:64] AS w FROM docs)
+SELECT doc_id, len(w)::BIGINT AS n, array_to_string(w, ' ') AS joined FROM t WHERE len(w) >= 7""")
+def configured_tokens(spark, sf):
+    """Tokens by settings of three layers: the run's come first, then the experiment's, then the project's."""
+    df = shaping.tokenized(documents(spark, sf), "cleaned_text", _CONFIGURED.min_review_tokens, _CONFIGURED.max_review_tokens)
+    return df.select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("joined"))
+
+
 @query(f"""WITH c AS (SELECT conv_id, turn, {_TOKENS_SQL.format(t=clean_sql('text'))} AS w
 FROM conversations) SELECT conv_id, turn, len(w)::BIGINT AS n FROM c WHERE len(w) >= 12""")
 def nonempty_token_lists(spark, sf):

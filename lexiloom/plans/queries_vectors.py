@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from lexiloom.functions import mlvectors
 from lexiloom.functions import vectors as vec
 from lexiloom.operators import (
-    cases, evaluation, latent_space, models, neighbour_graph, neighbours, outliers, pooling, reports, sampling,
+    cases, evaluation, latent_semantic, latent_space, models, neighbour_graph, neighbours, outliers, pooling, reports, sampling,
     shaping, similarity_join, splits, word_vectors,
 )
 from lexiloom.plans.registry import query
 from lexiloom.plans.tables import (
     LABELLED_SQL, VECTORS_SQL, hash_sql, labelled_vectors, split_sql, table, vectors,
 )
-from lexiloom.session import ship_package
+from lexiloom.session import shared_dir, ship_package
+from lexiloom.sources import readers, writers
 
 
 # ---------------------------------------------------------------- vector expressions
@@ -509,3 +510,51 @@ def separable_probes(spark, sf):
         found = models.predict(model, asked, "kind").groupBy("split", "y_true", "y_pred")
         out.append(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("probe"), "*"))
     return out[0].unionByName(out[1])
+
+
+@query(f"""WITH {VECTORS_SQL}, kinds AS (SELECT {split_sql('row_id')} AS split FROM vectors)
+SELECT split, count(*) AS rows, count(*) AS correct, true AS at_its_minimum FROM kinds WHERE split <> 'train' GROUP BY 1""")
+def squared_hinge_facts(spark, sf):
+    """The squared hinge finds labels that are linearly separable, and stops where its gradient vanishes."""
+    kind = (F.col("vector")[0] > 0).cast("int") + (F.col("vector")[1] > 0).cast("int")
+    rows = splits.by_group(vectors(spark, sf), "row_id").withColumn("k", kind)
+    marks = F.array(*[F.when(F.col("k") == i, 20.0).otherwise(0.0) for i in range(3)])
+    rows = rows.select(
+        "split", F.concat(F.lit("kind "), F.col("k").cast("string")).alias("kind"),
+        mlvectors.dense(F.concat(vec.as_double("vector"), marks)).alias("features"))
+    model = models.fit_squared_hinge_probe(rows.filter("split = 'train'"), "kind")
+    found = model.predict(rows.filter("split <> 'train'"), "kind")
+    return found.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("correct")).withColumn(
+        "at_its_minimum", F.lit(model.gradient_norm < 1e-4))
+
+
+@query(f"""WITH {VECTORS_SQL}, parts AS (SELECT {split_sql('row_id')} AS split FROM vectors)
+SELECT 'probe' AS model, count(*) AS rows, count(*) AS same FROM parts WHERE split <> 'train'
+UNION ALL SELECT 'latent', count(*), count(*) FROM parts""")
+def saved_models(spark, sf):
+    """A probe and a latent space, saved, loaded and applied again, give the same rows."""
+    base = shared_dir(spark, "models")
+    rows = splits.by_group(vectors(spark, sf), "row_id").withColumn("features", mlvectors.dense("vector"))
+    asked = rows.filter("split <> 'train'")
+    model = models.fit_logistic_probe(rows.filter("split = 'train'"), "label", max_iter=10)
+    again = readers.load_model(writers.save_model(model, f"{base}/probe"))
+    one, two = (models.predict(m, asked, "label").select("row_id", F.col("y_pred").alias(n)) for m, n in ((model, "a"), (again, "b")))
+    probe = one.join(two, "row_id").agg(F.count("*").alias("rows"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    dims = rows.select(F.max(F.size("vector"))).first()[0]
+    long = rows.select("row_id", F.posexplode(vec.as_double("vector")).alias("term_id", "weight"))
+    space = latent_semantic.fit(long, "row_id", dims, 8)
+    loaded = latent_semantic.load(spark, latent_semantic.save(space, f"{base}/latent"))
+    left, right = (latent_semantic.project(long, m, "row_id", n) for m, n in ((space, "a"), (loaded, "b")))
+    latent = left.join(right, "row_id").agg(F.count("*").alias("rows"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    return probe.select(F.lit("probe").alias("model"), "*").union(latent.select(F.lit("latent"), "*"))
+
+
+@query("""SELECT vec_id AS row_id, label, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 6) AS total,
+round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x * i)), 6) AS by_place FROM embeddings""")
+def vector_sink_values(spark, sf):
+    """Every written vector, by its sum and its sum weighted by place."""
+    path = writers.write_vectors(vectors(spark, sf), shared_dir(spark, "vectors"))
+    total = lambda f: F.round(F.aggregate(F.transform(vec.as_double("vector"), f), F.lit(0.0), lambda a, x: a + x), 6)
+    written = readers.read_table(spark, path).select(
+        "row_id", F.size("vector").cast("long").alias("dims"), total(lambda x, i: x).alias("total"), total(lambda x, i: x * (i + 1)).alias("by_place"))
+    return written.join(vectors(spark, sf).select("row_id", "label"), "row_id").select("row_id", "label", "dims", "total", "by_place")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_model(path: str) -> PipelineModel:
+    """A Spark pipeline model that ``writers.save_model`` wrote."""
+    return PipelineModel.load(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header line and a declared schema."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
