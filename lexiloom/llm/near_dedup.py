@@ -19,6 +19,7 @@ from lexiloom.session import ship_package
 BLOCK = 1 << 12  # shingles hashed at a time
 REMEMBERED = 1 << 17  # word hashes a worker remembers
 BROADCAST_IDS = 2_000_000  # document ids sent to every task at most
+BROADCAST_ROWS = 500_000  # ids with a digest sent to every task at most
 
 
 @dataclasses.dataclass(frozen=True)
@@ -387,6 +388,9 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     judged = places.join(best, "root").withColumn("stays", place.eqNullSafe(F.col("best"))).where("not stays or m > 1")
     judged = written(judged.select(
         F.col("doc").alias("_doc"), F.col("d").alias("_of"), F.col("stays").alias("_stays")), "judged")
+    # A few rows are sent to every task; with more, rows are shuffled by id and digest.
+    if judged.count() <= BROADCAST_ROWS:
+        judged = F.broadcast(judged)
     keyed = docs.withColumn("_d", F.unhex(F.sha2(F.col(text), 256)))
     same = keyed[key].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_d") == F.col("_of"))
     several = keyed.join(judged.where("_stays"), same).groupBy(key, "_d").agg(
