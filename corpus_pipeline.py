@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import decontamination, language_id, line_dedup, mixing, near_dedup
 from lexiloom.llm.common import WORD, written
 
+BROADCAST_ROWS = 500_000  # ids with a hash sent to every task at most; more are joined by a shuffle
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -54,8 +55,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     benchmark stay. An empty table stays empty, further columns go.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.size(decontamination.words_of("text")) >= 10)
-    judged = decontamination.decontaminate(docs.select(*COLUMNS), items)
-    return judged.where("not contaminated").select(*COLUMNS)
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("_mark"))
+    judged = decontamination.decontaminate(marked.select("doc_id", "_mark", "text"), items)
+    leaks = written(judged.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of")).distinct(), "leaks")
+    if leaks.count() <= BROADCAST_ROWS:
+        leaks = F.broadcast(leaks)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    return marked.join(leaks, same, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
