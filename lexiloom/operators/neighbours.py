@@ -7,7 +7,7 @@ Two physical forms give the same rows, for dense and for sparse vectors:
   products, and a window over at most partitions * k rows per query finishes.
   One pass over the corpus, no shuffle of vectors.
 * more queries: a partitioned kNN join. Bounded pivots cut the space into cells,
-  cells into blocks of bounded size, and the triangle inequality decides which
+  cells into blocks of bounded size and, as long as a task can hold them, bounded number, and the triangle inequality decides which
   candidates can matter for which cell; only those are shipped. Work is per
   (query block, candidate block), so no task holds a whole cell, and a hot cell
   is split like any other. Of many exact copies only the k+1 lowest ids can ever
@@ -81,10 +81,15 @@ class _Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray, rows: pa.Table) -> None:
         width = scores.shape[1]
+        hit = (scores >= self.floor[:, None]) & (scores > -np.inf)
         if width > self.k:
-            kth = np.partition(scores, width - self.k, axis=1)[:, width - self.k]
-            np.maximum(self.floor, kth, out=self.floor)
-        q, c = np.nonzero((scores >= self.floor[:, None]) & (scores > -np.inf))
+            # Only where k scores reach the floor can it rise.
+            many = np.flatnonzero(hit.sum(axis=1) >= self.k)
+            if len(many):
+                kth = np.partition(scores[many], width - self.k, axis=1)[:, width - self.k]
+                self.floor[many] = np.maximum(self.floor[many], kth)
+                hit[many] &= scores[many] >= self.floor[many, None]
+        q, c = np.nonzero(hit)
         if len(q) == 0:
             return
         self.q.append(q), self.s.append(scores[q, c]), self.i.append(ids[c])
@@ -503,7 +508,8 @@ def _with_cells(df: DataFrame, pivots) -> DataFrame:
 
 
 def _cell_pairs(
-    q_stats, c_stats, pivots: np.ndarray, k: int, block_rows: int, drop_exact: bool = False
+    q_stats, c_stats, pivots: np.ndarray, k: int, block_rows: int, drop_exact: bool = False,
+    q_block_rows: int | None = None,
 ) -> list[tuple]:
     """Which candidate cells can hold a neighbour of which query cell.
 
@@ -527,7 +533,7 @@ def _cell_pairs(
             gap = between[i, j] - q["reach"] - c["reach"]
             if gap <= limit + _SLACK:
                 pairs.append(
-                    (i, j, math.ceil(q["rows"] / block_rows), math.ceil(c["rows"] / block_rows),
+                    (i, j, math.ceil(q["rows"] / (q_block_rows or block_rows)), math.ceil(c["rows"] / block_rows),
                      float(between[i, j]), float(q["reach"] + limit + _SLACK))
                 )
     return pairs
@@ -543,7 +549,9 @@ def _by_blocks(q: DataFrame, c: DataFrame, opts, block_rows: int) -> DataFrame:
         .drop("_copy")
     )
 
-    size = live.count()
+    size, longest = live.agg(F.count("*"), F.max(F.size("vector"))).first()
+    most = BLOCK_VALUES // max(1, longest or 1)
+    least_rows, block_rows = block_rows, rows_of_blocks(size, block_rows, most)
     want = max(1, min(MAX_PIVOTS, math.ceil(size / block_rows)))
     sample = sampling.exact(live.select("neighbor_id", "vector"), want, "neighbor_id", "pivots")
     unit = _matrix(sample.select("vector").toArrow().column("vector"))
@@ -560,7 +568,9 @@ def _by_blocks(q: DataFrame, c: DataFrame, opts, block_rows: int) -> DataFrame:
             )
             return {r["cell"]: r.asDict() for r in rows.collect()}
 
-        pairs = _cell_pairs(stats(q_cells), stats(c_cells), unit, k, block_rows, opts["drop_exact"])
+        q_stats = stats(q_cells)
+        q_block_rows = rows_of_blocks(sum(r["rows"] for r in q_stats.values()), least_rows, most)
+        pairs = _cell_pairs(q_stats, stats(c_cells), unit, k, block_rows, opts["drop_exact"], q_block_rows)
         if pairs:
             found.append(_join_blocks(spark, q, q_cells, c_cells, pairs, opts))
     # Zero vectors score 0 with everything: of those, only the k+1 lowest ids matter.

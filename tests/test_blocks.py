@@ -13,6 +13,18 @@ def test_rows_of_blocks_bound_the_copies_of_a_row():
     assert neighbours.rows_of_blocks(10**9, 200, 65_536) == 65_536
 
 
+def test_dense_join_ships_a_row_to_few_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "row_id long, vector array<double>")
+    asked = []
+    pairs = neighbours._cell_pairs
+    monkeypatch.setattr(neighbours, "_cell_pairs", lambda *a: asked.append(pairs(*a)) or asked[-1])
+    many = neighbours.nearest(df, df, 3, broadcast_queries=0, block_rows=5).collect()
+    # Cells are at most MOST_BLOCKS, and their rounding up adds at most as many blocks again.
+    assert sum(q * c for _, _, q, c, *_ in asked[0]) <= (2 * neighbours.MOST_BLOCKS) ** 2
+    assert sorted(many) == sorted(neighbours.nearest(df, df, 3).collect())
+
+
 def test_sparse_blocks_score_alike_by_matrix_and_by_postings(monkeypatch):
     rng = np.random.default_rng(4)
     rows = [np.sort(rng.choice(40, size=rng.integers(0, 12), replace=False)) for _ in range(500)]
