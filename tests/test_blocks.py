@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lexiloom.operators import neighbours
+from lexiloom.operators import neighbours, similarity_join
 
 
 def test_rows_of_blocks_bound_the_copies_of_a_row():
@@ -38,3 +39,22 @@ def test_sparse_blocks_score_alike_by_matrix_and_by_postings(monkeypatch):
         found, _ = neighbours._score_sparse_block(table, table, opts, np.zeros(500))
         best.append(sorted(zip(*(np.concatenate(x).tolist() for x in zip(*found)))))
     assert best[0] == best[1] and len(best[0]) > 1500
+
+
+def test_links_are_counted_where_they_are_found(spark):
+    rng = np.random.default_rng(6)
+    near = np.ones(6) + 0.01 * rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "row_id long, vector array<double>")
+    schema = "class_id {id}, met long, links long"
+
+    def meet(guest, home, same):
+        links = sum(len(i) for i, _, _ in similarity_join._reached(guest, home, 0.9, 9, 16))
+        return pa.table([home.column("class_id").slice(0, 1), pa.array([1]), pa.array([links])], names=["class_id", "met", "links"])
+
+    _, met = similarity_join._meetings(df, 0.9, "row_id", "vector", 9, 3, meet, schema)
+    asked = met.agg(F.sum("met"), F.sum("links")).first()
+    assert asked[0] <= (2 * neighbours.MOST_BLOCKS) ** 2 and asked[1] >= 300 * 299 // 2
+    _, counted = similarity_join.class_link_counts(df, 0.9, block_rows=3)
+    assert {r.linked for r in counted.collect()} == {299} and counted.count() == 300
+    _, links = similarity_join.class_links(df, 0.9, block_rows=3)
+    assert links.count() == links.where("class_a < class_b").distinct().count() == 300 * 299 // 2
