@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import written
 from lexiloom.session import ship_package
 
+# Bytes of text whose passages are looked at together in a task, and that a bucket of passages stands for.
+LOT_BYTES = 8 << 20
+MOST_BUCKETS = 1 << 16
+
 
 @dataclasses.dataclass(frozen=True)
 class Chunking:
@@ -101,32 +104,103 @@ def passages(ends: list[int], least: int) -> list[int]:
     return out
 
 
-def _passages(c: Chunking):
+def _keyed(data: bytes, c: Chunking) -> tuple[list[bytes], list[bool]]:
+    """Digest of every passage of a text, and whether the text chooses all cuts in it."""
+    ends, chosen = _cuts(data, c)
+    found = passages(ends, c.least_repeat)
+    forced = np.concatenate([[0], np.cumsum(~np.array(chosen, bool))])
+    begins = [0, *ends]
+    return ([hashlib.blake2b(data[begins[first]:ends[last - 1]], digest_size=16).digest() for first, last in enumerate(found)],
+            [bool(forced[last] == forced[first]) for first, last in enumerate(found)])
+
+
+def _groups(d1, d2, null, doc, h, x) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by passage and place, group of each, position of its group's first, which groups are repeats)."""
+    number = x >> 2
+    order = np.lexsort((number, h, doc, ~null, d2, d1))
+    a, b = order[1:], order[:-1]
+    new = np.append(True, (d1[a] != d1[b]) | (d2[a] != d2[b]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    group = np.cumsum(new) - 1
+    i, j = order[first], order[last]
+    elsewhere = (null[i] != null[j]) | (doc[i] != doc[j]) | (h[i] != h[j])
+    flags = np.bitwise_or.reduceat(x[order] & 3, first)
+    return order, group, first[group], elsewhere | (flags & 1 > 0) | ((number[i] != number[j]) & (flags & 2 > 0))
+
+
+def _places(c: Chunking, buckets: int):
+    """Rows (bucket, d1, d2, doc, h, x) of parallel lists: the places of a lot's passages, by the bucket of the passage.
+
+    x is the first chunk's number times 4, plus 2 if the text chose all cuts, plus 1 if the lot holds the passage twice.
+    Of such a passage only the lot's first place is asked for elsewhere; the others are known to be later ones. They go
+    out without digests, by the bucket of their text, so a passage that is found everywhere makes one entry a lot.
+    """
+    def packed(bucket, d1, d2, null, doc, h, x):
+        by = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else np.zeros(0, int)
+        offsets = pa.array(np.append(at, len(by)), pa.int32())
+        lists = lambda v, mask=None: pa.ListArray.from_arrays(offsets, pa.array(v[by], mask=None if mask is None else mask[by]))
+        none = pa.nulls(len(at), pa.list_(pa.int64()))
+        return pa.record_batch(
+            [pa.array(bucket[by][at], pa.int32()), none if d1 is None else lists(d1), none if d2 is None else lists(d2),
+             lists(doc, null), lists(h), lists(x)], names=["bucket", "d1", "d2", "doc", "h", "x"])
+
+    def of(docs: pa.Array, hashes: list, counts: list, digests: list, chosen: list) -> Iterator[pa.RecordBatch]:
+        keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        at = np.repeat(np.arange(len(counts)), counts)
+        if not len(at):
+            return
+        d1, d2 = keys[:, 0], keys[:, 1]
+        null = docs.is_null().to_numpy(zero_copy_only=False)[at]
+        doc, h = docs.fill_null(0).to_numpy(zero_copy_only=False)[at], np.array(hashes, np.int64)[at]
+        x = np.concatenate([np.arange(n) for n in counts]).astype(np.int32) * 4 + np.array(chosen, np.int32) * 2
+        order, group, first, twice = _groups(d1, d2, null, doc, h, x)
+        lead = order[first]
+        own = (null[order] == null[lead]) & (doc[order] == doc[lead]) & (h[order] == h[lead]) & (x[order] >> 2 == x[lead] >> 2)
+        # Rows of one id with equal texts share their places: one entry is enough.
+        again = own & (np.arange(len(order)) != first)
+        x[lead[twice[group]]] |= 1
+        ask = np.sort(order[~twice[group] | own & ~again])
+        known = np.sort(order[twice[group] & ~own])
+        to = lambda v: (v.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        yield packed(to(d1[ask]), d1[ask], d2[ask], null[ask], doc[ask], h[ask], x[ask])
+        if len(known):
+            yield packed(to(h[known]), None, None, null[known], doc[known], h[known], x[known])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lot in range(0, batch.num_rows, 512):
-                digests, numbers, counts, hashes, natural = [], [], [], [], []
-                for text in batch.column(1).slice(lot, 512):
-                    data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    hashes.append(_text_hash(data))
-                    ends, chosen = _cuts(data, c)
-                    found = passages(ends, c.least_repeat)
-                    forced = np.concatenate([[0], np.cumsum(~np.array(chosen, bool))])
-                    for first, last in enumerate(found):
-                        begin = ends[first - 1] if first else 0
-                        digests.append(hashlib.blake2b(data[begin:ends[last - 1]], digest_size=16).digest())
-                        natural.append(bool(forced[last] == forced[first]))
-                    numbers += range(len(found))
-                    counts.append(len(found))
-                keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                at = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.record_batch(
-                    [pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0).slice(lot, 512).take(at),
-                     pa.array(hashes, pa.int64()).take(at), pa.array(numbers, pa.int32()), pa.array(natural, pa.bool_())],
-                    names=["d1", "d2", "doc", "h", "number", "chosen"])
+            start, size, lot = 0, 0, ([], [], [], [])
+            for n, text in enumerate(batch.column(1)):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                found, chosen = _keyed(data, c)
+                for part, more in zip(lot, ([_text_hash(data)], [len(found)], found, chosen)):
+                    part += more
+                size += len(data)
+                if size >= LOT_BYTES or n == batch.num_rows - 1:
+                    yield from of(batch.column(0).slice(start, n + 1 - start), *lot)
+                    start, size, lot = n + 1, 0, ([], [], [], [])
     return f
 
 
+def _repeated(places: pa.Table) -> pa.Table:
+    """(doc, h, x) of the places of a bucket's repeated passages; x is the number times 2, plus 1 if there is an earlier place."""
+    flat = lambda t, n: t.column(n).combine_chunks().flatten()
+    sure = places.filter(places.column("d1").is_null())
+    asked = places.filter(places.column("d1").is_valid())
+    out = [pa.table([flat(sure, "doc"), flat(sure, "h"), pa.array((flat(sure, "x").to_numpy() >> 2) * 2 + 1, pa.int32())], names=["_doc", "_h", "_x"])]
+    if asked.num_rows:
+        docs = flat(asked, "doc")
+        null, doc = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+        d1, d2, h, x = (flat(asked, n).to_numpy() for n in ("d1", "d2", "h", "x"))
+        order, group, first, many = _groups(d1, d2, null, doc, h, x)
+        kept = many[group]
+        i, lead = order[kept], order[first][kept]
+        later = (null[i] != null[lead]) | (doc[i] != doc[lead]) | (h[i] != h[lead]) | (x[i] >> 2 != x[lead] >> 2)
+        out.append(pa.table([docs.take(pa.array(i)), pa.array(h[i]), pa.array((x[i] >> 2) * 2 + later, pa.int32())], names=["_doc", "_h", "_x"]))
+    return pa.concat_tables(out)
+
+
 def _text_hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
@@ -187,9 +261,10 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     Texts are cut where a gear rolling hash of the last bytes says so, so an insertion moves only the cuts beside
     it. From every chunk on, the passage of ``least_repeat`` bytes or a little more is keyed by a 128-bit digest: a
-    repeat stands somewhere else as a whole, not chunk by chunk in different places. A passage's first and last
-    place (id, then number) come from an aggregation with partial results, and go back by a join that may split a
-    hot one. Passages that stand in one document only count if they stand there twice and no gap's cut ends a chunk
+    repeat stands somewhere else as a whole, not chunk by chunk in different places. Places travel once, as arrays
+    by the bucket of the digest: a lot of texts first settles the passages it holds twice, so a passage found
+    everywhere makes one entry a lot; a bucket then finds the first place (id, then number) and the later ones.
+    Passages that stand in one document only count if they stand there twice and no gap's cut ends a chunk
     of them: one letter over and over is no repeat of itself. Repeats are listed wherever they stand; a chunk
     goes if it lies in a passage that has an earlier place, so every dropped byte stands earlier amid the
     same ``least_repeat`` bytes. Null texts read as '' and come back as ''. Rows of one id with equal texts share
@@ -198,16 +273,11 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     c = chunking or Chunking()
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    placed = slim.mapInArrow(_passages(c), "d1 long, d2 long, doc long, h long, number int, chosen boolean")
-    place = F.struct("doc", "h", "number")
-    many = placed.groupBy("d1", "d2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.max("chosen").alias("_chosen")).where(
-        "struct(_first.doc, _first.h) <> struct(_last.doc, _last.h) or _first.number <> _last.number and _chosen").select(
-        "d1", "d2", "_first")
-    many = written(many, "repeated")
-    later = ~place.eqNullSafe(F.col("_first"))
-    found = placed.join(many, ["d1", "d2"]).select(
-        F.col("doc").alias("_doc"), F.col("h").alias("_h"),
-        (F.shiftleft("number", 1) + later.cast("int")).alias("_x"))
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(min(max(64, total // LOT_BYTES + 1), MOST_BUCKETS))
+    placed = slim.mapInArrow(
+        _places(c, buckets), "bucket int, d1 array<long>, d2 array<long>, doc array<long>, h array<long>, x array<int>")
+    found = placed.groupBy("bucket").applyInArrow(_repeated, "_doc long, _h long, _x int")
     per_doc = found.groupBy("_doc", "_h").agg(F.collect_set("_x").alias("_found"))
     own = [x for x in docs.columns if x not in ("n_chunks", "n_repeated", "n_dropped", "repeats", "_found")]
 
