@@ -10,13 +10,13 @@ joined term by term instead.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ from lexiloom.session import cut_lineage
 
 # A vocabulary of at most this many terms is broadcast (tens of MB).
 BROADCAST_TERMS = 200_000
-COUNTED_TERMS = 200_000  # different terms a task holds before it passes on its counts
+BROADCAST_KEYS = 500_000  # keys that stand in several rows
+COUNTED_WORDS = 2_000_000  # words a task holds before it passes on its counts
 _SPACES = re.compile(tx.SPACES, re.ASCII)
 
 
@@ -56,6 +57,43 @@ def row_terms(text: str | None, s: TermSettings, stop_words: frozenset[str]) ->
     return out
 
 
+def _counted(texts: list[pa.ListArray], s: TermSettings) -> Iterator[pa.RecordBatch]:
+    """(term, df, cf) of the ``row_terms`` of some texts, given as their words. Words and n-grams are counted as numbers."""
+    sizes = np.concatenate([t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for t in texts])
+    words = pa.concat_arrays([t.flatten() for t in texts]).dictionary_encode()
+    names, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    known = pc.and_(pc.greater_equal(pc.utf8_length(names), tx.MIN_TERM_LENGTH),
+                    pc.invert(pc.is_in(names, pa.array(s.stop_words, pa.string())))).to_numpy(zero_copy_only=False)
+    kept = known[code]
+    code, doc = code[kept], np.repeat(np.arange(len(sizes)), sizes)[kept]
+    at, gram = np.arange(len(code)), code  # where n-grams begin, and their numbers
+    for n in range(1, s.high + 1):
+        if n > 1:
+            whole = at + n - 1 < len(code)
+            at, gram = at[whole], gram[whole]
+            whole = doc[at] == doc[at + n - 1]
+            at, gram = at[whole], gram[whole]
+            if n > 2:
+                gram = np.unique(gram, return_inverse=True)[1]
+            gram = gram * len(names) + code[at + n - 1]
+        if not len(at):
+            break
+        if n < s.low or (n == 1 and s.low != 1):
+            continue
+        order = np.argsort(gram, kind="stable")  # keeps the order of documents
+        ordered, owner = gram[order], doc[at[order]]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        first = np.flatnonzero(new)
+        cf = np.diff(np.append(first, len(ordered)))
+        df = np.add.reduceat((new | np.append(True, owner[1:] != owner[:-1])).astype(np.int64), first)
+        begin = at[order[first]]
+        for low in range(0, len(first), 50_000):
+            some = begin[low : low + 50_000]
+            parts = [names.take(pa.array(code[some + i])) for i in range(n)]
+            term = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
+            yield pa.record_batch([term, pa.array(df[low : low + 50_000]), pa.array(cf[low : low + 50_000])], names=["term", "df", "cf"])
+
+
 def term_statistics(
     df: DataFrame, text: str = "cleaned_text", settings: TermSettings = TermSettings()
 ) -> DataFrame:
@@ -63,41 +101,61 @@ def term_statistics(
     s = settings
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop, cf, docs = frozenset(s.stop_words), Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(cf.keys(), pa.string()), pa.array([docs[t] for t in cf], pa.int64()),
-                                   pa.array(cf.values(), pa.int64())], names=["term", "df", "cf"])
-            cf.clear(), docs.clear()
-            return out
-
+        held, size = [], 0
         for batch in batches:
-            for body in batch.column(0):
-                found = row_terms(body.as_py(), s, stop)
-                cf.update(found)
-                docs.update(set(found))
-                if len(cf) > COUNTED_TERMS:
-                    yield flush()
-        if cf:
-            yield flush()
+            for part in (batch.column(0).slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                held.append(pc.ascii_split_whitespace(part))
+                size += len(held[-1].flatten())
+                if size > COUNTED_WORDS:
+                    yield from _counted(held, s)
+                    held, size = [], 0
+        if held:
+            yield from _counted(held, s)
 
     counted = df.select(text).mapInArrow(count, "term string, df long, cf long")
     return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
+def term_summary(df: DataFrame, key: str, terms: Column) -> DataFrame:
+    """Per key: terms, distinct_terms, first_term and last_term over all its rows; keys without a term are left out.
+
+    A row's terms are summed up where they are. Only of keys with several rows are the terms themselves shuffled, to
+    tell which of them are the same.
+    """
+    one = lambda t: F.struct(
+        F.size(t).cast("long").alias("terms"), F.size(F.array_distinct(t)).cast("long").alias("distinct_terms"),
+        F.array_min(t).alias("first_term"), F.array_max(t).alias("last_term"))
+    # A transform of one element binds the terms, so that they are made once.
+    own = df.select(key, F.element_at(F.transform(F.array(terms), one), 1).alias("_o"))
+    summed = cut_lineage(own.groupBy(key).agg(
+        F.sum("_o.terms").alias("terms"), F.max("_o.distinct_terms").alias("distinct_terms"),
+        F.min("_o.first_term").alias("first_term"), F.max("_o.last_term").alias("last_term"),
+        F.count_if(F.col("_o.terms") > 0).alias("_rows")))
+    single = summed.filter("_rows = 1").drop("_rows")
+    several = summed.filter("_rows > 1").drop("_rows", "distinct_terms").withColumnRenamed(key, "_k")
+    several_keys, n = several.select("_k"), several.count()
+    if n == 0:
+        return single
+    few = F.broadcast(several_keys) if n <= BROADCAST_KEYS else several_keys
+    found = df.join(few, df[key].eqNullSafe(F.col("_k")), "left_semi").select(key, F.explode(terms).alias("_t"))
+    distinct = found.groupBy(key).agg(F.count_distinct("_t").alias("distinct_terms"))
+    return single.unionByName(distinct.join(several, distinct[key].eqNullSafe(F.col("_k"))).select(*single.columns))
+
+
 def fit_vocabulary(
     df: DataFrame, text: str = "cleaned_text", settings: TermSettings = TermSettings()
 ) -> DataFrame:
     """(term, df, cf, idf): frequency limits, then the most frequent ``max_features`` terms.
 
-    The number of documents counts empty ones too.
+    The number of documents counts empty ones too. Terms are counted once: the histogram of ``most_frequent`` and
+    whoever reads the vocabulary again find the counts, and the capped vocabulary, stored.
     """
     n = df.agg(F.count("*")).scalar()
     stats = term_statistics(df, text, settings).filter(
         (F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n)
     )
     if settings.max_features is not None:
-        stats = most_frequent(stats, settings.max_features)
+        stats = cut_lineage(most_frequent(cut_lineage(stats), settings.max_features))
     return stats.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
@@ -187,11 +245,7 @@ def tfidf_weights(
     s = settings
     ids = ["term_id"] if "term_id" in vocabulary.columns else []
     if s.max_features is not None and s.max_features <= BROADCAST_TERMS:
-        rows = sparse_documents(df, vocabulary, key, text, s, carry)
-        lists = F.arrays_zip("terms", *(["indices"] if ids else []), "tf", "weights")
-        return rows.select(key, *carry, F.explode(lists).alias("_t")).select(
-            key, *carry, F.col("_t.terms").alias("term"), *([F.col("_t.indices").alias("term_id")] if ids else []),
-            F.col("_t.tf").alias("tf"), F.col("_t.weights").alias("weight"))
+        return long_weights(sparse_documents(df, vocabulary, key, text, s, carry), key, carry)
     # No bound on the vocabulary: texts are dealt by key before their terms, several times larger, are joined.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(key, *carry, text).repartition(parts, key)
@@ -211,6 +265,15 @@ def tfidf_weights(
     )
 
 
+def long_weights(rows: DataFrame, key: str, carry=()) -> DataFrame:
+    """The rows of ``sparse_documents`` as ``tfidf_weights``: (key, carried columns, term, [term_id,] tf, weight)."""
+    ids = ["term_id"] if "indices" in rows.columns else []
+    lists = F.arrays_zip("terms", *(["indices"] if ids else []), "tf", "weights")
+    return rows.select(key, *carry, F.explode(lists).alias("_t")).select(
+        key, *carry, F.col("_t.terms").alias("term"), *([F.col("_t.indices").alias("term_id")] if ids else []),
+        F.col("_t.tf").alias("tf"), F.col("_t.weights").alias("weight"))
+
+
 def tfidf(
     df: DataFrame, key: str, text: str = "cleaned_text", settings: TermSettings = TermSettings(),
     carry=(),
@@ -220,7 +283,21 @@ def tfidf(
 
 
 def sparse_rows(weights: DataFrame, key: str, carry=()) -> DataFrame:
-    """One row per document: parallel arrays ``indices`` (sorted) and ``weights``."""
+    """One row per document: parallel arrays ``indices`` (sorted) and ``weights``.
+
+    ``weights`` are long rows (term_id, weight) or those of ``sparse_documents``, whose lists are shuffled as they are.
+    """
+    if "indices" in weights.columns:
+        lists = F.collect_list(F.struct("indices", "weights"))
+        both = F.sort_array(F.flatten(F.transform(
+            "_l", lambda x: F.arrays_zip(x["indices"].alias("term_id"), x["weights"].alias("weight")))))
+        # A key of several documents has the entries of all of them.
+        merged = F.transform(F.array(both), lambda p: F.struct(p["term_id"].alias("indices"), p["weight"].alias("weights")))
+        return (
+            weights.groupBy(key, *carry).agg(lists.alias("_l"))
+            .select(key, *carry, F.when(F.size("_l") == 1, F.col("_l")).otherwise(merged)[0].alias("_m"))
+            .select(key, *carry, "_m.indices", "_m.weights")
+        )
     pairs = F.sort_array(F.collect_list(F.struct("term_id", "weight")))
     return (
         weights.groupBy(key, *carry)
