@@ -96,11 +96,7 @@ def nonempty_token_lists(spark, sf):
 SELECT doc_id, count(*) AS terms, count(DISTINCT term) AS distinct_terms,
        min(term) AS first_term, max(term) AS last_term FROM terms GROUP BY 1""")
 def ngrams_per_document(spark, sf):
-    df = documents(spark, sf).select("doc_id", F.explode(tx.terms("cleaned_text")).alias("term"))
-    return df.groupBy("doc_id").agg(
-        F.count("*").alias("terms"), F.count_distinct("term").alias("distinct_terms"),
-        F.min("term").alias("first_term"), F.max("term").alias("last_term"),
-    )
+    return vb.term_summary(documents(spark, sf).select("doc_id", "cleaned_text"), "doc_id", tx.terms("cleaned_text"))
 
 
 @query(f"""WITH {DOCUMENTS_SQL}, {terms_sql('docs', 'doc_id', 'cleaned_text', stop=True)}

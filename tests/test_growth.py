@@ -27,3 +27,16 @@ def test_terms_counted_as_numbers_are_those_of_the_rows(low, high, stop):
     rows = pa.Table.from_batches(vb._counted(lists, s)).to_pylist()
     assert len(rows) == len(cf)
     assert {r["term"]: (r["df"], r["cf"]) for r in rows} == {t: (df[t], cf[t]) for t in cf}
+
+
+def test_term_summary_of_repeated_and_null_keys(spark):
+    rows = [(1, "red car"), (1, "red car red"), (2, "stop"), (3, ""), (None, "red car"), (None, "car"), (4, ""), (4, "to be"), (5, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    found = df.select("k", F.explode(tx.terms("t")).alias("term")).groupBy("k").agg(
+        F.count("*").alias("terms"), F.count_distinct("term").alias("distinct_terms"),
+        F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    got = vb.term_summary(df, "k", tx.terms("t"))
+    key = lambda r: str(r)
+    assert sorted(got.collect(), key=key) == sorted(found.collect(), key=key) and got.count() == 4
+    single = vb.term_summary(df.filter("k = 2"), "k", tx.terms("t"))
+    assert "Generate" not in single._jdf.queryExecution().toString()  # no row per term
