@@ -40,3 +40,45 @@ def test_term_summary_of_repeated_and_null_keys(spark):
     assert sorted(got.collect(), key=key) == sorted(found.collect(), key=key) and got.count() == 4
     single = vb.term_summary(df.filter("k = 2"), "k", tx.terms("t"))
     assert "Generate" not in single._jdf.queryExecution().toString()  # no row per term
+
+
+def test_lists_and_long_weights_give_the_same_rows(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, "cc"), (3, "zz"), (None, "aa"), (None, "cc cc")], "k int, t string")
+    known = spark.createDataFrame([("aa", 1.5, 2), ("bb", 1.0, 0), ("cc", 2.0, 1)], "term string, idf double, term_id int")
+    s = vb.TermSettings(max_features=3, high=1)
+    rows = vb.sparse_documents(df, known, "k", "t", s)
+    rounded = lambda d: sorted((str(r["k"]), r["indices"], [round(w, 12) for w in r["weights"]]) for r in d.collect())
+    listed = vb.sparse_rows(rows, "k")
+    assert rounded(listed) == rounded(vb.sparse_rows(vb.long_weights(rows, "k"), "k"))
+    assert "Generate" not in listed._jdf.queryExecution().toString()  # lists are shuffled as they are
+    project = lambda d, m: sorted((str(r["k"]), [round(float(x), 4) for x in r["vector"]]) for r in latent_semantic.project(d, m, "k").collect())
+    model = latent_semantic.fit(rows, "k", 3, 2)
+    assert project(rows, model) == project(vb.long_weights(rows, "k"), model)
+
+
+def test_dense_chunks_of_the_svd_are_multiplied_as_matrices():
+    rng = np.random.default_rng(0)
+    term = np.concatenate([np.sort(rng.choice(40, 9, replace=False)) for _ in range(30)])
+    weight, starts, basis = rng.random(len(term)), np.arange(0, len(term), 9), rng.random((40, 5))
+    whole = np.zeros((30, 40))
+    whole[np.repeat(np.arange(30), 9), term] = weight
+    assert latent_semantic._as_matrix(term, weight, starts, 40).shape == (30, 40)
+    assert latent_semantic._as_matrix(term, weight, starts, 40_000) is None
+    for size in (40, 40_000):  # as a matrix, and entry by entry
+        wide, out = np.zeros((size, 5)), np.zeros((size, 5))
+        wide[:40] = basis
+        latent_semantic._back_and_forth(out, wide, term, weight, starts)
+        assert np.allclose(out[:40], whole.T @ (whole @ basis))
+
+
+def test_exact_split_reads_the_rows_once_for_its_groups(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(300).selectExpr("id", "concat('g', id % 20) as g").mapInArrow(count, "id long, g string")
+    assert splits.by_group_exact(rows, "g").count() == 300
+    assert seen.value <= 600
