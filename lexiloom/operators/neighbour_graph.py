@@ -91,19 +91,39 @@ def _by_group(most: int, digits: int, schema: pa.Schema, floored: bool):
 
 
 def _merged(found: DataFrame, most: int, kind: T.DataType, schema: pa.Schema) -> DataFrame:
-    """One list per id from several, without repeats: the ``most`` best."""
+    """One list per id from several, without repeats: the ``most`` best. Lists stream in the order of ids, so a task holds
+    those of one batch of them."""
+    def settle(lists: pa.Table, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near, score = (lists.column(c).combine_chunks() for c in ("near", "score"))
+        owner = np.repeat(codes - codes[0], near.value_lengths().to_numpy(zero_copy_only=False))
+        keys, scores = near.flatten(), score.flatten().to_numpy(zero_copy_only=False)
+        ids = _ids(keys)
+        order = np.lexsort((-scores, ids, owner))
+        order = order[np.append(True, (owner[order[1:]] != owner[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]]))]
+        order = order[np.lexsort((ids[order], -scores[order], owner[order]))]
+        order = order[np.arange(len(order)) - np.searchsorted(owner[order], owner[order]) < most]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        ends = pa.array(np.searchsorted(owner[order], np.arange(len(first) + 1)).astype(np.int32))
+        whole = [lists.column("id").combine_chunks().take(pa.array(first)), *(
+            pa.ListArray.from_arrays(ends, x) for x in (keys.take(pa.array(order)), pa.array(scores[order])))]
+        yield pa.record_batch([x.cast(f.type) for x, f in zip(whole, schema)], schema=schema)
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            out = []
-            for key, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = {n: s for x in lists for n, s in zip(x["near"], x["score"])}
-                top = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:most]
-                out.append((key, [n for n, _ in top], [s for _, s in top]))
-            if out:
-                yield _batch(out, schema)
-
-    gathered = found.groupBy("id").agg(F.collect_list(F.struct("near", "score")).alias("lists"))
-    return gathered.mapInArrow(f, _lists(kind))
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            codes = now.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
+            cut = int(np.searchsorted(codes, codes[-1]))
+            if cut:
+                yield from settle(now.slice(0, cut), codes[:cut])
+            rest = now.slice(cut)
+        if rest is not None:
+            yield from settle(rest, np.zeros(rest.num_rows, dtype=np.int64))
+
+    return found.repartition("id").sortWithinPartitions("id").mapInArrow(f, _lists(kind))
 
 
 def _cells(rows: DataFrame, size: int, tables: int, cell_rows: int, seed: int) -> DataFrame:

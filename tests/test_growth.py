@@ -82,3 +82,19 @@ def test_exact_split_reads_the_rows_once_for_its_groups(spark):
     rows = spark.range(300).selectExpr("id", "concat('g', id % 20) as g").mapInArrow(count, "id long, g string")
     assert splits.by_group_exact(rows, "g").count() == 300
     assert seen.value <= 600
+
+
+def test_merged_lists_of_the_graph_keep_the_best_of_each_id(spark):
+    rows = [(1, [2, 3], [0.9, 0.5]), (1, [3, 4], [0.5, 0.5]), (2, [1], [0.9]), (3, [1, 2, 4], [0.5, 0.4, 0.1]), (3, [4], [0.1]), (3, [5], [0.7])]
+    kind = spark.range(1).schema["id"].dataType
+    schema = neighbour_graph._lists(kind)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("1", "2", before):  # an id's lists come in one batch or several
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            merged = neighbour_graph._merged(spark.createDataFrame(rows, schema), 3, kind, to_arrow_schema(schema))
+            assert "collect_list" not in merged._jdf.queryExecution().toString()
+            assert {r["id"]: (r["near"], r["score"]) for r in merged.collect()} == {
+                1: ([2, 3, 4], [0.9, 0.5, 0.5]), 2: ([1], [0.9]), 3: ([5, 1, 2], [0.7, 0.5, 0.4])}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
