@@ -46,6 +46,7 @@ SPARSE_MOST_ROWS = 65_536
 MATRIX_TERMS = 2048
 MATRIX_SHARE = 0.02
 _SCORES_PER_CHUNK = 4_000_000
+_DENSE_SCORES = 1_500_000
 _SLACK = 1e-4
 
 
@@ -86,7 +87,9 @@ class _Best:
             # Only where k scores reach the floor can it rise.
             many = np.flatnonzero(hit.sum(axis=1) >= self.k)
             if len(many):
-                kth = np.partition(scores[many], width - self.k, axis=1)[:, width - self.k]
+                some = scores[many]
+                some.partition(width - self.k, axis=1)
+                kth = some[:, width - self.k]
                 self.floor[many] = np.maximum(self.floor[many], kth)
                 hit[many] &= scores[many] >= self.floor[many, None]
         q, c = np.nonzero(hit)
@@ -127,11 +130,13 @@ class _Best:
 
 def _score_rows(best: _Best, unit_queries, query_index, rows: pa.Table, vector: str, opts) -> None:
     """Score one batch of candidate rows against all queries, chunk by chunk."""
-    step = max(1, _SCORES_PER_CHUNK // max(1, len(unit_queries)))
+    step = max(1, _DENSE_SCORES // max(1, len(unit_queries)))
     for start in range(0, rows.num_rows, step):
         part = rows.slice(start, step)
         ids = _ids(part.column("neighbor_id"))
-        scores = np.round(unit_queries @ _matrix(part.column(vector)).T, opts["digits"]) + 0.0
+        scores = unit_queries @ _matrix(part.column(vector)).T
+        np.round(scores, opts["digits"], out=scores)  # in place: such a matrix is most of a task's memory
+        scores += 0.0
         if opts["drop_exact"]:
             scores[scores >= 1.0] = -np.inf
         if query_index is not None:

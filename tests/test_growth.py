@@ -98,3 +98,15 @@ def test_merged_lists_of_the_graph_keep_the_best_of_each_id(spark):
                 1: ([2, 3, 4], [0.9, 0.5, 0.5]), 2: ([1], [0.9]), 3: ([5, 1, 2], [0.7, 0.5, 0.4])}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_scores_of_a_block_take_little_memory():
+    rng = np.random.default_rng(1)
+    rows = pa.table({"neighbor_id": pa.array(np.arange(4000)), "vector": pa.array(list(rng.random((4000, 8))))})
+    unit = neighbours._matrix(rows.column("vector"))
+    best = neighbours._Best(4000, 5)
+    tracemalloc.start()
+    neighbours._score_rows(best, unit, pd.Index(np.arange(4000)), rows, "vector", {"digits": 9, "drop_exact": False})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.table(pa.array(np.arange(4000))).num_rows == 20_000 and peak < 64 << 20
