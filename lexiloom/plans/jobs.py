@@ -213,15 +213,15 @@ def tfidf_features(tfidf: DataFrame, docs: DataFrame, terms: int, key: str = "ro
 
 
 def baseline_probes(
-    df: DataFrame, out: str, key: str = "row_id", train_rows: int = 250_000,
+    df: DataFrame, out: str, key: str = "row_id", train_rows: int | None = None,
     val_rows: int | None = None, n_components: int = 100,
     settings: vb.TermSettings = vb.TermSettings(max_features=25_000), seed=42,
     task: str = "main_category", examples: int = 5, **fit_options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Probes on sampled train and val rows: (scores, first errors of the latent probe).
+    """Probes on all train and val rows: (scores, first errors of the latent probe).
 
-    Vocabulary, document frequencies and the latent space are fitted on all train rows; ``train_rows`` and ``val_rows``
-    bound only what the probes see. Predictions are written, and scores and errors come from the written ones.
+    Vocabulary, document frequencies and the latent space are fitted on all train rows; ``train_rows`` and ``val_rows``, if
+    given, bound by a sample what the probes see, nothing else. Predictions are written, and scores and errors come from the written ones.
     """
     rows = shaping.drop_missing(df, ["cleaned_text", "sentiment", "main_category"])
     writers.write_table(rows, f"{out}/rows")

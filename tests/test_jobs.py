@@ -201,6 +201,22 @@ def test_baseline_probes_job(corpus, tmp_path):
     assert scores.count() == 4 and errors.count() <= 5
 
 
+def test_baseline_probes_see_all_train_rows_unless_told_otherwise(spark, corpus, tmp_path, monkeypatch):
+    drawn = []
+
+    def exact(rows, n, *rest):
+        drawn.append(n)
+        return rows.orderBy("row_id").limit(n)
+
+    monkeypatch.setattr(jobs.sampling, "exact", exact)
+    options = {"settings": vb.TermSettings(max_features=100, min_df=2), "n_components": 4, "max_iter": 5}
+    jobs.baseline_probes(corpus, str(tmp_path / "all"), **options)
+    seen = spark.read.parquet(str(tmp_path / "all/sample")).groupBy("split").count()
+    assert not drawn and dict(seen.collect()) == dict(corpus.filter("split <> 'test'").groupBy("split").count().collect())
+    jobs.baseline_probes(corpus, str(tmp_path / "some"), train_rows=60, **options)
+    assert drawn == [60] and spark.read.parquet(str(tmp_path / "some/sample")).filter("split = 'train'").count() == 60
+
+
 def test_report_of_several_representations_in_long_form(spark, corpus, tmp_path):
     cfg = EmbeddingConfig(vector_size=8, min_count=1, epochs=1, categories=("a", "b"), sanity_words=("battery",))
     made = jobs.train_word_vectors(corpus, cfg, str(tmp_path / "w2v"))
