@@ -217,3 +217,43 @@ def test_suffix_dedup_of_string_ids(spark):
     df = spark.createDataFrame([("b", body + " tail of b"), ("a", "head " + body)], "name string, body string")
     out = {r.name: r.n_removed for r in suffix_dedup.dedup_suffixes(df, key="name", text="body").collect()}
     assert out == {"a": 0, "b": len(body) + 1} or out == {"a": 0, "b": len(body)}
+
+
+@pytest.mark.parametrize("most", [1, 2])
+@pytest.mark.parametrize("least", [40, 300])
+def test_suffix_dedup_gives_the_same_whether_marks_are_sent_or_documents_joined(spark, most, least):
+    rng = random.Random(17)
+    passages = ["".join(rng.choice("abcde ") for _ in range(400)) for _ in range(3)]
+    texts = ["".join(rng.choice("abcde ") for _ in range(60)) + rng.choice(passages) + str(i) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0], texts[1], "w" * 1000, "v" * 300])] + [(None, texts[2]), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = [sorted((str(r.doc_id), r.text, bytes(r.kept), r.n_removed, str(r.removed)) for r in suffix_dedup.dedup_suffixes(
+        df, least=least, block_windows=block, most_documents=m).collect()) for m, block in ((most, 1 << 17), (most, 50), (100, 1 << 17))]
+    assert results[0] == results[1] == results[2] and sum(r[3] for r in results[0]) > 3000
+
+
+def test_suffix_dedup_ships_no_windows_of_copies_and_few_that_stand_once(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts * 3)] + [(100, texts[0][500:800])]
+    tables = {}
+
+    def written(df, name):
+        tables[name] = df.localCheckpoint()
+        return tables[name]
+
+    cut = suffix_dedup._cut_out
+    shipped = spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        def f(batches):
+            for batch in cut(*args)(batches):
+                shipped.add(batch.num_rows)
+                yield batch
+        return f
+
+    monkeypatch.setattr(suffix_dedup, "written", written)
+    monkeypatch.setattr(suffix_dedup, "_cut_out", counting)
+    out = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in out.items() if n} == {*range(20, 60), 100} and tables["copies"].count() == 40
+    assert shipped.value < 100  # of about 60 times 50 pieces
