@@ -230,3 +230,25 @@ def test_report_of_several_representations_in_long_form(spark, corpus, tmp_path)
     assert {r["representation"] for r in report["clusters"].collect()} == {"word2vec", "turned"}
     counts = {r["report"]: r["count"] for r in jobs.long_form(report).groupBy("report").count().collect()}
     assert set(counts) == set(report) and counts["winners"] == 2 and counts["clusters"] == 4
+
+
+def test_evaluation_shuffles_sparse_rows_once(spark, corpus, tmp_path, monkeypatch):
+    st = vb.TermSettings(max_features=200, min_df=2)
+    base = jobs.build_baselines(corpus, str(tmp_path / "base"), settings=st, n_components=4)
+    calls, sparse_rows = [], vb.sparse_rows
+    monkeypatch.setattr(vb, "sparse_rows", lambda *a, **b: calls.append(a) or sparse_rows(*a, **b))
+    tables = jobs.evaluate(corpus, {"lsa": base.lsa}, {"tfidf": (base.rows, base.terms)}, n_clusters=2, max_iter=5, out=str(tmp_path / "out"))
+    assert len(calls) == 1 and spark.read.parquet(str(tmp_path / "out/sparse/tfidf")).count() == 240
+    assert {r["representation"] for r in tables["unified"].collect()} == {"lsa", "tfidf"}
+    limited = jobs.evaluate(corpus, {}, {"tfidf": (base.rows, base.terms)}, n_clusters=2, max_iter=5, query_limit=7, out=str(tmp_path / "some"))
+    assert limited["retrieval"].count() == 1
+    assert spark.read.parquet(str(tmp_path / "some/neighbours/tfidf")).select("query_id").distinct().count() == 7
+
+
+def test_texts_that_cleaning_empties_are_told_before_it(spark):
+    from lexiloom.functions import text as tx
+
+    texts = ["<b>", "", None, "!?", "<a>x</a>", "É", "K", "<1", "a", " 7 ", "< >é<br/>", "<i>9"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", tx.keeps_any("text").alias("any"), tx.clean_text("text").alias("cleaned")).collect():
+        assert r["any"] == (r["cleaned"] != ""), r

@@ -227,3 +227,31 @@ def test_cluster_terms_count_absent_documents(spark):
     assert lifts == {("x", "apple"): 0.5, ("x", "pear"): -0.25, ("y", "pear"): 0.25, ("y", "apple"): -0.5}
     names = vb.joined_terms(vb.cluster_terms(docs, "doc_id", "cluster", settings=st, top_n=2), "cluster")
     assert {r["cluster"]: r["top_terms"] for r in names.collect()} == {"x": "apple, pear", "y": "pear, apple"}
+
+
+def test_frequent_terms_as_a_matrix_give_the_same_neighbours(spark, monkeypatch):
+    import numpy as np
+
+    from lexiloom.operators import neighbours
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        terms = np.flatnonzero(rng.random(120) < np.linspace(0.6, 0.01, 120))
+        weights = rng.random(len(terms)) if i % 50 else np.zeros(len(terms))
+        rows.append((i, [int(t) for t in terms], [float(w) for w in weights]))
+    df = spark.createDataFrame(rows, "row_id long, indices array<int>, weights array<double>")
+
+    def found():
+        return sorted(tuple(r) for r in neighbours.nearest_sparse(df.limit(90), df, 5).collect())
+
+    matrices = []
+    entries = neighbours._as_matrix
+    monkeypatch.setattr(neighbours, "_as_matrix", lambda *a: matrices.append(len(a[2])) or entries(*a))
+    mixed = found()
+    assert 10 < matrices[0] < 120 and len(mixed) == 450
+    for terms in (0, 3, 1000):
+        monkeypatch.setattr(neighbours, "FREQUENT_TERMS", terms)
+        assert found() == mixed
+    monkeypatch.setattr(neighbours, "FREQUENT_SHARE", 0.0)
+    assert found() == mixed
